@@ -7,6 +7,9 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
+
+from candela.functions.terms import minimal_terms, prefix_pattern
 
 # fixed values: code points replaced during normalisation
 ZERO_WIDTH_PATTERN = "[\\u00a0\\u200b\\u200c\\u200d\\ufeff]"
@@ -30,15 +33,32 @@ def _like_pattern(term: str) -> str:
 
 
 def like_any_sql(ref: str, terms: Iterable[str]) -> str:
-    """SQL text: TRUE when ``ref`` (already lower-cased) contains any term.
+    """SQL text: TRUE when a plain column (already lower-cased) contains any term.
 
-    ``LIKE ANY`` with ``%term%`` patterns is rewritten by the optimizer to a chain
-    of ``Contains``, which stays in generated code on a plain column.
+    ``LIKE ANY`` with ``%term%`` patterns is rewritten by the optimizer to a chain of
+    ``Contains``: generated code, and a filter that reaches the file scan.
     """
-    terms = list(terms)
-    if not terms:
+    kept = minimal_terms(terms)
+    if not kept:
         return "false"
-    return f"coalesce({ref} LIKE ANY ({', '.join(_like_pattern(t) for t in terms)}), false)"
+    return f"coalesce({ref} LIKE ANY ({', '.join(_like_pattern(t) for t in kept)}), false)"
+
+
+def short_any_sql(ref: str, terms: Iterable[str]) -> str:
+    """The same test for short values such as names inside array lambdas.
+
+    One shared-prefix pattern instead of a hundred interpreted comparisons; about five times
+    faster there.
+    """
+    kept = minimal_terms(terms)
+    return f"coalesce({ref} rlike {sql_string(prefix_pattern(kept))}, false)" if kept else "false"
+
+
+def long_any_sql(ref: str, terms: Iterable[str]) -> str:
+    """The same test for long texts: a literal array keeps the plan small however many terms."""
+    kept = minimal_terms(terms)
+    listed = ", ".join(sql_string(t) for t in kept)
+    return f"coalesce(exists(array({listed}), t -> contains({ref}, t)), false)" if kept else "false"
 
 
 def vocab_any(column: str, terms: Iterable[str], match: str = "substring") -> Column:
@@ -75,7 +95,7 @@ def normalise_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(dashed, "\\ufffd", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(texts: pd.Series) -> pd.Series:
     """Unicode compatibility decomposition; Spark has no built-in for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))

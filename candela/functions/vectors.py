@@ -18,12 +18,16 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision, clipped to [0, 1]; 0 for a missing or zero vector."""
     value = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), F.lit(0.0))
+    known = F.coalesce(value, F.lit(0.0))  # greatest and least would skip a null
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), known))
 
 
 def weighted_sum(parts: list[tuple[Column, float]]) -> Column:
     """Element-wise linear combination of equally long vectors."""
-    scaled = [F.transform(v, lambda x, w=w: x.cast("double") * F.lit(float(w))) for v, w in parts]
+    def scale(weight: float):
+        return lambda x: x.cast("double") * F.lit(float(weight))
+
+    scaled = [F.transform(v, scale(w)) for v, w in parts]
     total = scaled[0]
     for v in scaled[1:]:
         total = F.zip_with(total, v, lambda x, y: x + y)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from candela.functions import scoring as S
-from candela.functions.text import like_any_sql, sql_string
+from candela.functions.text import short_any_sql, sql_string
 from candela.functions.vocab import DEFAULT_VOCAB, Vocabulary
 
 TINY_SIZE = "1-10"  # fixed value: size that never counts as product company
@@ -19,11 +19,11 @@ def with_career_facts(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB) -> DataF
         "'firm', lower(trim(j.company)), 'months', coalesce(j.duration_months, 0D), 'size', j.company_size))")
     ).withColumn("_title", F.lower("profile.current_title"))
     facts = lowered.withColumn("_jobs", F.expr(f"""transform(_jobs, j -> named_struct(
-        'ai', {like_any_sql('j.title', vocab.ai_title)} OR {like_any_sql('j.industry', vocab.ai_industry)},
-        'consulting', {like_any_sql('j.firm', vocab.consulting)},
-        'product', {like_any_sql('j.firm', vocab.product)},
-        'startup', coalesce(j.size IN ({sizes}), false) OR {like_any_sql('j.firm', vocab.startup)},
-        'lead', {like_any_sql('j.title', vocab.leadership)},
+        'ai', {short_any_sql('j.title', vocab.ai_title)} OR {short_any_sql('j.industry', vocab.ai_industry)},
+        'consulting', {short_any_sql('j.firm', vocab.consulting)},
+        'product', {short_any_sql('j.firm', vocab.product)},
+        'startup', coalesce(j.size IN ({sizes}), false) OR {short_any_sql('j.firm', vocab.startup)},
+        'lead', {short_any_sql('j.title', vocab.leadership)},
         'tiny', coalesce(j.size = '{TINY_SIZE}', false),
         'months', j.months))"""))
     months = lambda cond: f"aggregate(_jobs, 0D, (a, j) -> a + CASE WHEN {cond} THEN j.months ELSE 0D END)"
@@ -33,14 +33,14 @@ def with_career_facts(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB) -> DataF
         "product_months": F.expr(months("(j.product OR NOT j.consulting) AND NOT j.tiny")),
         "consulting_only": F.expr("size(_jobs) > 0 AND forall(_jobs, j -> j.consulting)"),
         "startup_experience": F.expr("exists(_jobs, j -> j.startup)"),
-        "leadership_role": F.expr(f"{like_any_sql('_title', vocab.leadership)} OR exists(_jobs, j -> j.lead)"),
+        "leadership_role": F.expr(f"{short_any_sql('_title', vocab.leadership)} OR exists(_jobs, j -> j.lead)"),
     }).drop("_jobs", "_title")
 
 
 def with_ai_role_now(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB) -> DataFrame:
     """TRUE when the current title or industry is an AI one."""
     lowered = df.withColumns({"_t": F.lower("profile.current_title"), "_i": F.lower("profile.current_industry")})
-    test = f"{like_any_sql('_t', vocab.ai_title)} OR {like_any_sql('_i', vocab.ai_industry)}"
+    test = f"{short_any_sql('_t', vocab.ai_title)} OR {short_any_sql('_i', vocab.ai_industry)}"
     return lowered.withColumn("ai_role_now", F.expr(test)).drop("_t", "_i")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from candela.functions import scoring as S
-from candela.functions.text import like_any_sql
+from candela.functions.text import short_any_sql
 from candela.functions.vocab import DEFAULT_VOCAB, Vocabulary
 
 WORST_TIER = 4
@@ -38,8 +38,8 @@ def with_education_facts(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB) -> Da
         "best_tier": F.coalesce(F.col("_best.tier"), F.lit(WORST_TIER)),
         "highest_degree": F.when(none, "Unknown").when(ranked, F.col("_best.degree")).otherwise(""),
         "field_of_study": F.when(ranked, F.col("_best.field")).otherwise(""),
-        "has_stem_degree": F.expr(f"exists(_fields, f -> {like_any_sql('f', vocab.stem)})"),
-        "has_advanced_degree": F.expr(f"exists(_degrees, d -> {like_any_sql('d', vocab.advanced_degree)})"),
+        "has_stem_degree": F.expr(f"exists(_fields, f -> {short_any_sql('f', vocab.stem)})"),
+        "has_advanced_degree": F.expr(f"exists(_degrees, d -> {short_any_sql('d', vocab.advanced_degree)})"),
     })
     return facts.withColumn("education_score", S.education_score(
         F.size("education"), F.col("best_tier"), F.col("has_stem_degree"),

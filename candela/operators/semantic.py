@@ -23,7 +23,8 @@ def score_against(df: DataFrame, job: DataFrame, vec: str = "embedding", name: s
     ``job`` is a one-row, one-column query; it is used as a scalar subquery, so it runs
     once and no join is planned.
     """
-    return df.withColumn(name, V.cosine(F.col(vec), job.scalar()))
+    beside = df.withColumn("_job_vec", job.scalar())
+    return beside.withColumn(name, V.cosine(F.col(vec), F.col("_job_vec"))).drop("_job_vec")
 
 
 def attach_vectors(features: DataFrame, vectors: DataFrame, key: str = "candidate_id", vec: str = "embedding") -> DataFrame:

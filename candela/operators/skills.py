@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from candela.functions.scoring import PROFICIENCY_DEPTH, PROFICIENCY_REPEAT
-from candela.functions.text import like_any_sql, sql_string, vocab_any
+from candela.functions.text import long_any_sql, short_any_sql, sql_string
 from candela.functions.vocab import DEFAULT_VOCAB, Vocabulary
 
 # fixed values: skill depth and token rules
@@ -41,16 +41,9 @@ def with_text_pool(df: DataFrame, name: str = "pool") -> DataFrame:
 
 
 def with_domain_flags(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB, pool: str = "pool") -> DataFrame:
-    """The ten presence flags (0.0 / 1.0) over the text pool.
-
-    Two projections: ten term lists in one generated method would pass the size the JVM
-    still compiles.
-    """
-    items = list(vocab.domains.items())
-    half = len(items) // 2
-    for part in (items[:half], items[half:]):
-        df = df.withColumns({n: vocab_any(pool, terms).cast("double") for n, terms in part})
-    return df
+    """The ten presence flags (0.0 / 1.0) over the text pool."""
+    return df.withColumns({n: F.expr(f"cast({long_any_sql(pool, terms)} AS double)")
+                           for n, terms in vocab.domains.items()})
 
 
 def domain_mean(vocab: Vocabulary = DEFAULT_VOCAB) -> Column:
@@ -69,8 +62,8 @@ def with_skill_facts(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB) -> DataFr
         f"transform(skills, s -> named_struct('name', lower(s.name), 'w', {weight} + "
         f"least({MONTHS_BONUS_CAP}D, coalesce(s.duration_months, 0D) / 60D)))"))
     facts = facts.withColumn("_facts", F.expr(
-        f"transform(_names, s -> named_struct('ai', {like_any_sql('s.name', vocab.stuffing_terms)}, "
-        f"'deep', {like_any_sql('s.name', extra)}, 'w', s.w))"))
+        f"transform(_names, s -> named_struct('ai', {short_any_sql('s.name', vocab.stuffing_terms)}, "
+        f"'deep', {short_any_sql('s.name', extra)}, 'w', s.w))"))
     return facts.withColumns({
         "ai_skill_depth": F.expr(
             f"least(1D, aggregate(_facts, 0D, (a, s) -> a + CASE WHEN s.ai OR s.deep THEN s.w ELSE 0D END) / {FULL_DEPTH}D)"),
@@ -80,7 +73,7 @@ def with_skill_facts(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB) -> DataFr
 
 def with_ai_certification(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB, name: str = "has_ai_certification") -> DataFrame:
     lowered = "transform(certifications, c -> lower(c.name))"
-    return df.withColumn(name, F.expr(f"exists({lowered}, c -> {like_any_sql('c', vocab.certifications)})"))
+    return df.withColumn(name, F.expr(f"exists({lowered}, c -> {short_any_sql('c', vocab.certifications)})"))
 
 
 def skill_tokens(canonical: Column) -> Column:
@@ -99,24 +92,40 @@ def match_skills(pool: str, job_skills: str) -> tuple[Column, Column]:
             F.expr(f"transform(filter({job_skills}, s -> NOT {hit}), s -> s.original)"))
 
 
-def with_skill_match(df: DataFrame, pool: str = "pool") -> DataFrame:
-    """Match a candidate row against the job columns beside it.
+def job_terms(jobs: DataFrame, max_jobs: int) -> DataFrame:
+    """One row holding every distinct name and token the jobs look for."""
+    skill = jobs.limit(max_jobs + 1).select(F.explode(F.concat("required_skills", "preferred_skills")).alias("s"))
+    term = skill.select(F.explode(F.concat(F.array("s.canonical"), F.col("s.tokens"))).alias("t"))
+    return term.agg(F.collect_set("t").alias("terms"))
+
+
+def with_present_terms(df: DataFrame, jobs: DataFrame, max_jobs: int, pool: str = "pool", name: str = "present") -> DataFrame:
+    """Scan each pool once for all jobs' terms; the pairing then carries only the hits.
+
+    Jobs share skills, so a document is scanned per distinct term, not per job and skill, and
+    its long text is never copied beside every job.
+    """
+    listed = df.withColumn("_terms", job_terms(jobs, max_jobs).scalar())
+    return listed.withColumn(name, F.expr(f"filter(_terms, t -> contains({pool}, t))")).drop("_terms", pool)
+
+
+def with_skill_match(df: DataFrame, present: str = "present") -> DataFrame:
+    """Match a candidate's present terms against the job columns beside it.
 
-    Matched and unmatched names come from one pass: each skill's hit is tested once.
+    A skill matches when its canonical name, or else any of its tokens, is present.  Matched
+    and unmatched names come from one pass and keep posting order.
     """
     def hits(skills: str) -> Column:
         return F.expr(f"transform({skills}, s -> named_struct('name', s.original, 'hit', "
-                      f"contains({pool}, s.canonical) OR exists(s.tokens, t -> contains({pool}, t))))")
+                      f"array_contains({present}, s.canonical) OR arrays_overlap({present}, s.tokens)))")
 
     scanned = df.withColumns({"_req": hits("required_skills"), "_pref": hits("preferred_skills")})
-    named = scanned.withColumns({
+    return scanned.withColumns({
         "matched_required": F.expr("transform(filter(_req, s -> s.hit), s -> s.name)"),
         "unmatched_required": F.expr("transform(filter(_req, s -> NOT s.hit), s -> s.name)"),
         "matched_preferred": F.expr("transform(filter(_pref, s -> s.hit), s -> s.name)"),
-    })
-    return named.withColumns({
-        "required_ratio": match_ratio("matched_required", "required_skills"),
-        "preferred_ratio": match_ratio("matched_preferred", "preferred_skills"),
+        "required_ratio": F.expr("size(filter(_req, s -> s.hit)) / cast(greatest(size(_req), 1) AS double)"),
+        "preferred_ratio": F.expr("size(filter(_pref, s -> s.hit)) / cast(greatest(size(_pref), 1) AS double)"),
     }).drop("_req", "_pref")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from candela.config import EngineConfig
 from candela.functions import scoring as S
@@ -23,10 +23,6 @@ UNIT = ("ai_skill_depth", "ai_year_ratio", "company_quality", "career_progressio
 NOT_NEGATIVE = ("total_years", "ai_years", "product_months", "days_since_active", "notice_period_days",
                 "applications_submitted_30d", "profile_views_30d")
 
-# columns set to these values when a row breaks a bound
-ZEROED_TEXT = ("current_title", "current_company", "current_industry", "highest_degree", "field_of_study",
-               "embedding_text", "location", "country")
-
 
 def base_features(docs: DataFrame, as_of: dt.date | str, config: EngineConfig = EngineConfig(),
                   vocab: Vocabulary = DEFAULT_VOCAB, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -57,66 +53,54 @@ def base_features(docs: DataFrame, as_of: dt.date | str, config: EngineConfig =
         "profile_completeness", "verifications", "github_score", "has_github", "trust_score",
         "salary_inverted", "date_inverted", "experience_anomaly", "stuffing_score", "honeypot_probability", "risk_flags",
         *keep)
-    return safe_features(rows, vocab, keep)
+    return safe_features(rows, keep)
 
 
-def within_bounds() -> Column:
+def within_bounds_sql() -> str:
     """TRUE when every derived value lies in its declared range."""
-    checks = [F.col(c).between(0.0, 1.0) for c in UNIT] + [F.col(c) >= 0 for c in NOT_NEGATIVE]
-    ok = checks[0]
-    for c in checks[1:]:
-        ok = ok & c
-    return F.coalesce(ok, F.lit(False))
+    checks = [f"{c} BETWEEN 0D AND 1D" for c in UNIT] + [f"{c} >= 0" for c in NOT_NEGATIVE]
+    return f"coalesce({' AND '.join(checks)}, false)"
 
 
-def safe_features(rows: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB, keep: tuple[str, ...] = ()) -> DataFrame:
+def safe_features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Zero a row that breaks a bound instead of dropping it; ``ok`` tells which.
 
     Such a row keeps its id and name, scores 0 everywhere and ranks last.
     """
-    rows = rows.withColumn("ok", within_bounds())
-    neutral = {"notice_period_days": 90.0, "days_since_active": S.UNKNOWN_DAYS, "best_tier": 4}
-    types = dict(rows.dtypes)
-    fixed_cols = {"candidate_id", "name", "ok", *keep}
-    zeroed = {}
-    for c in rows.columns:
-        if c in fixed_cols:
-            continue
-        if c in neutral:
-            other = F.lit(neutral[c]).cast(types[c])
-        elif c in ZEROED_TEXT or c == "pool":
-            other = F.lit("")
-        elif types[c] == "boolean":
-            other = F.lit(False)
-        elif types[c].startswith("array"):
-            other = F.array().cast(types[c])
-        else:
-            other = F.lit(0).cast(types[c])
-        zeroed[c] = F.when(F.col("ok"), F.col(c)).otherwise(other)
-    return rows.withColumns(zeroed)
+    neutral = {"notice_period_days": "90D", "days_since_active": str(S.UNKNOWN_DAYS), "best_tier": "4"}
+    kept = {"candidate_id", "name", *keep}
+
+    def zero(column: str, kind: str) -> str:
+        if column in neutral:
+            return neutral[column]
+        if kind == "string":
+            return "''"
+        if kind == "boolean":
+            return "false"
+        return f"cast(array() AS {kind})" if kind.startswith("array") else f"cast(0 AS {kind})"
+
+    checked = rows.withColumn("ok", F.expr(within_bounds_sql()))
+    return checked.selectExpr("ok", *[
+        f"`{c}`" if c in kept else f"CASE WHEN ok THEN `{c}` ELSE {zero(c, kind)} END AS `{c}`" for c, kind in rows.dtypes])
 
 
 def job_features(pairs: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB) -> DataFrame:
     """Features that depend on the job beside the candidate: matches, years, the two blended scores.
 
-    The pool and the skill lists are dropped here, so nothing wide travels on.
+    The present terms and the skill lists are dropped here, so nothing wide travels on.
     """
     matched = skills.with_skill_match(pairs)
     ok = F.col("ok")
     years = S.years_score(F.col("total_years"), F.col("min_years"), F.col("max_years"),
                           F.col("recommended_min"), F.col("recommended_max"))
-    zero, empty = F.lit(0.0), F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    # a zeroed row has an empty pool, so nothing matched; its missing names are cleared too
     scored = matched.withColumns({
-        "years_score": F.when(ok, years).otherwise(zero),
-        "required_ratio": F.when(ok, F.col("required_ratio")).otherwise(zero),
-        "preferred_ratio": F.when(ok, F.col("preferred_ratio")).otherwise(zero),
-        "matched_required": F.when(ok, F.col("matched_required")).otherwise(empty),
-        "unmatched_required": F.when(ok, F.col("unmatched_required")).otherwise(empty),
-        "matched_preferred": F.when(ok, F.col("matched_preferred")).otherwise(empty),
-    })
+        "years_score": F.when(ok, years).otherwise(F.lit(0.0)),
+        "unmatched_required": F.when(ok, F.col("unmatched_required")).otherwise(none)})
     technical = S.technical_score(F.col("required_ratio"), skills.domain_mean(vocab), F.col("ai_skill_depth"),
                                   F.col("preferred_ratio"), F.col("has_ai_certification"))
     experience = S.experience_score(F.col("years_score"), F.col("ai_year_ratio"), F.col("company_quality"),
                                     F.col("career_progression"), F.col("consulting_only"))
     return scored.withColumns({"technical_score": technical, "experience_score": experience}).drop(
-        "pool", "required_skills", "preferred_skills")
+        "present", "required_skills", "preferred_skills")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from candela.config import EngineConfig
 from candela.functions.vocab import DEFAULT_VOCAB, Vocabulary
-from candela.operators import explain as X, ranking as R, semantic as H
+from candela.operators import explain as X, ranking as R, semantic as H, skills
 from candela.plans.features import base_features, job_features
 
 
@@ -20,7 +20,8 @@ def score_pairs(base: DataFrame, jobs: DataFrame, config: EngineConfig = EngineC
     ``base`` holds job-independent features and an ``embedding`` column, ``jobs`` a bounded
     table with ``job_vec``.  A row without embedding text has no semantic score.
     """
-    paired = R.pair_jobs(base, jobs, max_jobs)
+    scanned = skills.with_present_terms(base, jobs, max_jobs)
+    paired = R.pair_jobs(scanned, jobs, max_jobs)
     scored = H.with_cosine(job_features(paired, vocab))
     known = F.when(F.col("ok"), F.col("semantic_score")).otherwise(F.lit(0.0))
     return R.hybrid_score(scored.withColumn("semantic_score", known).drop("embedding", "job_vec"), config)

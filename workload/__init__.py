@@ -1,0 +1,3 @@
+"""Queries over the given tables, with oracle SQL."""
+
+from workload import q_features, q_ranking  # noqa: F401
