@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from candela.sources.contract import (MAX_MESSAGES, RULES, Obj, candidate_contract, messages_sql,
-                                      model_contract, violations_sql)
+from candela.sources.contract import (MAX_MESSAGES, RULES, Obj, add_violations, candidate_contract,
+                                      messages_sql, model_contract)
 from candela.sources.readers import parse_typed
 from candela.sources.schema import SIGNALS_KEY, candidate_ddl
 
@@ -23,15 +23,16 @@ def parse_json(lines: DataFrame) -> DataFrame:
 
 def check_root_object(parsed: DataFrame) -> DataFrame:
     """Add ``root_type`` (null when unparsed) and ``is_object``."""
-    kind = F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)
+    opener = F.substring(F.ltrim("value"), 1, 1)  # telling kinds apart needs no walk through the document
+    kind = F.when(F.col("v").isNotNull(), F.when(opener == "{", "OBJECT").when(opener == "[", "ARRAY")
+                  .otherwise(F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)))
     return parsed.withColumn("root_type", kind).withColumn("is_object", F.coalesce(kind == "OBJECT", F.lit(False)))
 
 
 def with_violations(parsed: DataFrame, contract: Obj, rules: tuple[str, ...] = RULES,
                     lenient: bool = False, name: str = "violations") -> DataFrame:
     """Add the array of violated rules; empty for anything that is no object."""
-    sql = violations_sql(contract, "v", lenient, rules)
-    return parsed.withColumn(name, F.expr(f"CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN {sql} END"))
+    return add_violations(parsed, contract, lenient, rules, name)
 
 
 def collect_violations(checked: DataFrame, max_errors: int = MAX_MESSAGES) -> DataFrame:
@@ -56,8 +57,10 @@ def classify(lines: DataFrame, validate: bool = True, max_errors: int = MAX_MESS
             .when(~F.col("is_object"), F.array(F.concat(F.lit("Expected JSON object, got "), F.lower("root_type"))))
             .otherwise(F.coalesce("messages", F.array().cast("array<string>"))))
     ident = F.when(F.col("is_object"), F.expr("try_variant_get(v, '$.candidate_id', 'string')"))
-    return checked.select(*lines.columns, ident.alias("candidate_id"),
-                          stage.alias("error_type"), text.alias("messages"))
+    # One generated row per line: a later filter on these columns stays above it.  As a plain
+    # projection it would be pushed down and repeat every check inside the filter.
+    verdict = F.struct(ident.alias("candidate_id"), stage.alias("error_type"), text.alias("messages"))
+    return checked.select(*lines.columns, F.inline_outer(F.array(verdict)))
 
 
 def split_valid_quarantine(classified: DataFrame, signals_key: str = SIGNALS_KEY) -> tuple[DataFrame, DataFrame]:

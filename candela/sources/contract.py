@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame, functions as F
+
 from candela.functions.text import sql_string
 from candela.sources.schema import SIGNALS_KEY
 
@@ -160,24 +162,19 @@ def model_contract(signals_key: str = SIGNALS_KEY) -> Obj:
 
 # --- generated checks ---------------------------------------------------------
 
-_TYPE_TEST = {
-    "string": "= 'STRING'",
-    "boolean": "= 'BOOLEAN'",
-    "number": "rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'",
-    "integer": "rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'",
-    "array": "like 'ARRAY%'",
-    "object": "like 'OBJECT%'",
+# First three letters of schema_of_variant(); enough to tell the JSON kinds apart.
+_KINDS = {
+    "string": "= 'STR'",
+    "boolean": "= 'BOO'",
+    "number": "IN ('BIG', 'DEC', 'DOU', 'FLO')",
+    "integer": "IN ('BIG', 'DEC', 'DOU', 'FLO')",
+    "object": "= 'OBJ'",
 }
 RULES = ("required", "type", "range", "enum", "pattern", "cardinality")
 
 
-def _violation(path_sql: str, ord_: int, rule: str, message_sql: str) -> str:
-    return (f"named_struct('path', {path_sql}, 'ord', {ord_}, 'rule', {sql_string(rule)}, "
-            f"'message', {message_sql})")
-
-
-def _has_type(ref: str, kind: str) -> str:
-    return f"(schema_of_variant({ref}) {_TYPE_TEST[kind]})"
+def _number(value: float) -> str:
+    return str(int(value)) if float(value).is_integer() else repr(value)
 
 
 def _join(path: str, name: str) -> str:
@@ -186,8 +183,19 @@ def _join(path: str, name: str) -> str:
     return tail if path == "''" else f"concat({path}, '{SEP}', {tail})"
 
 
-def _number(value: float) -> str:
-    return str(int(value)) if float(value).is_integer() else repr(value)
+def _keys(ref: str) -> str:
+    """MAP of an object's values; null when the value is no object."""
+    return f"try_variant_get({ref}, '$', 'map<string,variant>')"
+
+
+def _leaves(ref: str) -> str:
+    """MAP of key to (kind, text): every value is looked into exactly once."""
+    return (f"transform_values({_keys(ref)}, (k, y) -> named_struct("
+            f"'k', substring(schema_of_variant(y), 1, 3), 't', try_variant_get(y, '$', 'string')))")
+
+
+def _get(map_ref: str, key: str) -> str:
+    return f"try_element_at({map_ref}, {sql_string(key)})"
 
 
 class _Checks:
@@ -197,118 +205,136 @@ class _Checks:
         self.lenient = lenient
         self.rules = set(rules)
 
-    def _case(self, arms: list[tuple[str, str, str, str, int]]) -> list[str]:
-        """Independent checks: one nullable struct each."""
-        return [f"CASE WHEN {cond} THEN {_violation(path, ord_, rule, msg)} END"
-                for cond, path, rule, msg, ord_ in arms if rule in self.rules]
-
-    def _type_ok(self, ref: str, leaf: Leaf) -> str:
-        ok = _has_type(ref, leaf.kind)
+    def case(self, cond: str, path: str, ord_: int, rule: str, message: str) -> list[str]:
+        """A nullable violation struct, or nothing when the rule is switched off."""
+        if rule not in self.rules:
+            return []
+        return [f"CASE WHEN {cond} THEN named_struct('path', {path}, 'ord', {ord_}, 'rule', '{rule}', "
+                f"'message', {sql_string(message)}) END"]
+
+    def leaf(self, at: str, path: str, leaf: Leaf) -> list[str]:
+        """``at`` is the (kind, text) struct of the value, null when the key is absent."""
+        kind, text = f"{at}.k", f"{at}.t"
+        ok = f"{kind} {_KINDS[leaf.kind]}"
+        number = f"try_cast({text} AS double)"
         if leaf.kind == "integer":
-            ok = f"({ok} AND try_variant_get({ref}, '$', 'double') = floor(try_variant_get({ref}, '$', 'double')))"
+            ok = f"({ok} AND {number} = floor({number}))"
         if self.lenient and leaf.kind != "string":
             cast = {"number": "double", "integer": "bigint", "boolean": "boolean"}[leaf.kind]
-            text = f"try_variant_get({ref}, '$', 'string')"
-            ok = f"({ok} OR ({_has_type(ref, 'string')} AND try_cast({text} AS {cast}) IS NOT NULL))"
+            ok = f"({ok} OR ({kind} = 'STR' AND try_cast({text} AS {cast}) IS NOT NULL))"
             if leaf.kind == "boolean":
                 ok = f"({ok} OR {text} IN ('0', '1'))"
         if leaf.nullable:
-            ok = f"({ok} OR is_variant_null({ref}))"
-        return ok
-
-    def leaf(self, ref: str, path: str, leaf: Leaf) -> list[str]:
-        """``ref`` is the VARIANT of the value, SQL NULL when the key is absent."""
-        present = f"{ref} IS NOT NULL"
-        arms = [(f"{present} AND NOT {self._type_ok(ref, leaf)}", path, "type",
-                 f"concat('value is not of type ', '{leaf.kind}')", 1)]
-        value = f"try_cast(try_variant_get({ref}, '$', 'string') AS double)"
-        numeric = f"({present} AND {_has_type(ref, 'number')}" + (
-            f" OR {_has_type(ref, 'string')})" if self.lenient else ")")
+            ok = f"({ok} OR {kind} = 'VOI')"
+        out = self.case(f"NOT {ok}", path, 1, "type", f"value is not of type {leaf.kind}")
+        numeric = f"({kind} {_KINDS['number']}{f' OR {kind} = {chr(39)}STR{chr(39)}' if self.lenient else ''})"
         if leaf.lo is not None:
-            arms.append((f"{numeric} AND {value} < {_number(leaf.lo)}D", path, "range",
-                         f"'value is less than the minimum of {_number(leaf.lo)}'", 2))
+            out += self.case(f"{numeric} AND {number} < {_number(leaf.lo)}D", path, 2, "range",
+                             f"value is less than the minimum of {_number(leaf.lo)}")
         if leaf.hi is not None:
-            arms.append((f"{numeric} AND {value} > {_number(leaf.hi)}D", path, "range",
-                         f"'value is greater than the maximum of {_number(leaf.hi)}'", 3))
-        text = f"try_variant_get({ref}, '$', 'string')"
+            out += self.case(f"{numeric} AND {number} > {_number(leaf.hi)}D", path, 3, "range",
+                             f"value is greater than the maximum of {_number(leaf.hi)}")
         if leaf.enum:
             allowed = ", ".join(sql_string(e) for e in leaf.enum)
-            other = "" if leaf.nullable else f" OR NOT {_has_type(ref, 'string')}"
-            guard = f" AND NOT is_variant_null({ref})" if leaf.nullable else ""
-            arms.append((f"{present}{guard} AND ({text} NOT IN ({allowed}){other})", path, "enum",
-                         "'value is not one of the allowed values'", 4))
+            wrong = f"{text} NOT IN ({allowed}) OR {kind} <> 'STR'"
+            guard = f"{kind} <> 'VOI' AND " if leaf.nullable else ""
+            out += self.case(f"{guard}({wrong})", path, 4, "enum", "value is not one of the allowed values")
         if leaf.pattern:
-            arms.append((f"{present} AND {_has_type(ref, 'string')} AND NOT {text} rlike {sql_string(leaf.pattern)}",
-                         path, "pattern", "'value does not match the pattern'", 5))
-        return self._case(arms)
-
-    def flat(self, ref: str, path: str, node: Obj) -> list[str]:
-        """Checks of an object's own keys; ``ref`` is known to be an object or is tested here."""
-        structs: list[str] = []
-        is_obj = _has_type(ref, "object")
-        structs += self._case([(f"{ref} IS NOT NULL AND NOT {is_obj}", path, "type",
-                                "'value is not of type object'", 1)])
+            out += self.case(f"{kind} = 'STR' AND NOT {text} rlike {sql_string(leaf.pattern)}", path, 5, "pattern",
+                             "value does not match the pattern")
+        return out
+
+    def flat(self, leaves: str, path: str, node: Obj) -> list[str]:
+        """Required keys and plain values of an object given as a map of leaves."""
+        out: list[str] = []
         for name in node.required:
-            key = f"variant_get({ref}, '$.{name}', 'variant')"
-            structs += self._case([(f"{is_obj} AND {key} IS NULL", path, "required",
-                                    f"concat('missing required key ', {sql_string(name)})", 0)])
+            out += self.case(f"{leaves} IS NOT NULL AND {_get(leaves, name)} IS NULL", path, 0, "required",
+                             f"missing required key {name}")
         for name, child in node.fields.items():
-            key = f"CASE WHEN {is_obj} THEN variant_get({ref}, '$.{name}', 'variant') END"
             if isinstance(child, Leaf):
-                structs += self.leaf(key, _join(path, name), child)
-            elif isinstance(child, Obj):
-                structs += self.flat(key, _join(path, name), child)
-            elif isinstance(child, MapOf):
-                structs += self._case([(f"{key} IS NOT NULL AND NOT {_has_type(key, 'object')}",
-                                        _join(path, name), "type", "'value is not of type object'", 1)])
-        return structs
-
-    def array(self, ref: str, path: str, node: Arr) -> str:
-        """ARRAY of violations below one array value."""
-        own = self._case([(f"{ref} IS NOT NULL AND NOT {_has_type(ref, 'array')}", path, "type",
-                           "'value is not of type array'", 1)])
-        items = f"try_variant_get({ref}, '$', 'array<variant>')"
+                out += self.leaf(_get(leaves, name), _join(path, name), child)
+        return out
+
+    def array(self, value: str, items: str, path: str, node: Arr) -> str:
+        """Violations of one list; ``items`` is an array of leaf maps, null when it is no list."""
+        own = self.case(f"{value} IS NOT NULL AND {items} IS NULL", path, 1, "type", "value is not of type array")
         if node.min_items:
-            own += self._case([(f"size({items}) BETWEEN 0 AND {node.min_items - 1}", path, "cardinality",
-                                f"'array has fewer than {node.min_items} items'", 2)])
+            own += self.case(f"size({items}) BETWEEN 0 AND {node.min_items - 1}", path, 2, "cardinality",
+                             f"array has fewer than {node.min_items} items")
         if node.max_items is not None:
-            own += self._case([(f"size({items}) > {node.max_items}", path, "cardinality",
-                                f"'array has more than {node.max_items} items'", 3)])
-        item_path = f"concat({path}, '{SEP}', lpad(cast(i AS string), 9, '0'))"
-        each = self.flat("e", item_path, node.item)
-        nested = (f"flatten(transform({items}, (e, i) -> array_compact(array({', '.join(each)}))))"
-                  if each else EMPTY)
-        own_sql = f"array_compact(array({', '.join(own)}))" if own else EMPTY
-        return f"concat({own_sql}, coalesce({nested}, {EMPTY}))"
-
-    def map_values(self, ref: str, path: str, leaf: Leaf) -> str:
-        """ARRAY of violations of a free-key object's values."""
-        entries = f"map_entries(try_variant_get({ref}, '$', 'map<string,variant>'))"
+            own += self.case(f"size({items}) > {node.max_items}", path, 3, "cardinality",
+                             f"array has more than {node.max_items} items")
+        at = f"concat({path}, '{SEP}', lpad(cast(i AS string), 9, '0'))"
+        each = self.case("e IS NULL", at, 1, "type", "value is not of type object") + self.flat("e", at, node.item)
+        parts = [f"array_compact(array({', '.join(own)}))"] if own else []
+        if each:
+            parts.append(f"coalesce(flatten(transform({items}, (e, i) -> array_compact(array({', '.join(each)})))), {EMPTY})")
+        return f"concat({', '.join(parts)})" if parts else EMPTY
+
+    def map_values(self, leaves: str, path: str, leaf: Leaf) -> str:
         each = self.leaf("e.value", f"concat({path}, '{SEP}', e.key)", leaf)
-        if not each:
-            return EMPTY
-        return (f"coalesce(flatten(transform({entries}, e -> array_compact(array({', '.join(each)})))), {EMPTY})")
+        return (f"coalesce(flatten(transform(map_entries({leaves}), e -> array_compact(array({', '.join(each)})))), {EMPTY})"
+                if each else EMPTY)
+
 
+def add_violations(parsed: DataFrame, contract: Obj, lenient: bool = False, rules: tuple[str, ...] = RULES,
+                   name: str = "violations") -> DataFrame:
+    """Add the unsorted array of violations of the VARIANT column ``v``; null when it is no object.
 
-def violations_sql(contract: Obj, ref: str = "v", lenient: bool = False,
-                   rules: tuple[str, ...] = RULES) -> str:
-    """SQL for the ARRAY of all violations of the VARIANT column ``ref``, unsorted."""
+    The document is opened level by level into helper columns, so each object and each value
+    is unpacked once however many rules look at it.
+    """
     checks = _Checks(lenient, rules)
+    objects = {k: c for k, c in contract.fields.items() if isinstance(c, Obj)}
+    lists = {k: c for k, c in contract.fields.items() if isinstance(c, Arr)}
+    plain = [k for k, c in contract.fields.items() if isinstance(c, Leaf)]
+
+    opened = parsed.withColumn("_m", F.expr(_keys("v")))
+    listed = ", ".join(sql_string(k) for k in plain)
+    level1 = {"_leaf": F.expr(f"map_filter(_m, (k, y) -> k IN ({listed}))")} if plain else {}
+    for k in objects:
+        level1[f"_k_{k}"] = F.expr(_keys(_get("_m", k)))
+    for k in lists:
+        level1[f"_a_{k}"] = F.expr(f"transform(try_variant_get({_get('_m', k)}, '$', 'array<variant>'), e -> {_leaves('e')})")
+    opened = opened.withColumns(level1)
+
+    look = "named_struct('k', substring(schema_of_variant(y), 1, 3), 't', try_variant_get(y, '$', 'string'))"
+    level2 = {"_root": F.expr(f"transform_values(_leaf, (k, y) -> {look})")} if plain else {}
+    nested: list[tuple[str, str, object]] = []
+    for k, node in objects.items():
+        level2[f"_o_{k}"] = F.expr(f"transform_values(_k_{k}, (k, y) -> {look})")
+        for sub, grand in node.fields.items():
+            if isinstance(grand, (Obj, MapOf)):
+                column = f"_n_{k}_{sub}"
+                level2[column] = F.expr(_leaves(_get(f"_k_{k}", sub)))
+                nested.append((k, sub, grand))
+    opened = opened.withColumns(level2)
+
+    own: list[str] = []
+    for required in contract.required:
+        own += checks.case(f"{_get('_m', required)} IS NULL", "''", 0, "required", f"missing required key {required}")
+    for k in plain:
+        own += checks.leaf(_get("_root", k), sql_string(k), contract.fields[k])
+    for k, node in objects.items():
+        own += checks.case(f"{_get('_m', k)} IS NOT NULL AND _k_{k} IS NULL", sql_string(k), 1, "type",
+                           "value is not of type object")
+        own += checks.flat(f"_o_{k}", sql_string(k), node)
     parts: list[str] = []
-    flat_fields = {k: c for k, c in contract.fields.items() if not isinstance(c, Arr)}
-    own = checks.flat(ref, "''", Obj(flat_fields, contract.required))
+    for k, sub, grand in nested:
+        path, column = _join(sql_string(k), sub), f"_n_{k}_{sub}"
+        own += checks.case(f"{_get(f'_k_{k}', sub)} IS NOT NULL AND {column} IS NULL", path, 1, "type",
+                           "value is not of type object")
+        if isinstance(grand, Obj):
+            own += checks.flat(column, path, grand)
+        else:
+            parts.append(checks.map_values(column, path, grand.value))
+    for k, node in lists.items():
+        parts.append(checks.array(_get("_m", k), f"_a_{k}", sql_string(k), node))
     if own:
-        parts.append(f"array_compact(array({', '.join(own)}))")
-    for name, child in contract.fields.items():
-        if isinstance(child, Arr):
-            parts.append(checks.array(f"variant_get({ref}, '$.{name}', 'variant')", _join("''", name), child))
-        elif isinstance(child, Obj):
-            for sub, grand in child.fields.items():
-                if isinstance(grand, MapOf):
-                    parts.append(checks.map_values(
-                        f"try_variant_get({ref}, '$.{name}.{sub}', 'variant')",
-                        _join(_join("''", name), sub), grand.value))
-    return f"concat({', '.join(parts)})" if parts else EMPTY
+        parts.insert(0, f"array_compact(array({', '.join(own)}))")
+    every = f"concat({', '.join(parts)})" if parts else EMPTY
+    result = opened.withColumn(name, F.expr(f"CASE WHEN _m IS NOT NULL THEN {every} END"))
+    return result.drop("_m", *level1, *level2)
 
 
 def messages_sql(ref: str, limit: int = MAX_MESSAGES) -> str:
