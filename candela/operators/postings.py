@@ -472,9 +472,12 @@ def profile_checks(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("problems", F.array_compact(F.array(*rules)))
 
 
-def job_profiles(paragraphs: DataFrame, full_text: DataFrame, default_company: str = "") -> DataFrame:
-    """One profile row per posting."""
-    routed = route_sections(paragraphs)
+def job_profiles(routed: DataFrame, full_text: DataFrame, default_company: str = "") -> DataFrame:
+    """One profile row per posting.
+
+    ``routed`` comes from :func:`route_sections` and is read once per extractor; hand in a
+    written table, so the routing itself runs once.
+    """
     fields = header_fields(header_metadata(routed), {
         "_company": "company", "_type": "employment type", "_years": "experience required", "_place": "location"})
     logistics = bullets_of(routed, SECTIONS["logistics"])

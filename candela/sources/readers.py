@@ -37,7 +37,7 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     A JSON array file is one unsplittable document, so a file is one task; many files
     spread over the cluster.  A file whose root is no array is an error.
     """
-    whole = spark.read.option("wholetext", True).text(path).withColumn("source_file", F.col("_metadata.file_name"))
+    whole = spark.read.text(path, wholetext=True).withColumn("source_file", F.col("_metadata.file_name"))
     parsed = whole.select("source_file", F.try_parse_json("value").alias("v"))
     is_array = F.schema_of_variant("v").like("ARRAY%")
     checked = F.when(is_array, F.expr("try_variant_get(v, '$', 'array<variant>')")).otherwise(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from candela.operators import evaluation as EV, profiling as P, ranking as R
+from candela.sources import sinks
 from workload import tables as T
 from workload.registry import register
 from workload.sql import cte, pick, query, r
@@ -129,5 +130,7 @@ def composite_eval(spark, sf) -> DataFrame:
     FROM (SELECT b.*, s.hp, row_number() OVER (ORDER BY b.final DESC, b.candidate_id) AS rnk FROM best b JOIN safe s USING (candidate_id)) WHERE rnk <= 100""", "best", "prof", "safe"))
 def validate_submission(spark, sf) -> DataFrame:
     from workload.q_ranking import _one_job
-    sub = R.top_k(_one_job(spark, sf), 100).select("candidate_id", "rank", F.col("final_score").alias("score"))
+    path = sinks.new_folder(spark, "checked")
+    R.top_k(_one_job(spark, sf), 100).select("candidate_id", "rank", F.col("final_score").alias("score")).write.parquet(path)
+    sub = spark.read.parquet(path)
     return EV.validate_submission(sub, T.base(spark, sf).select("candidate_id", "honeypot_probability"))
