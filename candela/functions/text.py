@@ -58,7 +58,7 @@ def long_any_sql(ref: str, terms: Iterable[str]) -> str:
     """The same test for long texts: a literal array keeps the plan small however many terms."""
     kept = minimal_terms(terms)
     listed = ", ".join(sql_string(t) for t in kept)
-    return f"coalesce(exists(array({listed}), t -> contains({ref}, t)), false)" if kept else "false"
+    return f"coalesce(exists(array({listed}), _term -> contains({ref}, _term)), false)" if kept else "false"
 
 
 def vocab_any(column: str, terms: Iterable[str], match: str = "substring") -> Column:

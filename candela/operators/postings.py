@@ -331,16 +331,19 @@ def inline_skills(text: str) -> Column:
         f"p -> length(p) > 1 AND NOT contains(lower(p), 'similar'))")
 
 
+def _table_sql(table: dict[str, str]) -> str:
+    return "map(" + ", ".join(f"{sql_string(k)}, {sql_string(v)}" for k, v in table.items()) + ")"
+
+
 def canonical_skill(raw: Column) -> Column:
     low = F.lower(normalise_text(raw))
-    table = F.create_map(*[F.lit(x) for kv in SKILL_ALIASES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, low), low)
+    return F.coalesce(F.try_element_at(F.expr(_table_sql(SKILL_ALIASES)), low), low)
 
 
 def skill_category(canonical: Column) -> Column:
     """Exact entry, else the first entry contained in the name, else ``other``."""
-    table = F.create_map(*[F.lit(x) for kv in SKILL_CATEGORIES.items() for x in kv])
-    keys = F.array(*[F.lit(k) for k in SKILL_CATEGORIES])
+    table = F.expr(_table_sql(SKILL_CATEGORIES))
+    keys = F.expr(f"array({', '.join(sql_string(k) for k in SKILL_CATEGORIES)})")
     first = F.get(F.filter(keys, lambda k: F.contains(canonical, k)), F.lit(0))
     return F.coalesce(F.try_element_at(table, canonical), F.try_element_at(table, first), F.lit("other"))
 
@@ -387,7 +390,7 @@ def dedupe_rows(rows: DataFrame, pos: str, text: str = "text") -> DataFrame:
 
 def _hits(text: str, terms: tuple[str, ...]) -> str:
     listed = ", ".join(sql_string(t) for t in terms)
-    return f"filter(array({listed}), t -> contains({text}, t))"
+    return f"filter(array({listed}), _t -> contains({text}, _t))"
 
 
 def vocab_hits(postings: DataFrame) -> DataFrame:

@@ -87,9 +87,9 @@ def match_skills(pool: str, job_skills: str) -> tuple[Column, Column]:
     ``job_skills`` is an array of struct(original, canonical, category, tokens).  A skill
     matches when its canonical name, or else any of its tokens, is a substring of the pool.
     """
-    hit = f"(contains({pool}, s.canonical) OR exists(s.tokens, t -> contains({pool}, t)))"
-    return (F.expr(f"transform(filter({job_skills}, s -> {hit}), s -> s.original)"),
-            F.expr(f"transform(filter({job_skills}, s -> NOT {hit}), s -> s.original)"))
+    hit = f"(contains({pool}, _s.canonical) OR exists(_s.tokens, _t -> contains({pool}, _t)))"
+    return (F.expr(f"transform(filter({job_skills}, _s -> {hit}), _s -> _s.original)"),
+            F.expr(f"transform(filter({job_skills}, _s -> NOT {hit}), _s -> _s.original)"))
 
 
 def job_terms(jobs: DataFrame, max_jobs: int) -> DataFrame:
@@ -106,7 +106,7 @@ def with_present_terms(df: DataFrame, jobs: DataFrame, max_jobs: int, pool: str
     its long text is never copied beside every job.
     """
     listed = df.withColumn("_terms", job_terms(jobs, max_jobs).scalar())
-    return listed.withColumn(name, F.expr(f"filter(_terms, t -> contains({pool}, t))")).drop("_terms", pool)
+    return listed.withColumn(name, F.expr(f"filter(_terms, _t -> contains({pool}, _t))")).drop("_terms", pool)
 
 
 def with_skill_match(df: DataFrame, present: str = "present") -> DataFrame:

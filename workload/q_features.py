@@ -26,7 +26,7 @@ def md5(name: str):
 @register("vocab_any", query(f"""SELECT doc_id, {any_of('lower(text)', V.RETRIEVAL_TERMS)} AS has_retrieval,
     {any_of('lower(text)', V.BACKEND_TERMS)} AS has_backend FROM documents"""))
 def vocab_any(spark, sf) -> DataFrame:
-    low = T.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    low = T.spread(T.table(spark, sf, "documents")).select("doc_id", F.lower("text").alias("t"))
     return low.select("doc_id", X.vocab_any("t", V.RETRIEVAL_TERMS).alias("has_retrieval"),
                       X.vocab_any("t", V.BACKEND_TERMS).alias("has_backend"))
 
@@ -64,14 +64,14 @@ _SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{20
 
 @register("clean_text", f"SELECT doc_id, md5(lower(trim(regexp_replace(text, '{_SPACE}', ' ', 'g'), ' '))) AS clean FROM documents")
 def clean_text(spark, sf) -> DataFrame:
-    docs = T.table(spark, sf, "documents")
+    docs = T.spread(T.table(spark, sf, "documents"))
     return docs.select("doc_id", X.clean_text(F.col("text")).alias("clean")).select("doc_id", md5("clean"))
 
 
 @register("token_set", r"SELECT doc_id, len(list_distinct(t)) AS n_tokens, md5(array_to_string(list_sort(list_distinct(t)), ' ')) AS tokens "
           r"FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9\-]{2,}') AS t FROM documents)")
 def token_set(spark, sf) -> DataFrame:
-    found = T.table(spark, sf, "documents").select("doc_id", X.token_set(F.col("text")).alias("t"))
+    found = T.spread(T.table(spark, sf, "documents")).select("doc_id", X.token_set(F.col("text")).alias("t"))
     joined = found.select("doc_id", F.size("t").alias("n_tokens"), F.array_join(F.sort_array("t"), " ").alias("tokens"))
     return joined.select("doc_id", "n_tokens", md5("tokens"))
 

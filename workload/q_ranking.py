@@ -71,7 +71,7 @@ def weighted_vec(spark, sf) -> DataFrame:
 
 @register("embed_tfidf")
 def embed_tfidf(spark, sf) -> DataFrame:
-    docs = T.table(spark, sf, "documents").select("doc_id", "text")
+    docs = T.spread(T.table(spark, sf, "documents")).select("doc_id", "text")
     out = H.embed_tfidf(docs, "text")
     return out.select("doc_id", F.size("embedding").alias("dims"), F.round(Vec.norm(F.col("embedding")), 4).alias("length"))
 

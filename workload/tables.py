@@ -222,5 +222,5 @@ def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 def posting_text(spark: SparkSession, sf: str) -> DataFrame:
     """Whole text of each posting, one row per posting."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.concat(F.lit("POST_"), F.col("doc_id")).alias("job_id"), normalise_text(F.col("text")).alias("full_text"))
