@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage per value; explode nested columns first.
 
-    The share divides by a scalar-subquery total, so no window gathers all groups.
+    The total is a scalar subquery over the same counts: their exchange is reused, so the
+    rows are read once and no window gathers all groups.
     """
-    total = df.agg(F.count("*")).scalar()
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n_rows"))
+    total = counts.agg(F.sum("n_rows")).scalar()
     return counts.withColumn("pct", F.round(F.col("n_rows") * F.lit(100.0) / total, 2))
 
 

@@ -13,16 +13,28 @@ from candela.operators import explain as X, ranking as R, semantic as H, skills
 from candela.plans.features import base_features, job_features
 
 
-def score_pairs(base: DataFrame, jobs: DataFrame, config: EngineConfig = EngineConfig(),
+# what explanations and lists still need once a row is scored; everything else stays behind
+DETAIL = ("candidate_id", "name", "location", "current_title", "current_company", "total_years", "ok",
+          "ai_skill_depth", "has_ai_certification", "ai_years", "ai_year_ratio", "consulting_only", "startup_experience",
+          "leadership_role", "company_quality", "career_progression", "open_to_work", "recruiter_response_rate",
+          "days_since_active", "notice_period_days", "behavior_score", "profile_completeness", "verifications",
+          "github_score", "has_github", "trust_score", "stuffing_score", "honeypot_probability", "risk_flags")
+JOB_COLUMNS = ("job_id", "min_years", "max_years", "recommended_min", "recommended_max",
+               "required_skills", "preferred_skills", "job_vec")
+
+
+def score_pairs(base: DataFrame, vectors: DataFrame, jobs: DataFrame, config: EngineConfig = EngineConfig(),
                 vocab: Vocabulary = DEFAULT_VOCAB, max_jobs: int = R.MAX_JOBS) -> DataFrame:
-    """Scored (job, candidate) rows.
+    """Scored (job, candidate) rows of job-independent features, precomputed vectors and a bounded job table.
 
-    ``base`` holds job-independent features and an ``embedding`` column, ``jobs`` a bounded
-    table with ``job_vec``.  A row without embedding text has no semantic score.
+    The long texts are scanned for the jobs' terms and dropped first, so the vector join
+    shuffles slim rows and the pairing copies slim rows.
     """
-    scanned = skills.with_present_terms(base, jobs, max_jobs)
-    paired = R.pair_jobs(scanned, jobs, max_jobs)
+    asked = jobs.select(*JOB_COLUMNS)
+    scanned = skills.with_present_terms(base.select("pool", *DETAIL, *vocab.domains), asked, max_jobs)
+    paired = R.pair_jobs(H.attach_vectors(scanned, vectors), asked, max_jobs)
     scored = H.with_cosine(job_features(paired, vocab))
+    # a row without usable features has no text to compare
     known = F.when(F.col("ok"), F.col("semantic_score")).otherwise(F.lit(0.0))
     return R.hybrid_score(scored.withColumn("semantic_score", known).drop("embedding", "job_vec"), config)
 
@@ -39,11 +51,11 @@ def analyse(docs: DataFrame, vectors: DataFrame, jobs: DataFrame, as_of: dt.date
 
     The only exchanges are the vector join on the id and the top-k merge.
     """
-    base = H.attach_vectors(base_features(docs, as_of, config, vocab), vectors)
-    return shortlist(score_pairs(base, jobs, config, vocab), config)
+    base = base_features(docs, as_of, config, vocab)
+    return shortlist(score_pairs(base, vectors, jobs, config, vocab), config)
 
 
-def write_shortlists(base: DataFrame, jobs: DataFrame, path: str, config: EngineConfig = EngineConfig(),
+def write_shortlists(base: DataFrame, vectors: DataFrame, jobs: DataFrame, path: str, config: EngineConfig = EngineConfig(),
                      vocab: Vocabulary = DEFAULT_VOCAB, slice_size: int = 128) -> int:
     """Shortlists of any number of jobs, written slice by slice; returns the number of slices.
 
@@ -56,6 +68,6 @@ def write_shortlists(base: DataFrame, jobs: DataFrame, path: str, config: Engine
     numbered = jobs.withColumn("_slice", F.pmod(F.xxhash64("job_id"), F.lit(slices)))
     for i in range(slices):
         part = numbered.filter(F.col("_slice") == i).drop("_slice")
-        rows = shortlist(score_pairs(base, part, config, vocab, max_jobs=slice_size * 4), config)
+        rows = shortlist(score_pairs(base, vectors, part, config, vocab, max_jobs=slice_size * 4), config)
         rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/slice={i}")
     return slices

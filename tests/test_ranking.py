@@ -160,7 +160,7 @@ def test_whole_run_and_slices(spark, tmp_path):
     done = PL.analyse(docs, vec, jobs, "2024-02-15", config).collect()
     assert len(done) == 12 and all(r.matched_required == ["Python"] for r in done)
     assert {r.candidate_id for r in done if r.semantic == 0} <= {"CAND_0000005"}
-    base = base_features(docs, "2024-02-15").join(vec, "candidate_id", "left")
-    assert PL.write_shortlists(base, jobs, str(tmp_path / "s"), config, slice_size=2) == 2
+    base = base_features(docs, "2024-02-15")
+    assert PL.write_shortlists(base, vec, jobs, str(tmp_path / "s"), config, slice_size=2) == 2
     stored = {(r.job_id, r["rank"], r.candidate_id, r.reasoning) for r in spark.read.parquet(str(tmp_path / "s")).collect()}
     assert stored == {(r.job_id, r["rank"], r.candidate_id, r.reasoning) for r in done}

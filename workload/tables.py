@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from candela.config import EngineConfig
 from candela.functions.text import normalise_text, sql_string
-from candela.operators.semantic import attach_vectors
 from candela.plans.features import base_features
 from candela.plans.shortlist import score_pairs
 from candela.sources.schema import candidate_ddl
@@ -65,10 +64,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Spread an input of fewer splits than cores before heavy per-row work.
 
     A small file is a single split and would keep one core busy.  Any input with enough
-    splits, so every large one, passes through untouched.
+    files or splits, so every large one, passes through untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    small = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if small else df
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,8 +186,7 @@ def base(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str, config: EngineConfig = EngineConfig()) -> DataFrame:
     """All (job, candidate) rows with every score."""
-    slim = jobs(spark, sf).drop("job_title", "company", "work_mode", "ai_technologies", "evaluation_metrics", "responsibilities")
-    return score_pairs(attach_vectors(base(spark, sf), vectors(spark, sf)), slim, config)
+    return score_pairs(base(spark, sf), vectors(spark, sf), jobs(spark, sf), config)
 
 
 # --- postings -------------------------------------------------------------------
