@@ -198,6 +198,12 @@ def _get(map_ref: str, key: str) -> str:
     return f"try_element_at({map_ref}, {sql_string(key)})"
 
 
+def _fields(map_ref: str, names) -> str:
+    """STRUCT of the wanted keys of a map, so every rule reads a field instead of searching keys."""
+    pairs = ", ".join(f"{sql_string(n)}, {_get(map_ref, n)}" for n in names)
+    return f"CASE WHEN {map_ref} IS NOT NULL THEN named_struct({pairs}) END"
+
+
 class _Checks:
     """Builds the SQL of one contract; ``lenient`` accepts text that casts to the wanted type."""
 
@@ -245,18 +251,18 @@ class _Checks:
         return out
 
     def flat(self, leaves: str, path: str, node: Obj) -> list[str]:
-        """Required keys and plain values of an object given as a map of leaves."""
+        """Required keys and plain values of an object given as a struct of leaves."""
         out: list[str] = []
         for name in node.required:
-            out += self.case(f"{leaves} IS NOT NULL AND {_get(leaves, name)} IS NULL", path, 0, "required",
+            out += self.case(f"{leaves} IS NOT NULL AND {leaves}.{name} IS NULL", path, 0, "required",
                              f"missing required key {name}")
         for name, child in node.fields.items():
             if isinstance(child, Leaf):
-                out += self.leaf(_get(leaves, name), _join(path, name), child)
+                out += self.leaf(f"{leaves}.{name}", _join(path, name), child)
         return out
 
     def array(self, value: str, items: str, path: str, node: Arr) -> str:
-        """Violations of one list; ``items`` is an array of leaf maps, null when it is no list."""
+        """Violations of one list; ``items`` is an array of leaf structs, null when it is no list."""
         own = self.case(f"{value} IS NOT NULL AND {items} IS NULL", path, 1, "type", "value is not of type array")
         if node.min_items:
             own += self.case(f"size({items}) BETWEEN 0 AND {node.min_items - 1}", path, 2, "cardinality",
@@ -295,7 +301,8 @@ def add_violations(parsed: DataFrame, contract: Obj, lenient: bool = False, rule
     for k in objects:
         level1[f"_k_{k}"] = F.expr(_keys(_get("_m", k)))
     for k in lists:
-        level1[f"_a_{k}"] = F.expr(f"transform(try_variant_get({_get('_m', k)}, '$', 'array<variant>'), e -> {_leaves('e')})")
+        level1[f"_a_{k}"] = F.expr(f"transform(transform(try_variant_get({_get('_m', k)}, '$', 'array<variant>'), "
+                                   f"e -> {_leaves('e')}), m -> {_fields('m', lists[k].item.fields)})")
     opened = opened.withColumns(level1)
 
     look = "named_struct('k', substring(schema_of_variant(y), 1, 3), 't', try_variant_get(y, '$', 'string'))"
@@ -310,22 +317,30 @@ def add_violations(parsed: DataFrame, contract: Obj, lenient: bool = False, rule
                 nested.append((k, sub, grand))
     opened = opened.withColumns(level2)
 
+    level3 = {f"_s_{k}": F.expr(_fields(f"_o_{k}", node.fields)) for k, node in objects.items()}
+    if plain:
+        level3["_s"] = F.expr(_fields("_root", plain))
+    for k, sub, grand in nested:
+        if isinstance(grand, Obj):
+            level3[f"_s_{k}_{sub}"] = F.expr(_fields(f"_n_{k}_{sub}", grand.fields))
+    opened = opened.withColumns(level3)
+
     own: list[str] = []
     for required in contract.required:
         own += checks.case(f"{_get('_m', required)} IS NULL", "''", 0, "required", f"missing required key {required}")
     for k in plain:
-        own += checks.leaf(_get("_root", k), sql_string(k), contract.fields[k])
+        own += checks.leaf(f"_s.{k}", sql_string(k), contract.fields[k])
     for k, node in objects.items():
         own += checks.case(f"{_get('_m', k)} IS NOT NULL AND _k_{k} IS NULL", sql_string(k), 1, "type",
                            "value is not of type object")
-        own += checks.flat(f"_o_{k}", sql_string(k), node)
+        own += checks.flat(f"_s_{k}", sql_string(k), node)
     parts: list[str] = []
     for k, sub, grand in nested:
         path, column = _join(sql_string(k), sub), f"_n_{k}_{sub}"
         own += checks.case(f"{_get(f'_k_{k}', sub)} IS NOT NULL AND {column} IS NULL", path, 1, "type",
                            "value is not of type object")
         if isinstance(grand, Obj):
-            own += checks.flat(column, path, grand)
+            own += checks.flat(f"_s_{k}_{sub}", path, grand)
         else:
             parts.append(checks.map_values(column, path, grand.value))
     for k, node in lists.items():
@@ -334,7 +349,7 @@ def add_violations(parsed: DataFrame, contract: Obj, lenient: bool = False, rule
         parts.insert(0, f"array_compact(array({', '.join(own)}))")
     every = f"concat({', '.join(parts)})" if parts else EMPTY
     result = opened.withColumn(name, F.expr(f"CASE WHEN _m IS NOT NULL THEN {every} END"))
-    return result.drop("_m", *level1, *level2)
+    return result.drop("_m", *level1, *level2, *level3)
 
 
 def messages_sql(ref: str, limit: int = MAX_MESSAGES) -> str:

@@ -40,6 +40,13 @@ def _routed(spark, sf) -> DataFrame:
     return K.route_sections(T.paragraphs(spark, sf))
 
 
+def _stored(spark, sf) -> DataFrame:
+    """Routed paragraphs, written once for extractors that read them several times."""
+    path = sinks.new_folder(spark, "routed")
+    _routed(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def md5(name: str):
     return F.md5(F.encode(name, "UTF-8")).alias(name)
 
@@ -156,7 +163,7 @@ cte("req", ("jobs_", "inl"), f"{_HEADS} UNION ALL SELECT job_id, no + 4, k * 100
 @register("job_skills", query(f"""SELECT job_id, string_agg(item || '/' || canonical || '/' || coalesce(given, {_category('canonical')}), '; ' ORDER BY a, b) AS skills FROM (
     SELECT *, {_canon('item')} AS canonical, row_number() OVER (PARTITION BY job_id, {_canon('item')} ORDER BY a, b) AS k FROM req) WHERE k = 1 GROUP BY job_id""", "req"))
 def job_skills(spark, sf) -> DataFrame:
-    lists = K.skill_lists(K.section_skills(_routed(spark, sf), K.SECTIONS["required"], K.REQUIRED_HEADS), "skills")
+    lists = K.skill_lists(K.section_skills(_stored(spark, sf), K.SECTIONS["required"], K.REQUIRED_HEADS), "skills")
     named = F.transform("skills", lambda x: F.concat_ws("/", x["original"], x["canonical"], x["category"]))
     return lists.select("job_id", F.array_join(named, "; ").alias("skills"))
 
@@ -198,7 +205,7 @@ cte("listed", ("routed", "bullet", "jobs_"), f"""SELECT job_id, 'responsibilitie
 @register("section_lists", query(f"""SELECT job_id, list, g, p, md5(text) AS text FROM (SELECT *, row_number() OVER (PARTITION BY job_id, list, lower(text) ORDER BY g, p) AS k FROM listed) WHERE k = 1
     UNION ALL SELECT job_id, 'disqualifiers', 0, no, md5({norm("regexp_replace(replace(text, '→', '->'), '[\\x{2000}-\\x{ffff}]', ' ', 'g')")}) FROM bullet WHERE contains(section, 'explicitly do not want')""", "listed", "bullet"))
 def section_lists(spark, sf) -> DataFrame:
-    rows = K.section_lists(_routed(spark, sf))
+    rows = K.section_lists(_stored(spark, sf))
     return rows.select("job_id", "list", F.col("pos.g").cast("bigint").alias("g"), F.col("pos.p").alias("p"), md5("text"))
 
 
@@ -222,9 +229,7 @@ def profile_checks(spark, sf) -> DataFrame:
 @register("job_profiles")
 def job_profiles(spark, sf) -> DataFrame:
     """One assembled profile per posting; its parts are checked one by one above."""
-    path = sinks.new_folder(spark, "routed")
-    _routed(spark, sf).write.parquet(path)
-    out = K.job_profiles(spark.read.parquet(path), T.posting_text(spark, sf))
+    out = K.job_profiles(_stored(spark, sf), T.posting_text(spark, sf))
     return out.select("job_id", "company", "min_years", "max_years", "work_mode", F.size("required_skills").alias("n_required"),
                       F.size("preferred_skills").alias("n_preferred"), F.size("locations").alias("n_locations"),
                       "relocation_open", "visa_sponsorship", "acceptable_max", F.size("keywords").alias("n_keywords"))
