@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from candela.functions.carry import carry_last
-from candela.functions.text import heading_key, normalise_text, sql_string
+from candela.functions.text import heading_key, nfkd, normalise_text, sql_string
 from candela.operators.skills import skill_tokens
 
 # --- fixed values: posting vocabulary, maps and section names -----------------
@@ -195,8 +195,14 @@ LIST_SPLIT = r",\s*|\s+or\s+|\s+and\s+"
 # --- end of fixed values ------------------------------------------------------
 
 
-def route_sections(paragraphs: DataFrame) -> DataFrame:
-    """Normalised paragraphs with ``section``: the key of the latest heading, null before any."""
+def route_sections(paragraphs: DataFrame, decompose: bool = False) -> DataFrame:
+    """Normalised paragraphs with ``section``: the key of the latest heading, null before any.
+
+    ``decompose=True`` first applies Unicode compatibility decomposition (a Python worker pass
+    that only matters for ligatures, full-width and composed letters).
+    """
+    if decompose:
+        paragraphs = paragraphs.withColumn("text", nfkd(F.col("text")))
     text = normalise_text(F.col("text"))
     seen = paragraphs.withColumns({"text": text, "is_heading": F.col("style").isin(*HEADING_STYLES)})
     seen = seen.filter(F.col("text") != "")

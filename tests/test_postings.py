@@ -30,6 +30,14 @@ def test_sections(routed):
     assert [r.para_no for r in K.section_all(routed, KEYS[0]).orderBy("para_no").collect()] == [7, 8, 9]
 
 
+def test_decomposition_is_optional(spark):
+    df = spark.createDataFrame([("p", 0, "Normal", "ﬁne tuning"), ("p", 1, "Heading 1", "Oﬃce"), ("p", 2, "Normal", "x")],
+                               "job_id string, para_no int, style string, text string")
+    plain = {r.para_no: r for r in K.route_sections(df).collect()}
+    full = {r.para_no: r for r in K.route_sections(df, decompose=True).collect()}
+    assert plain[0].text == "ﬁne tuning" and full[0].text == "fine tuning" and full[2].section == "office"
+
+
 def test_header_title_and_years(routed):
     meta = K.header_metadata(routed)
     fields = {r.job_id: r for r in K.header_fields(meta, {"company": "company", "years": "experience required", "place": "location"}).collect()}
