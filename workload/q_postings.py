@@ -88,29 +88,38 @@ def job_title(spark, sf) -> DataFrame:
     return titled.select("job_id", md5("job_title"), K.company_name(F.col("raw")).alias("company"))
 
 
-@register("experience_range", query("""SELECT job_id, coalesce(TRY_CAST(nullif(regexp_extract(value, '(?i)(\\d+(?:\\.\\d+)?)\\s*[-–—]\\s*(\\d+(?:\\.\\d+)?)\\s*years?', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(value, '(?i)(\\d+(?:\\.\\d+)?)\\s+years?', 1), '') AS DOUBLE), 5.0) AS min_years,
-    coalesce(TRY_CAST(nullif(regexp_extract(value, '(?i)(\\d+(?:\\.\\d+)?)\\s*[-–—]\\s*(\\d+(?:\\.\\d+)?)\\s*years?', 2), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(value, '(?i)(\\d+(?:\\.\\d+)?)\\s+years?', 1), '') AS DOUBLE), 9.0) AS max_years FROM meta WHERE key = 'experience required'""", "meta"))
+EXPERIENCE_RANGE_SQL = """SELECT job_id, coalesce(TRY_CAST(nullif(regexp_extract(value, '(?i)(\\d+(?:\\.\\d+)?)\\s*[-–—]\\s*(\\d+(?:\\.\\d+)?)\\s*years?', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(value, '(?i)(\\d+(?:\\.\\d+)?)\\s+years?', 1), '') AS DOUBLE), 5.0) AS min_years,
+    coalesce(TRY_CAST(nullif(regexp_extract(value, '(?i)(\\d+(?:\\.\\d+)?)\\s*[-–—]\\s*(\\d+(?:\\.\\d+)?)\\s*years?', 2), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(value, '(?i)(\\d+(?:\\.\\d+)?)\\s+years?', 1), '') AS DOUBLE), 9.0) AS max_years FROM meta WHERE key = 'experience required'"""
+
+
+@register("experience_range", query(EXPERIENCE_RANGE_SQL, "meta"))
 def experience_range(spark, sf) -> DataFrame:
     raw = K.header_fields(K.header_metadata(_routed(spark, sf)), {"raw": "experience required"})
     lo, hi = K.experience_range(F.col("raw"))
     return raw.select("job_id", lo.alias("min_years"), hi.alias("max_years"))
 
 
-@register("notice_terms", query(r"""SELECT job_id, coalesce(TRY_CAST(nullif(regexp_extract(low, 'sub[- ]?(\d+)[- ]?day', 1), '') AS INTEGER), -1) AS preferred_max, coalesce(TRY_CAST(nullif(regexp_extract(low, '(\d+)\+\s*day', 1), '') AS INTEGER) + 60, 150) AS acceptable_max,
+NOTICE_TERMS_SQL = r"""SELECT job_id, coalesce(TRY_CAST(nullif(regexp_extract(low, 'sub[- ]?(\d+)[- ]?day', 1), '') AS INTEGER), -1) AS preferred_max, coalesce(TRY_CAST(nullif(regexp_extract(low, '(\d+)\+\s*day', 1), '') AS INTEGER) + 60, 150) AS acceptable_max,
     regexp_extract(low, 'buy\s+out\s+up\s+to\s+(\d+)\s+days?', 1) <> '' AS buyout, coalesce(TRY_CAST(nullif(regexp_extract(low, 'buy\s+out\s+up\s+to\s+(\d+)\s+days?', 1), '') AS INTEGER), -1) AS buyout_max
-    FROM (SELECT job_id, arg_min(low, no) AS low FROM logi WHERE contains(low, 'notice') GROUP BY job_id)""", "logi"))
+    FROM (SELECT job_id, arg_min(low, no) AS low FROM logi WHERE contains(low, 'notice') GROUP BY job_id)"""
+
+
+@register("notice_terms", query(NOTICE_TERMS_SQL, "logi"))
 def notice_terms(spark, sf) -> DataFrame:
     terms = K.notice_terms(K.bullets_of(_routed(spark, sf), K.SECTIONS["logistics"])).drop("note")
     return terms.fillna(-1, ["preferred_max", "buyout_max"])
 
 
-@register("locations", query("""SELECT f.job_id, concat_ws('; ', CASE WHEN pune THEN 'Pune' END, CASE WHEN noida THEN 'Noida' END, CASE WHEN hyd THEN 'Hyderabad' END, CASE WHEN mum THEN 'Mumbai' END, CASE WHEN ncr THEN 'Delhi NCR' END,
+LOCATIONS_SQL = """SELECT f.job_id, concat_ws('; ', CASE WHEN pune THEN 'Pune' END, CASE WHEN noida THEN 'Noida' END, CASE WHEN hyd THEN 'Hyderabad' END, CASE WHEN mum THEN 'Mumbai' END, CASE WHEN ncr THEN 'Delhi NCR' END,
       CASE WHEN ben THEN 'Bengaluru' END, CASE WHEN ind THEN 'India' END) AS locations, coalesce(move, false) OR contains(lower(full_text), 'open to relocation') AS relocation_open,
     coalesce(visa, false) AND NOT contains(lower(full_text), 'don''t sponsor') AS visa_sponsorship FROM whole_text f LEFT JOIN (
       SELECT job_id, bool_or(contains(low, 'pune')) AS pune, bool_or(contains(low, 'noida')) AS noida, bool_or(contains(low, 'hyderabad')) AS hyd, bool_or(contains(low, 'mumbai')) AS mum, bool_or(contains(low, 'ncr')) AS ncr,
         bool_or(contains(low, 'bengaluru') OR contains(low, 'bangalore')) AS ben, bool_or(contains(low, 'india')) AS ind, bool_or(contains(low, 'relocat')) AS move,
         arg_max(NOT (contains(low, 'don''t sponsor') OR contains(low, 'do not sponsor')), no) FILTER (contains(low, 'visa')) AS visa
-      FROM logi WHERE contains(low, 'location') OR contains(low, 'office') OR contains(low, 'apply') GROUP BY job_id) l USING (job_id)""", "logi", "whole_text"))
+      FROM logi WHERE contains(low, 'location') OR contains(low, 'office') OR contains(low, 'apply') GROUP BY job_id) l USING (job_id)"""
+
+
+@register("locations", query(LOCATIONS_SQL, "logi", "whole_text"))
 def locations(spark, sf) -> DataFrame:
     bullets = K.bullets_of(_routed(spark, sf), K.SECTIONS["logistics"])
     return K.locations(bullets, T.posting_text(spark, sf)).withColumn("locations", F.array_join("locations", "; "))
@@ -226,10 +235,27 @@ def profile_checks(spark, sf) -> DataFrame:
     return K.profile_checks(made).select("job_id", F.array_join("problems", "; ").alias("problems"))
 
 
-@register("job_profiles")
+def _heads(heads) -> str:
+    return " UNION ALL ".join(f"SELECT job_id, {s(n)} AS item FROM jobs_" for n, _ in heads)
+
+
+cte("need", ("jobs_", "inl"), f"SELECT job_id, count(DISTINCT {_canon('item')}) AS n FROM ({_heads(K.REQUIRED_HEADS)} UNION ALL SELECT job_id, item FROM inl WHERE contains(section, 'things you absolutely need')) GROUP BY job_id")
+cte("wish", ("jobs_", "inl"), f"SELECT job_id, count(DISTINCT {_canon('item')}) AS n FROM ({_heads(K.PREFERRED_HEADS)} UNION ALL SELECT job_id, item FROM inl WHERE contains(section, 'like you to have')) GROUP BY job_id")
+cte("years_", ("meta",), EXPERIENCE_RANGE_SQL)
+cte("notice_", ("logi",), NOTICE_TERMS_SQL)
+cte("places_", ("logi", "whole_text"), LOCATIONS_SQL)
+
+
+@register("job_profiles", query(f"""SELECT j.job_id, (SELECT trim(regexp_replace(value, '\\s*\\(.*\\)', ''), ' ') FROM meta m WHERE m.job_id = j.job_id AND key = 'company') AS company,
+    y.min_years, y.max_years, (SELECT CASE WHEN contains(lower(value), 'remote') AND NOT contains(lower(value), 'hybrid') THEN 'Remote' WHEN contains(lower(value), 'onsite') AND NOT contains(lower(value), 'hybrid') THEN 'Onsite' ELSE 'Hybrid' END
+      FROM meta m WHERE m.job_id = j.job_id AND key = 'location') AS work_mode, need.n AS n_required, wish.n AS n_preferred,
+    CASE WHEN l.locations = '' THEN 0 ELSE len(string_split(l.locations, '; ')) END AS n_locations, l.relocation_open, l.visa_sponsorship, coalesce(t.acceptable_max, 150) AS acceptable_max,
+    len(list_distinct(list_concat({lst(K.BASE_KEYWORDS)}, list_filter({lst(K.TECHNOLOGIES)}, lambda t: contains(lower(w.full_text), t))))) AS n_keywords
+    FROM jobs_ j JOIN years_ y USING (job_id) JOIN need USING (job_id) JOIN wish USING (job_id) JOIN places_ l USING (job_id) LEFT JOIN notice_ t USING (job_id) JOIN whole_text w USING (job_id)""",
+    "jobs_", "meta", "years_", "need", "wish", "places_", "notice_", "whole_text"))
 def job_profiles(spark, sf) -> DataFrame:
-    """One assembled profile per posting; its parts are checked one by one above."""
+    """One assembled profile per posting."""
     out = K.job_profiles(_stored(spark, sf), T.posting_text(spark, sf))
-    return out.select("job_id", "company", "min_years", "max_years", "work_mode", F.size("required_skills").alias("n_required"),
-                      F.size("preferred_skills").alias("n_preferred"), F.size("locations").alias("n_locations"),
-                      "relocation_open", "visa_sponsorship", "acceptable_max", F.size("keywords").alias("n_keywords"))
+    return out.select("job_id", "company", "min_years", "max_years", "work_mode", F.size("required_skills").cast("bigint").alias("n_required"),
+                      F.size("preferred_skills").cast("bigint").alias("n_preferred"), F.size("locations").cast("bigint").alias("n_locations"),
+                      "relocation_open", "visa_sponsorship", "acceptable_max", F.size("keywords").cast("bigint").alias("n_keywords"))
