@@ -3,59 +3,78 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from candela.llm.common import stored
 
 CAPACITY = 4096
-CACHE = 600_000          # distinct words whose ids a Python worker keeps
+CACHE = 300_000          # words, and as many pieces of words, whose ids a Python worker keeps
 PIECES_PER_GROUP = 40_000
 
 
 class WordEncoder:
-    """Ids of whole texts through a ``tokenizers`` file that drops white space, one word at a time.
+    """Ids of whole texts through a ``tokenizers`` file with byte-level words, as bytes (little-endian, 32 bits).
 
-    Such a tokenizer never joins characters across white space, so a text's ids are its words' ids in order; words
-    recur, so their ids are kept as bytes. Texts with characters that Python and the tokenizer do not both take
-    for white space go through the tokenizer whole.
+    The file's pre-tokenizer drops white space and splits words into pieces that are encoded one by one, so a text's ids
+    are its pieces' ids in order. Words recur: their ids are kept, up to ``CACHE`` in the current and the last generation.
+    A text goes through the tokenizer whole where Python's lower case, normal form or white space could differ from it.
     """
 
-    odd = re.compile("[\x1c-\x1f]")
+    piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    odd = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
+    own: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, fresh: list[str]) -> None:
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {}
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]   # byte-level alphabet: these stand for themselves
+        rest = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """One encoder per Python worker, so that what it learned serves the worker's later tasks."""
+        return cls.own.get(path) or cls.own.setdefault(path, cls(path))
+
+    def _piece(self, p: str) -> bytes:
+        young, old = self.pieces
+        ids = young.get(p) or old.get(p)
+        if ids is None:
+            seen = p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(seen)])
+        if p not in young:
+            if len(young) >= CACHE:
+                self.pieces = (young := {}), self.pieces[0]
+            young[p] = ids
+        return ids
+
+    def _word(self, w: str) -> bytes:
+        young, old = self.words
+        ids = old.get(w)
+        if ids is None:
+            ids = b"".join([self._piece(p) for p in self.piece.findall(w)])
+        if len(young) >= CACHE:
+            self.words = (young := {}), self.words[0]
+        young[w] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if self.odd.search(text):
+        if self.odd.search(text) or not unicodedata.is_normalized("NFC", text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            found, out = {}, []
-            for at in range(0, len(parts), CACHE // 2):      # a text may hold more distinct words than the cache
-                some = parts[at:at + CACHE // 2]
-                fresh = [w for w in dict.fromkeys(some) if w not in self.known]
-                keep = {w: self.known[w] for w in set(some) - set(fresh)} if len(self.known) + len(fresh) > CACHE else None
-                self._learn(fresh)
-                found = self.known if keep is None else {**keep, **self.known}
-                out.append(b"".join([found[w] for w in some]))
-            return b"".join(out)
+        out = []
+        for w in text.lower().split():
+            ids = self.words[0].get(w)
+            out.append(self._word(w) if ids is None else ids)
+        return b"".join(out)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 2,
@@ -70,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(tokenizer_path)
+        coder = WordEncoder.of(tokenizer_path)
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             for doc, s in zip(batch.column(0).to_pylist(), batch.column(1)):
