@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candela.llm import q_fingerprints, q_native, q_neardup, q_packing, q_pii
+from candela.llm import q_fingerprints, q_native, q_neardup, q_packing, q_pii, q_text
 
-QUERIES = {**q_fingerprints.QUERIES, **q_native.QUERIES, **q_neardup.QUERIES, **q_packing.QUERIES, **q_pii.QUERIES}
-ORACLES = {**q_fingerprints.ORACLES, **q_native.ORACLES, **q_neardup.ORACLES, **q_packing.ORACLES, **q_pii.ORACLES}
+QUERIES = {**q_fingerprints.QUERIES, **q_native.QUERIES, **q_neardup.QUERIES, **q_packing.QUERIES, **q_pii.QUERIES, **q_text.QUERIES}
+ORACLES = {**q_fingerprints.ORACLES, **q_native.ORACLES, **q_neardup.ORACLES, **q_packing.ORACLES, **q_pii.ORACLES, **q_text.ORACLES}
