@@ -111,3 +111,16 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
         return let(F.array_join(a["kept"], "\n"), judged)
 
     return docs.withColumn("quality", let(F.struct(lines.alias("a"), word.alias("b")), verdict))
+
+
+def kept_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
+    """The kept documents with their cleaned text and its length in code points.
+
+    The verdict leaves through a generated row: a filter on the struct itself would be pushed below it and work out all
+    rules once more for every field that is read.
+    """
+    def row(q: Column) -> Column:
+        one = F.array(F.struct(q["text"].alias("_text"), F.length(q["text"]).cast("long").alias("_n")))
+        return F.when(q["kept"], one).otherwise(F.slice(one, 1, 0))
+    judged = clean_lines(docs, text, rules).select(*docs.columns, F.inline_outer(let(F.col("quality"), row)))
+    return judged.filter("_n is not null").select(*[F.col("_text" if c == text else "_n" if c == n_chars else c).alias(c) for c in docs.columns])
