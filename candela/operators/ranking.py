@@ -6,29 +6,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from candela.config import DIMENSIONS, EngineConfig
 
-MAX_JOBS = 256
 SALTS = 64
 
 
-def job_array(jobs: DataFrame, max_jobs: int = MAX_JOBS):
-    """All jobs as one array value (scalar subquery), with its size proven.
+def pair_jobs(candidates: DataFrame, jobs: DataFrame, salts: int = SALTS, key: str = "candidate_id") -> DataFrame:
+    """Every candidate beside every job, whatever the number of either.
 
-    At most ``max_jobs + 1`` rows ever reach the aggregate; one too many is an error, not
-    a silent cut.  ``plans.shortlist.write_shortlists`` handles more jobs in slices.
+    Jobs are repeated over the salts and candidates, dealt by a hash of their id, meet them by an equality join: a
+    task holds its salt's candidates, which move once, and passes the jobs by. The optimizer broadcasts the
+    job side if its own size check allows. Compute job-independent features first.
     """
-    bounded = jobs.limit(max_jobs + 1)
-    packed = F.collect_list(F.struct(*jobs.columns))
-    too_many = F.raise_error(F.lit(f"more than {max_jobs} jobs in one plan; score them in slices"))
-    return bounded.agg(F.when(F.count("*") > max_jobs, too_many).otherwise(packed).alias("jobs")).scalar()
-
-
-def pair_jobs(candidates: DataFrame, jobs: DataFrame, max_jobs: int = MAX_JOBS) -> DataFrame:
-    """Every candidate beside every job of a small, bounded job table.
-
-    The jobs travel as one constant array that each row unfolds in place: no join and no
-    shuffle of the candidates.  Compute job-independent features first.
-    """
-    return candidates.select("*", F.inline(job_array(jobs, max_jobs)))
+    salted = candidates.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    repeated = jobs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, "_salt").drop("_salt")
 
 
 def hybrid_score(df: DataFrame, config: EngineConfig = EngineConfig(), scale: float | None = None) -> DataFrame:

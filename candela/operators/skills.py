@@ -92,20 +92,20 @@ def match_skills(pool: str, job_skills: str) -> tuple[Column, Column]:
             F.expr(f"transform(filter({job_skills}, _s -> NOT {hit}), _s -> _s.original)"))
 
 
-def job_terms(jobs: DataFrame, max_jobs: int) -> DataFrame:
+def job_terms(jobs: DataFrame) -> DataFrame:
     """One row holding every distinct name and token the jobs look for."""
-    skill = jobs.limit(max_jobs + 1).select(F.explode(F.concat("required_skills", "preferred_skills")).alias("s"))
+    skill = jobs.select(F.explode(F.concat("required_skills", "preferred_skills")).alias("s"))
     term = skill.select(F.explode(F.concat(F.array("s.canonical"), F.col("s.tokens"))).alias("t"))
     return term.agg(F.collect_set("t").alias("terms"))
 
 
-def with_present_terms(df: DataFrame, jobs: DataFrame, max_jobs: int, pool: str = "pool", name: str = "present") -> DataFrame:
+def with_present_terms(df: DataFrame, jobs: DataFrame, pool: str = "pool", name: str = "present") -> DataFrame:
     """Scan each pool once for all jobs' terms; the pairing then carries only the hits.
 
     Jobs share skills, so a document is scanned per distinct term, not per job and skill, and
     its long text is never copied beside every job.
     """
-    listed = df.withColumn("_terms", job_terms(jobs, max_jobs).scalar())
+    listed = df.withColumn("_terms", job_terms(jobs).scalar())
     return listed.withColumn(name, F.expr(f"filter(_terms, _t -> contains({pool}, _t))")).drop("_terms", pool)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,15 +23,15 @@ JOB_COLUMNS = ("job_id", "min_years", "max_years", "recommended_min", "recommend
 
 
 def score_pairs(base: DataFrame, vectors: DataFrame, jobs: DataFrame, config: EngineConfig = EngineConfig(),
-                vocab: Vocabulary = DEFAULT_VOCAB, max_jobs: int = R.MAX_JOBS) -> DataFrame:
-    """Scored (job, candidate) rows of job-independent features, precomputed vectors and a bounded job table.
+                vocab: Vocabulary = DEFAULT_VOCAB) -> DataFrame:
+    """Scored (job, candidate) rows of job-independent features, precomputed vectors and a job table of any size.
 
     The long texts are scanned for the jobs' terms and dropped first, so the vector join
     shuffles slim rows and the pairing copies slim rows.
     """
     asked = jobs.select(*JOB_COLUMNS)
-    scanned = skills.with_present_terms(base.select("pool", *DETAIL, *vocab.domains), asked, max_jobs)
-    paired = R.pair_jobs(H.attach_vectors(scanned, vectors), asked, max_jobs)
+    scanned = skills.with_present_terms(base.select("pool", *DETAIL, *vocab.domains), asked)
+    paired = R.pair_jobs(H.attach_vectors(scanned, vectors), asked)
     scored = H.with_cosine(job_features(paired, vocab))
     # a row without usable features has no text to compare
     known = F.when(F.col("ok"), F.col("semantic_score")).otherwise(F.lit(0.0))
@@ -56,18 +55,6 @@ def analyse(docs: DataFrame, vectors: DataFrame, jobs: DataFrame, as_of: dt.date
 
 
 def write_shortlists(base: DataFrame, vectors: DataFrame, jobs: DataFrame, path: str, config: EngineConfig = EngineConfig(),
-                     vocab: Vocabulary = DEFAULT_VOCAB, slice_size: int = 128) -> int:
-    """Shortlists of any number of jobs, written slice by slice; returns the number of slices.
-
-    Jobs are split by hash into slices well below the per-plan bound.  Each slice is one
-    Spark job over the stored feature rows and appends its own folder, so a lost run can be
-    repeated slice by slice.
-    """
-    n_jobs = jobs.count()
-    slices = max(1, math.ceil(n_jobs / slice_size))
-    numbered = jobs.withColumn("_slice", F.pmod(F.xxhash64("job_id"), F.lit(slices)))
-    for i in range(slices):
-        part = numbered.filter(F.col("_slice") == i).drop("_slice")
-        rows = shortlist(score_pairs(base, vectors, part, config, vocab, max_jobs=slice_size * 4), config)
-        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/slice={i}")
-    return slices
+                     vocab: Vocabulary = DEFAULT_VOCAB) -> None:
+    """Shortlists of any number of jobs, written by one plan that reads the pool once."""
+    shortlist(score_pairs(base, vectors, jobs, config, vocab), config).write.mode("overwrite").parquet(path)

@@ -79,10 +79,10 @@ def token_set(spark, sf) -> DataFrame:
 # --- skills ----------------------------------------------------------------------
 
 def _matched(spark, sf) -> DataFrame:
-    from candela.operators.ranking import MAX_JOBS, pair_jobs
+    from candela.operators.ranking import pair_jobs
     jobs = T.jobs(spark, sf).select("job_id", "required_skills", "preferred_skills")
     pooled = skills.with_text_pool(T.candidates(spark, sf)).select("candidate_id", "pool")
-    return skills.with_skill_match(pair_jobs(skills.with_present_terms(pooled, jobs, MAX_JOBS), jobs))
+    return skills.with_skill_match(pair_jobs(skills.with_present_terms(pooled, jobs), jobs))
 
 
 _MATCH = """FROM prof p JOIN (SELECT d, list(s) FILTER (contains(pool, canon) OR len(list_filter(toks, lambda t: contains(pool, t))) > 0) AS hits FROM pool, term GROUP BY d) h USING (d), jb j"""
