@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,17 +10,10 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, named by ``spark.checkpoint.dir``.
-
-    Only where it is unset (a single-machine test) a temporary folder is chosen and set, so
-    a real cluster never falls back to a machine-local path by accident of this code.
-    """
+    """The cluster's shared scratch folder, named by ``spark.checkpoint.dir``; never a machine-local choice of its own."""
     named = spark.conf.get(SETTING, None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {SETTING} to a shared folder")
-        named = tempfile.mkdtemp(prefix="candela-")
-        spark.conf.set(SETTING, named)
+        raise RuntimeError(f"set {SETTING} to a folder that driver and executors share")
     return named
 
 
@@ -38,9 +30,12 @@ def write_snapshot(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """A stored run, by default the latest id; only that run's folder is read."""
+    """A stored run, by default the latest id (``run-10`` comes after ``run-9``); only that run's folder is read."""
     stored = spark.read.option("basePath", path).parquet(path)
-    wanted = F.lit(run_id) if run_id is not None else stored.agg(F.max("run_id")).scalar()
+    run = F.col("run_id").cast("string")
+    number = F.regexp_extract(run, "([0-9]+)$", 1).try_cast("decimal(38,0)")
+    order = F.struct(F.regexp_replace(run, "[0-9]+$", ""), number, run)
+    wanted = F.lit(run_id) if run_id is not None else stored.agg(F.max_by("run_id", order)).scalar()
     return stored.filter(F.col("run_id") == wanted).drop("run_id")
 
 

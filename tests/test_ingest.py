@@ -125,6 +125,8 @@ def test_snapshot_and_submission(spark, tmp_path):
     sinks.write_snapshot(spark.range(1), path, "r1")
     assert sinks.read_snapshot(spark, path).count() == 5
     assert sinks.read_snapshot(spark, path, "r1").count() == 1
+    sinks.write_snapshot(spark.range(7), path, "r10")
+    assert sinks.read_snapshot(spark, path).count() == 7
     best = spark.createDataFrame([("b", 2, 0.5, "x, y"), ("a", 1, 0.75, 'say "hi"')], "candidate_id string, rank int, final_score double, reasoning string")
     out = tmp_path / "sub"
     sinks.write_submission(best, str(out))
