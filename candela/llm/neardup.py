@@ -4,8 +4,8 @@
 2. Documents with equal sets are one node, named by the smallest id: no pairs among copies.
 3. In every band bucket each node is paired with the bucket's smallest node: linear, whatever the bucket's size.
 4. A pair stays when the odd sketches' estimate allows it, and is a link when the full sets confirm it.
-5. Components. Buckets that still hold several of them name (node, foreign component) candidates, compared block by
-   block in the same way; then components again.
+5. Components. Buckets that still hold several of them name (node, bin of foreign components) candidates, compared
+   block by block in the same way; then components again.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class Shape:
     rows: int = 6             # MinHash samples of a band
     sketch_longs: int = 8     # odd sketch: 512 bits
     deviations: float = 6.0   # how far below the threshold an estimate may fall by chance
-    meetings: int = 2         # buckets in which a node must meet a foreign component; a link of 0.8 has fewer in 9e-6 of cases
+    meetings: int = 2         # buckets in which a node must meet foreign components; a link of 0.8 has fewer in 9e-6 of cases
     block: int = 256          # nodes compared with as many others in one go
 
     @property
@@ -202,51 +202,88 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def binned(part: DataFrame, shape: Shape) -> DataFrame:
+    """``component, bin, bin_size``: components with a block of nodes or more are bins, smaller ones share bins of about a block.
+
+    Small components that meet get the same label (the smallest hub of their buckets, passed on once through the
+    buckets) and are dealt by it, so that a bucket's many small components lie in few bins. Bins decide only what is
+    compared together, never whether.
+    """
+    comps = part.select("component", "node").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    near = stored(part.groupBy("component").agg(F.min("hub").alias("label")), "near")
+    lowest = stored(part.join(near, "component").groupBy("bucket").agg(F.min("label").alias("label")), "lowest")
+    label = part.join(lowest, "bucket").groupBy("component").agg(F.min("label").alias("label"))
+    comps = stored(comps.join(label, "component"), "comps")
+    small = F.col("size") < shape.block
+    dealt = stored(comps.filter(small).groupBy("label").agg(F.ceil(F.sum("size") / shape.block).alias("n_bins")), "dealt")
+    deal = F.when(small, F.xxhash64("label", F.pmod(F.xxhash64("component"), "n_bins"))).otherwise(F.xxhash64("component"))
+    bins = stored(comps.join(dealt, "label", "left").select("component", "size", deal.alias("bin")), "bins")
+    sizes = stored(bins.groupBy("bin").agg(F.sum("size").alias("bin_size")), "bin_sizes")
+    return stored(bins.drop("size").join(sizes, "bin"), "sized_bins")
+
+
 def across_components(shared: DataFrame, nodes: DataFrame, named: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
-    """One link (a, b) for each node and foreign component between which there is any, in blocks.
+    """Links (a, b) that join all components between which there is any link, in blocks.
 
-    Candidates are (node of the smaller component, larger component) that meet in ``shape.meetings`` buckets or more. Both
-    sides are dealt into blocks of about ``shape.block`` nodes; a task compares the sketches of one block with those of
-    another as a matrix and the full sets where the estimate allows, so no pair is a row and no group meets whole.
+    Candidates are (node, bin of other components) that meet in ``shape.meetings`` buckets or more; the smaller bin's
+    nodes go to the larger bin. Both sides are dealt into blocks of about ``shape.block`` nodes; a task compares the
+    sketches of one block with those of another as a matrix and the full sets where the estimate allows, so no pair is a
+    row and no group meets whole. Components that a task has joined already are not compared again there.
     """
     of = nodes.filter("node is not null").select("node", "sketch").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    part = shared.select("bucket", "node").join(of.select("node", "component"), "node")
+    part = shared.select("bucket", "hub", "node").join(of.select("node", "component"), "node")
     mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
-    part = stored(part.join(mixed, "bucket", "left_semi").join(sizes, "component"), "mixed")
-    others = part.select("bucket", F.col("component").alias("other"), F.col("size").alias("other_size")).distinct()
-    met = (part.join(others, "bucket").filter("other_size > size or (other_size = size and other < component)")
-           .groupBy("node", "other", "other_size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= shape.meetings))
+    part = stored(part.join(mixed, "bucket", "left_semi"), "mixed")
+    part = stored(part.drop("hub").join(binned(part, shape), "component"), "binned")
+    others = part.groupBy("bucket", F.col("bin").alias("other"), F.col("bin_size").alias("other_size")).agg(
+        (F.min("component") != F.max("component")).alias("several"))
+    met = (part.join(others, "bucket")
+           .filter("if(other = bin, several, other_size > bin_size or (other_size = bin_size and other < bin))")
+           .groupBy("node", "component", "other", "other_size", (F.col("other") == F.col("bin")).alias("own"))
+           .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= shape.meetings))
     met = stored(met.drop("n"), "met")
     blocks = met.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / shape.block).alias("n_left"), F.ceil(F.max("other_size") / shape.block).alias("n_right"))
     blocks = stored(blocks, "blocks")
     texts = docs.select(F.col("doc_id").alias("node"), "text")
-    left = (met.join(blocks, "other").join(of.select("node", "sketch"), "node").join(texts, "node")
+    sketch = nodes.select("node", "sketch")
+    left = (met.join(blocks, "other").join(sketch, "node").join(texts, "node")
             .withColumn("l", F.pmod(F.xxhash64("node"), "n_left")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1))))
-    right = (of.withColumnRenamed("component", "other").join(blocks, "other").join(texts, "node")
+    members = part.select("node", "component", F.col("bin").alias("other"), F.lit(False).alias("own")).distinct()
+    right = (members.join(blocks, "other").join(sketch, "node").join(texts, "node")
              .withColumn("r", F.pmod(F.xxhash64("node"), "n_right")).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1))))
     most = next(z for z in range(shape.bits // 2, -1, -1) if shape.estimate_of(z) >= shape.least_estimate)
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         sa, sb = (np.array(t.column("sketch").to_pylist(), np.int64).reshape(-1, shape.sketch_longs).view(np.uint64) for t in (x, y))
-        na, nb = (t.column("node").to_pylist() for t in (x, y))
+        na, nb, ca, cb = (t.column(c).to_numpy() for c in ("node", "component") for t in (x, y))
         sets: dict[int, np.ndarray] = {}
         found: list[tuple[int, int]] = []
-        for i in range(len(na)):
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        for i, own in enumerate(x.column("own").to_pylist()):
             odd = np.bitwise_count(sa[i] ^ sb).sum(axis=1, dtype=np.int64)
+            likely = np.flatnonzero((odd <= most) & (cb != ca[i]) & ((nb > na[i]) | (not own)))
             mine = None
-            for j in np.argsort(odd, kind="stable")[:int((odd <= most).sum())].tolist():
+            for j in likely[np.argsort(odd[likely], kind="stable")].tolist():
+                here, there = root(int(ca[i])), root(int(cb[j]))
+                if here == there:
+                    continue
                 if mine is None:
                     mine = shingle_set(x.column("text")[i].as_py(), shape.shingle)
                 if j not in sets:
                     sets[j] = shingle_set(y.column("text")[j].as_py(), shape.shingle)
                 if similar(mine, sets[j], shape.percent):
-                    found.append((na[i], nb[j]))
-                    break
+                    found.append((int(na[i]), int(nb[j])))
+                    joined[here] = there
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     def dealt(side: DataFrame) -> DataFrame:
-        return side.select(*[F.col(c).alias(c) for c in ("node", "sketch", "text")], *[F.col(c).alias(f"block_{c}") for c in ("other", "l", "r")])
+        return side.select(*[F.col(c).alias(c) for c in ("node", "component", "own", "sketch", "text")], *[F.col(c).alias(f"block_{c}") for c in ("other", "l", "r")])
 
     key = ["block_other", "block_l", "block_r"]
     pairs = (dealt(left).groupBy(key).cogroup(dealt(right).groupBy(key))

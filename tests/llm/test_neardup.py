@@ -62,6 +62,14 @@ def test_chain_needs_pairs_beyond_the_hub(spark):
     assert {d: v[:2] for d, v in got.items()} == brute(rows, SHAPE)
 
 
+def test_blocks_and_bins_of_any_size(spark):
+    """Many small components that meet in the same buckets, in bins and blocks of a few nodes."""
+    rows = [(i * 2 + 3, t) for i, t in enumerate(variants(7, 90, change=14) + variants(8, 30, change=20))]
+    small = neardup.Shape(shingle=2, block=4)
+    got, _ = run(spark, rows, small)
+    assert {d: v[:2] for d, v in got.items()} == brute(rows, small)
+
+
 def test_edges(spark):
     long_text = " ".join(f"v{i}" for i in range(60_000))
     rows = [(5, None), (6, ""), (7, " \n\t "), (8, "one"), (9, "ONE"), (None, "one"), (None, None), (10, long_text), (11, long_text + " end"),
