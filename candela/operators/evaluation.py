@@ -38,21 +38,28 @@ def ndcg_at_k(ranked: DataFrame, pool: DataFrame, ks: tuple[int, ...] = (10, 50)
                              .otherwise(F.lit(0.0)).alias(f"ndcg_{k}") for k in ks])
 
 
-def average_precision(ranked: DataFrame, k: int = 10, by: str = "job_id", rel: str = "tier",
+def average_precision(ranked: DataFrame, pool: DataFrame, k: int = 10, by: str = "job_id", rel: str = "tier",
                       bar: int = RELEVANT_TIER) -> DataFrame:
-    """``map`` (average precision over the ranked rows) and ``p_<k>`` per job."""
+    """``map`` (average precision over the ranked rows) and ``p_<k>`` per job.
+
+    Precisions are divided by the relevant rows of the judged ``pool``, or by the list's length if that is smaller; 0
+    without any relevant row.
+    """
     hit = F.when(F.col(rel) >= bar, F.lit(1)).otherwise(F.lit(0))
     running = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     seen = ranked.withColumn("_hit", hit).withColumn("_seen", F.sum("_hit").over(running))
     precision = F.when(F.col("_hit") == 1, F.col("_seen") / F.col("rank"))
-    return seen.groupBy(by).agg(
-        F.coalesce(F.avg(precision), F.lit(0.0)).alias("map"),
+    relevant = pool.groupBy(by).agg(F.count_if(F.col(rel) >= bar).alias("_relevant"))
+    got = seen.groupBy(by).agg(
+        F.sum(precision).alias("_sum"), F.count(F.lit(1)).alias("_depth"),
         (F.sum(F.when(F.col("rank") <= k, F.col("_hit")).otherwise(F.lit(0))) / F.lit(float(k))).alias(f"p_{k}"))
+    share = F.try_divide("_sum", F.least("_relevant", "_depth"))
+    return got.join(relevant, by).select(by, F.coalesce(share, F.lit(0.0)).alias("map"), f"p_{k}")
 
 
 def composite_eval(ranked: DataFrame, pool: DataFrame, by: str = "job_id", rel: str = "tier") -> DataFrame:
     """All four metrics and their weighted sum."""
-    both = ndcg_at_k(ranked, pool, (10, 50), by, rel).join(average_precision(ranked, 10, by, rel), by)
+    both = ndcg_at_k(ranked, pool, (10, 50), by, rel).join(average_precision(ranked, pool, 10, by, rel), by)
     score = None
     for name, weight in COMPOSITE.items():
         score = weight * F.col(name) if score is None else score + weight * F.col(name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from candela.sources.contract import (MAX_MESSAGES, RULES, Obj, add_violations, candidate_contract,
                                       messages_sql, model_contract)
-from candela.sources.readers import parse_typed
+from candela.sources.readers import parse_cast, parse_typed
 from candela.sources.schema import SIGNALS_KEY, candidate_ddl
 
 # fixed values: names of the error types
@@ -17,7 +17,11 @@ MODEL_ERROR = "PydanticValidation"
 
 
 def parse_json(lines: DataFrame) -> DataFrame:
-    """Add ``v``: the VARIANT of ``value``, null when it is not JSON."""
+    """Add ``v``: the VARIANT of ``value``, null when it is not JSON.
+
+    Of a repeated key the last value counts, as in most JSON readers; Spark takes this from the session, where it is set.
+    """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return lines.withColumn("v", F.try_parse_json("value"))
 
 
@@ -42,7 +46,9 @@ def collect_violations(checked: DataFrame, max_errors: int = MAX_MESSAGES) -> Da
 
 def classify(lines: DataFrame, validate: bool = True, max_errors: int = MAX_MESSAGES,
              signals_key: str = SIGNALS_KEY) -> DataFrame:
-    """One row per line with ``candidate_id, error_type, messages``; valid rows have a null type.
+    """One row per line with ``candidate_id, error_type, messages, n_violations``; valid rows have a null type.
+
+    ``messages`` holds the first ``max_errors``, ``n_violations`` counts all.
 
     The first failing stage decides: JSON, then root object, then contract (or, with
     ``validate=False``, only the looser record model with lenient casts).
@@ -59,18 +65,25 @@ def classify(lines: DataFrame, validate: bool = True, max_errors: int = MAX_MESS
     ident = F.when(F.col("is_object"), F.expr("try_variant_get(v, '$.candidate_id', 'string')"))
     # One generated row per line: a later filter on these columns stays above it.  As a plain
     # projection it would be pushed down and repeat every check inside the filter.
-    verdict = F.struct(ident.alias("candidate_id"), stage.alias("error_type"), text.alias("messages"))
+    verdict = F.struct(ident.alias("candidate_id"), stage.alias("error_type"), text.alias("messages"),
+                       F.coalesce(F.size("violations"), F.lit(0)).alias("n_violations"))
     return checked.select(*lines.columns, F.inline_outer(F.array(verdict)))
 
 
-def split_valid_quarantine(classified: DataFrame, signals_key: str = SIGNALS_KEY) -> tuple[DataFrame, DataFrame]:
+def split_valid_quarantine(classified: DataFrame, signals_key: str = SIGNALS_KEY, validate: bool = True,
+                           keep_raw: bool = False) -> tuple[DataFrame, DataFrame]:
     """(typed valid documents, quarantine rows) of a classified table.
 
+    With ``validate=False``, as given to ``classify``, text that stands for a number or a flag is cast. ``keep_raw``
+    keeps the line in ``value``, with keys that the contract does not name.
+
     Both sides filter the same input; write the classified table once (see
     ``sinks.write_ingest``) when both are needed.
     """
     passed = classified.filter(F.col("error_type").isNull()).select("value")
-    valid = apply_defaults(parse_typed(passed, candidate_ddl(signals_key)), signals_key).drop("value")
+    typed = (parse_typed if validate else parse_cast)(passed, candidate_ddl(signals_key))
+    valid = apply_defaults(typed, signals_key)
+    valid = valid if keep_raw else valid.drop("value")
     return valid, classified.filter(F.col("error_type").isNotNull())
 
 

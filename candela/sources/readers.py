@@ -31,6 +31,12 @@ def parse_typed(lines: DataFrame, ddl: str) -> DataFrame:
     return lines.withColumn("_rec", record).select(*lines.columns, "_rec.*")
 
 
+def parse_cast(lines: DataFrame, ddl: str) -> DataFrame:
+    """Like ``parse_typed``, but text is cast to the declared type; what does not cast is null."""
+    record = F.expr(f"try_variant_get(try_parse_json(value), '$', 'STRUCT<{ddl}>')")
+    return lines.withColumn("_rec", record).select(*lines.columns, "_rec.*")
+
+
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """Elements of pretty-printed top-level JSON arrays, one ``value`` per element.
 

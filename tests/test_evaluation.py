@@ -26,6 +26,13 @@ def test_metrics_against_plain_python(spark):
         assert got[job].composite == pytest.approx(sum(EV.COMPOSITE[k] * v for k, v in want.items()))
 
 
+def test_map_counts_relevant_rows_that_were_not_found(spark):
+    pool = spark.createDataFrame([("J", f"C{i:02d}", 3 if i < 50 else 0, 1.0 if i == 0 else 0.5 if i >= 50 else 0.1) for i in range(60)]
+                                 + [("none", "C", 0, 1.0)], "job_id string, candidate_id string, tier int, score double")
+    got = {r.job_id: r.map for r in EV.average_precision(R.top_k_per(pool, "job_id", 10, score="score"), pool).collect()}
+    assert got == {"J": pytest.approx(0.1), "none": 0.0}
+
+
 def _checks(spark, rows, pool):
     sub = spark.createDataFrame(rows, "candidate_id string, rank int, score double")
     return EV.validate_submission(sub, spark.createDataFrame(pool, "candidate_id string, honeypot_probability double"), rows=10).first().asDict()

@@ -141,6 +141,17 @@ def validate_off(spark, sf) -> DataFrame:
     return _classified(spark, sf, validate=False).select("d", F.coalesce("error_type", F.lit("valid")).alias("outcome"))
 
 
+@register("validate_off_values", query("""SELECT id AS candidate_id, years AS years_of_experience, 'value' AS extra FROM kind WHERE broken IS NULL AND regexp_full_match(id, 'CAND_[0-9]{7}')
+    AND n_lines BETWEEN 1 AND 10 AND years <= 50 AND d NOT IN (SELECT d FROM bad WHERE rule IN ('enum', 'range') AND path NOT LIKE 'profile%')""", "kind", "bad"))
+def validate_off_values(spark, sf) -> DataFrame:
+    """Text numbers keep their value without the contract, a repeated key its last one, and unknown keys stay in the raw line."""
+    lines = T.raw_lines(spark, sf)
+    twice = F.regexp_replace("value", r'\}\s*$', ',"extra":"first","extra":"value"}')
+    lines = lines.withColumn("value", F.when(F.substring("value", 1, 1) == "{", twice).otherwise(F.col("value")))
+    valid, _ = I.split_valid_quarantine(I.classify(lines, validate=False), validate=False, keep_raw=True)
+    return valid.select("candidate_id", "profile.years_of_experience", F.expr("try_variant_get(try_parse_json(value), '$.extra', 'string')").alias("extra"))
+
+
 @register("defaults", query("""SELECT id AS candidate_id, CASE WHEN source = 'src7' THEN 0 ELSE (SELECT count(*) FROM line l WHERE l.d = k.d AND l.l % 3 = 0) END AS n_education,
     CASE WHEN n % 5 = 0 THEN 2 ELSE 0 END AS n_assessments FROM kind k WHERE broken IS NULL""", "kind", "line"))
 def defaults(spark, sf) -> DataFrame:

@@ -103,8 +103,9 @@ cte("judged", (), "SELECT source AS job_id, doc_id AS candidate_id, n_chars, qua
 cte("placed", ("judged",), "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n_chars DESC, candidate_id) AS rnk, row_number() OVER (PARTITION BY job_id ORDER BY tier DESC, candidate_id) AS irnk FROM judged)")
 _gain = lambda pos, k: f"sum(CASE WHEN {pos} <= {k} THEN (pow(2.0::DOUBLE, tier) - 1) / log2({pos} + 1.0::DOUBLE) ELSE 0 END)"
 _nd = lambda k: f"CASE WHEN {_gain('irnk', k)} > 0 THEN {_gain('CASE WHEN rnk <= 100 THEN rnk ELSE 1000 END', k)} / {_gain('irnk', k)} ELSE 0.0::DOUBLE END"
-cte("ap", ("placed",), """SELECT job_id, coalesce(avg(CASE WHEN hit = 1 THEN seen / CAST(rnk AS DOUBLE) END), 0) AS map, sum(CASE WHEN rnk <= 10 THEN hit ELSE 0 END) / 10.0::DOUBLE AS p_10 FROM (
-    SELECT *, sum(hit) OVER (PARTITION BY job_id ORDER BY rnk) AS seen FROM (SELECT *, CASE WHEN tier >= 3 THEN 1 ELSE 0 END AS hit FROM placed WHERE rnk <= 100)) GROUP BY job_id""")
+cte("ap", ("placed",), """SELECT job_id, coalesce(sum(CASE WHEN hit = 1 AND rnk <= 100 THEN seen / CAST(rnk AS DOUBLE) END) / nullif(least(sum(hit), count(*), 100), 0), 0) AS map,
+    sum(CASE WHEN rnk <= 10 THEN hit ELSE 0 END) / 10.0::DOUBLE AS p_10 FROM (
+    SELECT *, sum(hit) OVER (PARTITION BY job_id ORDER BY rnk) AS seen FROM (SELECT *, CASE WHEN tier >= 3 THEN 1 ELSE 0 END AS hit FROM placed)) GROUP BY job_id""")
 cte("nd", ("placed",), f"SELECT job_id, {_nd(10)} AS ndcg_10, {_nd(50)} AS ndcg_50 FROM placed GROUP BY job_id")
 
 
@@ -116,8 +117,7 @@ def ndcg(spark, sf) -> DataFrame:
 
 @register("map_p10", query("SELECT job_id, round(map, 6) AS map, round(p_10, 6) AS p_10 FROM ap", "ap"))
 def map_p10(spark, sf) -> DataFrame:
-    ranked, _ = _ranked(spark, sf)
-    return EV.average_precision(ranked).select("job_id", r4("map", 6), r4("p_10", 6))
+    return EV.average_precision(*_ranked(spark, sf)).select("job_id", r4("map", 6), r4("p_10", 6))
 
 
 @register("composite_eval", query("SELECT job_id, round(0.5::DOUBLE * ndcg_10 + 0.3::DOUBLE * ndcg_50 + 0.15::DOUBLE * map + 0.05::DOUBLE * p_10, 6) AS composite FROM nd JOIN ap USING (job_id)", "nd", "ap"))
