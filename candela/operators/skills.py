@@ -71,6 +71,22 @@ def with_skill_facts(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB) -> DataFr
     }).drop("_names", "_facts")
 
 
+def with_ai_skills(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB) -> DataFrame:
+    """Add ``ai_skill_names`` (in listed order), ``advanced_ai_skills`` (count of advanced and expert ones) and ``ai_skill_months``."""
+    named = df.withColumn("_ai", F.expr(f"filter(skills, s -> {short_any_sql('lower(s.name)', vocab.stuffing_terms)})"))
+    return named.withColumns({
+        "ai_skill_names": F.expr("coalesce(transform(_ai, s -> s.name), cast(array() AS array<string>))"),
+        "advanced_ai_skills": F.expr("coalesce(size(filter(_ai, s -> s.proficiency IN ('advanced', 'expert'))), 0)"),
+        "ai_skill_months": F.expr("coalesce(aggregate(_ai, 0D, (a, s) -> a + coalesce(s.duration_months, 0D)), 0D)"),
+    }).drop("_ai")
+
+
+def mean_proficiency(skills: str = "skills") -> Column:
+    """Mean level of all skills on the scale of the assessments (0-100); null without skills."""
+    weight = _by_level("s.proficiency", PROFICIENCY_DEPTH, 0.25)
+    return F.expr(f"try_divide(100D * aggregate({skills}, 0D, (a, s) -> a + {weight}), size({skills}))")
+
+
 def with_ai_certification(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCAB, name: str = "has_ai_certification") -> DataFrame:
     lowered = "transform(certifications, c -> lower(c.name))"
     return df.withColumn(name, F.expr(f"exists({lowered}, c -> {short_any_sql('c', vocab.certifications)})"))

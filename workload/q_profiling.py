@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from candela.operators import evaluation as EV, profiling as P, ranking as R
+from candela.operators import evaluation as EV, profiling as P, ranking as R, skills
 from candela.sources import sinks
 from workload import tables as T
 from workload.registry import register
@@ -79,10 +79,12 @@ def location_fit(spark, sf) -> DataFrame:
         P.salary_fit(F.col(f"{s}.min"), F.col(f"{s}.max"), 25, 60).alias("salary_fit"))
 
 
-@register("assessment_mean", query("SELECT candidate_id, CASE WHEN n % 5 = 0 THEN CAST(n % 101 AS DOUBLE) ELSE 50.0::DOUBLE END AS assessment FROM prof", "prof"))
+@register("assessment_mean", query("""SELECT candidate_id, round(CASE WHEN n % 5 = 0 THEN CAST(n % 101 AS DOUBLE) ELSE k.mean END, 6) AS assessment FROM prof LEFT JOIN (
+    SELECT d, 100.0::DOUBLE * avg(CASE level WHEN 'expert' THEN 1.0::DOUBLE WHEN 'advanced' THEN 0.85::DOUBLE WHEN 'intermediate' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END) AS mean FROM skill GROUP BY d) k USING (d)""", "prof", "skill"))
 def assessment_mean(spark, sf) -> DataFrame:
-    score = P.assessment_mean(F.col("signals.skill_assessment_scores"), ("nlp", "python"), F.lit(50.0))
-    return T.candidates(spark, sf).select("candidate_id", score.alias("assessment"))
+    """Without an assessment the mean proficiency of the skills stands in."""
+    score = P.assessment_mean(F.col("signals.skill_assessment_scores"), ("nlp", "python"), skills.mean_proficiency())
+    return T.candidates(spark, sf).select("candidate_id", F.round(score, 6).alias("assessment"))
 
 
 # --- evaluation: every source is a job, its labelled documents the judged pool -----

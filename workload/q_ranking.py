@@ -156,29 +156,29 @@ def rescore(spark, sf) -> DataFrame:
 
 
 _NOTICE = "CASE WHEN notice < 30 THEN 1.0::DOUBLE WHEN notice < 60 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END"
-_ALT = f"""SELECT p.candidate_id, least(1.0::DOUBLE, ai_skills / 10.0::DOUBLE) * 0.5::DOUBLE + depth * 0.3::DOUBLE + least(1.0::DOUBLE, w.months / 120.0::DOUBLE) * 0.2::DOUBLE AS skill,
+_ALT = f"""SELECT p.candidate_id, least(1.0::DOUBLE, ai_skills / 10.0::DOUBLE) * 0.5::DOUBLE + least(1.0::DOUBLE, advanced / 10.0::DOUBLE) * 0.3::DOUBLE + least(1.0::DOUBLE, ai_months / 120.0::DOUBLE) * 0.2::DOUBLE AS skill,
     0.3::DOUBLE * response + 0.25::DOUBLE * exp(-days / 90.0::DOUBLE) + 0.2::DOUBLE * interview + 0.15::DOUBLE * CAST(open_to_work AS DOUBLE) + 0.1::DOUBLE * {_NOTICE} AS beh,
     0.5::DOUBLE * CAST(country = 'India' AS DOUBLE) + 0.3::DOUBLE * CAST(regexp_matches(lower(location), 'pune|noida|hyderabad') OR relocates AS DOUBLE)
       + 0.2::DOUBLE * CAST(least(pay_max, 60) - greatest(pay_min, 25) > 0 AS DOUBLE) AS loc,
-    w.consulting, cert, git, hp, coalesce((SELECT 0), 0) AS z, p.d FROM prof p JOIN depth USING (d) JOIN work w USING (d) JOIN behs USING (d) JOIN certs USING (d) JOIN risk USING (d)"""
+    w.consulting, cert, git, hp, coalesce((SELECT 0), 0) AS z, p.d FROM prof p JOIN depth USING (d) JOIN aiskill USING (d) JOIN work w USING (d) JOIN behs USING (d) JOIN certs USING (d) JOIN risk USING (d)"""
 
 
 @register("alt_composite", query(f"""SELECT candidate_id, {r('skill')} AS skill_match, {r('beh')} AS behavior_score, {r('loc')} AS location_score,
     {r('''CASE WHEN hp > 0.8 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, (0.4::DOUBLE * sem + 0.3::DOUBLE * skill + 0.2::DOUBLE * beh + 0.1::DOUBLE * loc) * CASE WHEN consulting THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END
       + 0.05::DOUBLE * git + CASE WHEN cert THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END) END''')} AS alt_score
     FROM (SELECT a.*, CASE WHEN e.embedding IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]))) END AS sem
-      FROM ({_ALT}) a LEFT JOIN embeddings e ON e.vec_id = a.d)""", "prof", "depth", "work", "behs", "certs", "risk"))
+      FROM ({_ALT}) a LEFT JOIN embeddings e ON e.vec_id = a.d)""", "prof", "depth", "aiskill", "work", "behs", "certs", "risk"))
 def alt_composite(spark, sf) -> DataFrame:
     from candela.operators import career, signals, skills
-    docs = career.with_career_facts(career.with_ai_role_now(skills.with_skill_facts(skills.with_ai_certification(T.candidates(spark, sf)))))
+    docs = career.with_career_facts(career.with_ai_role_now(skills.with_ai_skills(skills.with_skill_facts(skills.with_ai_certification(T.candidates(spark, sf))))))
     rows = signals.with_risk(signals.with_trust(signals.with_behavior(docs, T.AS_OF)))
     sig, pay = (lambda n: F.col(f"signals.{n}")), "expected_salary_range_inr_lpa"
     facts = rows.select(
         "candidate_id", "consulting_only", "has_ai_certification", "github_score", "honeypot_probability", "days_since_active",
         sig("recruiter_response_rate"), sig("interview_completion_rate"), sig("notice_period_days"), sig("willing_to_relocate"),
         sig("open_to_work_flag").alias("open_to_work"),
-        F.least(F.lit(1.0), F.col("stuffing_skills") / 10.0).alias("skill_hits"), F.col("ai_skill_depth").alias("advanced_hits"),
-        F.least(F.lit(1.0), F.col("career_months") / 120.0).alias("skill_months"),
+        F.least(F.lit(1.0), F.col("stuffing_skills") / 10.0).alias("skill_hits"), F.least(F.lit(1.0), F.col("advanced_ai_skills") / 10.0).alias("advanced_hits"),
+        F.least(F.lit(1.0), F.col("ai_skill_months") / 120.0).alias("skill_months"),
         (F.col("profile.country") == "India").alias("in_country"),
         F.lower("profile.location").rlike("pune|noida|hyderabad").alias("in_city"),
         P.salary_fit(sig(f"{pay}.min"), sig(f"{pay}.max"), 25, 60).alias("salary_fit"))
@@ -295,18 +295,18 @@ def notes_summary(spark, sf) -> DataFrame:
     return E.notes_by_sentiment(_explained(spark, sf)).withColumn("impact", F.round("impact", 4))
 
 
-@register("reasoning_alt", query(f"""SELECT p.candidate_id, p.title || ' with ' || printf('%.1f', p.years) || 'yr experience; ' || ai_skills || ' core AI skills (' || coalesce(k.names, '') || '); recruiter response ' || {pct('response')}
+@register("reasoning_alt", query(f"""SELECT p.candidate_id, p.title || ' with ' || printf('%.1f', p.years) || 'yr experience; ' || ai_skills || ' core AI skills (' || k.ai_names || '); recruiter response ' || {pct('response')}
       || '; ' || days || 'd since last active; ' || p.location || '; notice period ' || {whole('notice')} || 'd; ' || CASE WHEN open_to_work THEN 'open to work' ELSE 'not open to work' END || '.'
       || CASE WHEN notice > 60 THEN ' Concern: ' || {whole('notice')} || 'd notice period.' ELSE '' END || CASE WHEN days > 90 THEN ' Concern: inactive ' || days || 'd on platform.' ELSE '' END
       || CASE WHEN response < 0.2 THEN ' Concern: low recruiter response rate (' || {pct('response')} || ').' ELSE '' END || CASE WHEN w.consulting THEN ' Note: entire career in services firms.' ELSE '' END
       || CASE WHEN github > 50 THEN ' Strong GitHub activity (' || {whole('github')} || '/100).' ELSE '' END AS reasoning_alt
-    FROM prof p JOIN depth USING (d) JOIN work w USING (d) JOIN days USING (d) LEFT JOIN (SELECT d, string_agg(name, ', ' ORDER BY i) AS names FROM skill WHERE i < 3 GROUP BY d) k USING (d)""",
-    "prof", "depth", "work", "days", "skill"))
+    FROM prof p JOIN depth USING (d) JOIN work w USING (d) JOIN days USING (d) JOIN aiskill k USING (d)""",
+    "prof", "depth", "work", "days", "aiskill"))
 def reasoning_alt(spark, sf) -> DataFrame:
     from candela.operators import career, signals, skills
-    docs = signals.with_behavior(career.with_career_facts(skills.with_skill_facts(T.candidates(spark, sf))), T.AS_OF)
+    docs = signals.with_behavior(career.with_career_facts(skills.with_ai_skills(skills.with_skill_facts(T.candidates(spark, sf)))), T.AS_OF)
     facts = docs.select("candidate_id", "profile.current_title", F.col("profile.years_of_experience").alias("total_years"),
-                        F.col("stuffing_skills").alias("skill_count"), F.expr("array_join(transform(slice(skills, 1, 3), s -> s.name), ', ')").alias("top_skills"),
+                        F.col("stuffing_skills").alias("skill_count"), F.expr("array_join(slice(ai_skill_names, 1, 3), ', ')").alias("top_skills"),
                         "signals.recruiter_response_rate", "days_since_active", "profile.location", "signals.notice_period_days",
                         F.col("signals.open_to_work_flag").alias("open_to_work"), "consulting_only", F.col("signals.github_activity_score").alias("github_raw"))
     return E.reasoning_alt(facts).select("candidate_id", "reasoning_alt")

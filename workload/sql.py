@@ -110,6 +110,9 @@ cte("depth", ("prof", "skill"), f"""SELECT p.d, least(1.0::DOUBLE, coalesce(k.w,
         + least(0.2::DOUBLE, months / 60.0::DOUBLE) ELSE 0.0::DOUBLE END ORDER BY i) AS w,
       CAST(sum(CASE WHEN {any_of('lower(name)', V.DEFAULT_VOCAB.stuffing_terms)} THEN 1 ELSE 0 END) AS BIGINT) AS ai
     FROM skill GROUP BY d) k USING (d)""")
+cte("aiskill", ("prof", "skill"), f"""SELECT p.d, coalesce(k.advanced, 0) AS advanced, coalesce(k.months, 0.0::DOUBLE) AS ai_months, coalesce(k.names, '') AS ai_names FROM prof p LEFT JOIN (
+    SELECT d, sum(CASE WHEN level IN ('advanced', 'expert') THEN 1 ELSE 0 END) AS advanced, sum(months) AS months, string_agg(name, ', ' ORDER BY i) FILTER (k <= 3) AS names
+    FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY i) AS k FROM skill WHERE {any_of('lower(name)', V.DEFAULT_VOCAB.stuffing_terms)}) GROUP BY d) k USING (d)""")
 cte("certs", ("prof", "cert"), f"SELECT p.d, coalesce(bool_or({any_of('lower(c.name)', V.AI_CERTIFICATIONS)}), false) AS cert FROM prof p LEFT JOIN cert c USING (d) GROUP BY p.d")
 _f = "lower(trim(company, ' '))"
 cte("work", ("prof", "career"), f"""SELECT p.d, coalesce(k.months, 0) AS months, coalesce(k.ai_years, 0) AS ai_years, coalesce(k.product, 0) AS product,
