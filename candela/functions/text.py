@@ -96,11 +96,15 @@ def normalise_text(col: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkd(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility decomposition; Spark has no built-in for it."""
+def _decomposed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
+def nfkd(col: Column) -> Column:
+    """Unicode compatibility decomposition; Spark has no built-in for it, so non-ASCII texts go to Python workers."""
+    return F.coalesce(_decomposed(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
+
+
 def heading_key(col: Column) -> Column:
     """Lower-case heading without trailing punctuation."""
     return F.trim(F.regexp_replace(F.lower(normalise_text(col)), "[\"'?.!]+$", ""))

@@ -15,13 +15,24 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision, clipped to [0, 1]; 0 for a missing or zero vector."""
-    value = F.try_divide(dot(a, b), norm(a) * norm(b))
+def unit(a: Column) -> Column:
+    """Vector of length 1, so that a pair's cosine is one dot product; null elements for a zero vector."""
+    # the outer lambda binds the length: written inside the inner one it would be summed anew for every element
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.try_divide(x.cast("double"), n)))
+    return F.get(scaled, F.lit(0))
+
+
+def clipped(value: Column) -> Column:
+    """To [0, 1]; 0 for null."""
     known = F.coalesce(value, F.lit(0.0))  # greatest and least would skip a null
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), known))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine in double precision, clipped to [0, 1]; 0 for a missing or zero vector."""
+    return clipped(F.try_divide(dot(a, b), norm(a) * norm(b)))
+
+
 def weighted_sum(parts: list[tuple[Column, float]]) -> Column:
     """Element-wise linear combination of equally long vectors."""
     def scale(weight: float):

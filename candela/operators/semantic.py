@@ -17,14 +17,24 @@ def with_cosine(df: DataFrame, vec: str = "embedding", job_vec: str = "job_vec",
     return df.withColumn(name, V.cosine(F.col(vec), F.col(job_vec)))
 
 
+def with_unit_cosine(df: DataFrame, vec: str = "embedding", job_vec: str = "job_vec", name: str = "semantic_score") -> DataFrame:
+    """Clipped cosine of two columns that hold unit vectors already: one dot product a pair."""
+    return df.withColumn(name, V.clipped(V.dot(F.col(vec), F.col(job_vec))))
+
+
+def with_unit(df: DataFrame, vec: str) -> DataFrame:
+    """Scale a vector column to length 1, before rows are paired."""
+    return df.withColumn(vec, V.unit(F.col(vec)))
+
+
 def score_against(df: DataFrame, job: DataFrame, vec: str = "embedding", name: str = "semantic_score") -> DataFrame:
     """Cosine against one posting's vector.
 
     ``job`` is a one-row, one-column query; it is used as a scalar subquery, so it runs
     once and no join is planned.
     """
-    beside = df.withColumn("_job_vec", job.scalar())
-    return beside.withColumn(name, V.cosine(F.col(vec), F.col("_job_vec"))).drop("_job_vec")
+    beside = df.withColumn("_job_vec", with_unit(job, job.columns[0]).scalar())
+    return beside.withColumn(name, V.clipped(F.try_divide(V.dot(F.col(vec), F.col("_job_vec")), V.norm(F.col(vec))))).drop("_job_vec")
 
 
 def attach_vectors(features: DataFrame, vectors: DataFrame, key: str = "candidate_id", vec: str = "embedding") -> DataFrame:
@@ -52,23 +62,27 @@ def weighted_field_embedding(df: DataFrame, fields: dict[str, str], name: str =
     return df.withColumn(name, V.weighted_sum(parts))
 
 
-def embed_tfidf(df: DataFrame, text: str, name: str = "embedding", dims: int = 256) -> DataFrame:
+def slots(text: Column, dims: int) -> Column:
+    """Slot number, as text, of every word: the first 32 bits of its MD5 modulo ``dims``, the same in any engine."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(F.encode(w, "UTF-8")), 1, 8), 16, 10).cast("long") % dims).cast("string"))
+
+
+def embed_tfidf(df: DataFrame, text: str, name: str = "embedding", dims: int = 256, dtype: str = "float32") -> DataFrame:
     """Hashed TF-IDF vectors, unit length; needs no model files.
 
-    One pass counts document frequencies (a ``dims``-wide aggregate), the rest is a map.
+    One pass counts document frequencies (a ``dims``-wide aggregate), the rest is a map. The vocabulary is the slot
+    numbers, so it never grows with the texts.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    stages = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
-    ])
-    fitted = stages.fit(df.select(text))
-    return (fitted.transform(df).withColumn(name, vector_to_array("_vec", "float32"))
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], inputCol="_tok", outputCol="_tf")
+    stages = Pipeline(stages=[counts, IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)])
+    words = df.withColumn("_tok", slots(F.col(text), dims))
+    fitted = stages.fit(words.select("_tok"))
+    return (fitted.transform(words).withColumn(name, vector_to_array("_vec", dtype))
             .drop("_tok", "_tf", "_idf", "_vec"))
 
 

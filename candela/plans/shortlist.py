@@ -31,8 +31,8 @@ def score_pairs(base: DataFrame, vectors: DataFrame, jobs: DataFrame, config: En
     """
     asked = jobs.select(*JOB_COLUMNS)
     scanned = skills.with_present_terms(base.select("pool", *DETAIL, *vocab.domains), asked)
-    paired = R.pair_jobs(H.attach_vectors(scanned, vectors), asked)
-    scored = H.with_cosine(job_features(paired, vocab))
+    paired = R.pair_jobs(H.attach_vectors(scanned, H.with_unit(vectors, "embedding")), H.with_unit(asked, "job_vec"))
+    scored = H.with_unit_cosine(job_features(paired, vocab))
     # a row without usable features has no text to compare
     known = F.when(F.col("ok"), F.col("semantic_score")).otherwise(F.lit(0.0))
     return R.hybrid_score(scored.withColumn("semantic_score", known).drop("embedding", "job_vec"), config)

@@ -76,3 +76,12 @@ def test_cosine(spark):
         V.cosine(vec(1, 0), vec(1, 0)).alias("same"), V.cosine(vec(1, 0), vec(-1, 0)).alias("opposite"),
         V.cosine(vec(0, 0), vec(1, 0)).alias("zero"), V.cosine(F.lit(None).cast("array<float>"), vec(1, 0)).alias("missing")).first()
     assert (row.same, row.opposite, row.zero, row.missing) == (1.0, 0.0, 0.0, 0.0)
+    unit = spark.range(1).select(V.unit(vec(3, 4)).alias("u"), V.clipped(V.dot(V.unit(vec(0, 0)), V.unit(vec(1, 0)))).alias("zero"),
+                                 V.clipped(V.dot(V.unit(F.lit(None).cast("array<float>")), V.unit(vec(1, 0)))).alias("missing"),
+                                 V.clipped(V.dot(V.unit(vec(3, 4)), V.unit(vec(4, 3)))).alias("pair")).first()
+    assert unit.u == [0.6, 0.8] and (unit.zero, unit.missing) == (0.0, 0.0) and abs(unit.pair - 0.96) < 1e-12
+
+
+def test_nfkd(spark):
+    df = spark.createDataFrame([("plain",), ("caf\u00e9 \ufb01",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(X.nfkd(F.col("t"))).collect()] == ["plain", "cafe\u0301 fi", "", None]

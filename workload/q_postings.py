@@ -57,11 +57,11 @@ def normalise_text(spark, sf) -> DataFrame:
     return docs.select("doc_id", X.normalise_text(F.col("text")).alias("clean")).select("doc_id", md5("clean"))
 
 
-@register("nfkd_text", "SELECT doc_id, true AS decomposed FROM documents")
+@register("nfkd_text", "SELECT doc_id, md5(strip_accents(text)) AS bare FROM documents")
 def nfkd_text(spark, sf) -> DataFrame:
-    """Compatibility decomposition; composed letters must be gone afterwards."""
+    """Compatibility decomposition, without the marks that it sets free."""
     docs = T.spread(T.table(spark, sf, "documents")).select("doc_id", X.nfkd(F.col("text")).alias("t"))
-    return docs.select("doc_id", (~F.col("t").rlike("[éèêçñüöäáíóú]")).alias("decomposed"))
+    return docs.select("doc_id", F.regexp_replace("t", r"\p{Mn}", "").alias("bare")).select("doc_id", md5("bare"))
 
 
 @register("route_sections", query("SELECT job_id, no AS para_no, head AS is_heading, coalesce(section, '') AS section FROM routed", "routed"))

@@ -128,8 +128,8 @@ def composite_eval(spark, sf) -> DataFrame:
 
 
 @register("validate_submission", query("""SELECT count(*) = 100 AS row_count_ok, count(DISTINCT rnk) = 100 AND min(rnk) = 1 AND max(rnk) = 100 AS ranks_ok, count(DISTINCT candidate_id) = count(*) AS ids_unique,
-    bool_and(candidate_id IN (SELECT candidate_id FROM prof)) AS ids_in_pool, true AS scores_fall, min(final) < max(final) AS scores_vary, avg(CASE WHEN hp >= 0.7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) < 0.1 AS honeypots_ok
-    FROM (SELECT b.*, s.hp, row_number() OVER (ORDER BY b.final DESC, b.candidate_id) AS rnk FROM best b JOIN safe s USING (candidate_id)) WHERE rnk <= 100""", "best", "prof", "safe"))
+    bool_and(candidate_id IN (SELECT candidate_id FROM prof)) AS ids_in_pool, count(CASE WHEN final > prev THEN 1 END) = 0 AS scores_fall, min(final) < max(final) AS scores_vary, avg(CASE WHEN hp >= 0.7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) < 0.1 AS honeypots_ok
+    FROM (SELECT b.*, s.hp, row_number() OVER (ORDER BY b.final DESC, b.candidate_id) AS rnk, lag(b.final) OVER (ORDER BY b.final DESC, b.candidate_id) AS prev FROM best b JOIN safe s USING (candidate_id)) WHERE rnk <= 100""", "best", "prof", "safe"))
 def validate_submission(spark, sf) -> DataFrame:
     from workload.q_ranking import _one_job
     path = sinks.new_folder(spark, "checked")

@@ -34,8 +34,8 @@ def _attached(spark, sf) -> DataFrame:
     """Scores of every candidate against every job, attached by id."""
     from candela.operators.ranking import pair_jobs
     vecs = T.vectors(spark, sf)
-    pairs = pair_jobs(vecs, T.jobs(spark, sf).select("job_id", "job_vec"))
-    return H.with_cosine(pairs).select("job_id", "candidate_id", "semantic_score")
+    pairs = pair_jobs(H.with_unit(vecs, "embedding"), H.with_unit(T.jobs(spark, sf).select("job_id", "job_vec"), "job_vec"))
+    return H.with_unit_cosine(pairs).select("job_id", "candidate_id", "semantic_score")
 
 
 @register("attach_scores", query(f"""SELECT p.candidate_id, p.title AS current_title, {r('max(CASE WHEN e.embedding IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(e.embedding::DOUBLE[], j.vec::DOUBLE[]))) END)')} AS semantic_score
@@ -69,11 +69,16 @@ def weighted_vec(spark, sf) -> DataFrame:
     return out.select("vec_id", F.round(total, 6).alias("total"), F.round(Vec.norm(F.col("embedding")), 6).alias("length"))
 
 
-@register("embed_tfidf")
+@register("embed_tfidf", r"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS word FROM documents),
+    tf AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 256 AS INTEGER) AS slot, count(*)::DOUBLE AS n FROM words GROUP BY ALL),
+    idf AS (SELECT slot, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) AS w FROM tf GROUP BY slot),
+    v AS (SELECT doc_id, slot, n * w AS x FROM tf JOIN idf USING (slot))
+    SELECT doc_id, slot, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM v WHERE x <> 0""")
 def embed_tfidf(spark, sf) -> DataFrame:
+    """The entries of the vectors that are not 0."""
     docs = T.spread(T.table(spark, sf, "documents")).select("doc_id", "text")
-    out = H.embed_tfidf(docs, "text")
-    return out.select("doc_id", F.size("embedding").alias("dims"), F.round(Vec.norm(F.col("embedding")), 4).alias("length"))
+    out = H.embed_tfidf(docs, "text", dtype="float64")
+    return out.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).filter("weight != 0").withColumn("weight", F.round("weight", 6))
 
 
 # --- ranking ---------------------------------------------------------------------
