@@ -157,7 +157,7 @@ def with_embedding_text(df: DataFrame, name: str = "embedding_text", max_chars:
         concat(profile.current_title, ' at ', profile.current_company, '.'),
         concat(cast(profile.years_of_experience AS string), ' years of experience in ', profile.current_industry, '.'),
         profile.headline,
-        CASE WHEN array_join({top}, ', ') <> '' THEN concat('Skills: ', array_join({top}, ', '), '.') END,
+        nullif(concat('Skills: ', array_join({top}, ', '), '.'), 'Skills: .'),
         CASE WHEN size(career_history) > 0 THEN concat('Career: ',
             array_join(transform(slice(career_history, 1, {EMBED_TITLES}), j -> j.title), '; '), '.') END,
         CASE WHEN size(certifications) > 0 THEN concat('Certifications: ',

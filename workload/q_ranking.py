@@ -337,8 +337,10 @@ def search(spark, sf) -> DataFrame:
 @register("paginate", query("""SELECT candidate_id, job_id, CAST(rnk AS INTEGER) AS rank, 100::BIGINT AS total, 4::BIGINT AS total_pages FROM
     (SELECT *, row_number() OVER (ORDER BY final DESC, candidate_id) AS rnk FROM best) WHERE rnk BETWEEN 26 AND 50""", "best"))
 def paginate(spark, sf) -> DataFrame:
-    ranked = SV.project_list_view(R.top_k(_one_job(spark, sf), 100))
-    return SV.paginate(ranked, page=2, size=25).select("candidate_id", "job_id", "rank", "total", "total_pages")
+    """The shortlist is stored once; a page reads the stored rows."""
+    path = sinks.new_folder(spark, "shortlist")
+    sinks.write_snapshot(SV.project_list_view(R.top_k(_one_job(spark, sf), 100)).select("candidate_id", "job_id", "rank"), path, "run-1")
+    return SV.paginate(sinks.read_snapshot(spark, path), page=2, size=25).select("candidate_id", "job_id", "rank", "total", "total_pages")
 
 
 @register("lookup", query(f"""SELECT t.job_id, t.candidate_id, CAST(t.rnk AS INTEGER) AS rank, t.final AS final_score, f.title AS current_title, {r('f.depth')} AS ai_skill_depth
