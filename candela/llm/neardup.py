@@ -1,7 +1,8 @@
 """Near-duplicates of word shingles: banded MinHash candidates, odd sketches, exact confirmation, components.
 
 1. One pass over the texts: shingle set, its digest, MinHash samples, their odd sketch and band keys.
-2. Documents with equal sets are one node, named by the smallest id: no pairs among copies.
+2. Rows with equal sets are one node, named by its smallest row number: no pairs among copies. Ids play no part before the
+   components are named, so rows may lack an id or share one.
 3. In every band bucket each node is paired with the bucket's smallest node: linear, whatever the bucket's size.
 4. A pair stays when the odd sketches' estimate allows it, and is a link when the full sets confirm it.
 5. Components. Buckets that still hold several of them name (node, bin of foreign components) candidates, compared
@@ -20,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from candela.llm.common import stored
+from candela.llm.common import key_text, stored
 
 CHUNK = 256               # shingles hashed at once: the block stays in the processor's cache
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -116,16 +117,24 @@ class Sketcher:
         return keys.view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def content(key: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of id and text: the same for equal rows only. A null text counts as empty."""
+    return F.unhex(F.md5(F.concat_ws(":", key_text(F.col(key).cast("long")), F.coalesce(F.col(text), F.lit("")))))
+
+
 def sketches(docs: DataFrame, shape: Shape, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, digest, sketch, bands``; the last three are null for a document without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
+    """``row, doc_id, content, n_shingles, digest, sketch, bands``; the last three are null for a document without words.
+
+    ``row`` numbers the rows and holds only once the result is stored.
+    """
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("content", pa.binary()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
                         ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(shape)
         for batch in batches:
             size, digest, sketch, bands = [], [], [], []
-            for s in batch.column(1):
+            for s in batch.column(3):
                 found = shingle_set(s.as_py(), shape.shingle)
                 size.append(len(found))
                 if len(found):
@@ -136,30 +145,35 @@ def sketches(docs: DataFrame, shape: Shape, key: str = "doc_id", text: str = "te
                 else:
                     for out in (digest, sketch, bands):
                         out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip((size, digest, sketch, bands), list(schema)[1:])]], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, f.type) for c, f in zip((size, digest, sketch, bands), list(schema)[3:])]], schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
-        one, "doc_id long, n_shingles long, digest binary, sketch array<long>, bands array<long>")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), content(key, text).alias("content"), F.col(text)).mapInArrow(
+        one, "row long, doc_id long, content binary, n_shingles long, digest binary, sketch array<long>, bands array<long>")
 
 
 def similar_by_sketch(pairs: DataFrame, nodes: DataFrame, shape: Shape) -> DataFrame:
-    """Pairs (a, b) whose estimated similarity is not too low."""
-    sk = nodes.select("node", "sketch")
-    both = (pairs.join(sk.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b"))
+    """Pairs (a, b) whose estimated similarity is not too low, with the contents (ca, cb) of their nodes."""
+    both = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("content").alias("ca")), "a")
+            .join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("content").alias("cb")), "b"))
     odd = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(shape.sketch_longs)), F.lit(0))
-    return both.filter(shape.estimate(odd) >= shape.least_estimate).select("a", "b")
+    return both.filter(shape.estimate(odd) >= shape.least_estimate).select("a", "b", "ca", "cb")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shape: Shape, key: str = "doc_id", text: str = "text") -> DataFrame:
+def contents(docs: DataFrame, all_: DataFrame) -> DataFrame:
+    """``content, text``, one row for each content. Only rows whose content occurs more than once are grouped."""
+    texts = docs.select(content().alias("content"), "text")
+    again = stored(all_.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content"), "repeated")
+    return texts.join(again, "content", "left_anti").unionByName(texts.join(again, "content", "left_semi").dropDuplicates(["content"]))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough.
 
     Only texts that stand in a pair move. Neither side is grouped, so a node with very many pairs is split by
     the skew join like any other; its set is kept while its rows follow each other.
     """
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    rows = (pairs.join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-            .join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb"))
+    rows = (pairs.join(texts.select(F.col("content").alias("cb"), F.col("text").alias("tb")), "cb")
+            .join(texts.select(F.col("content").alias("ca"), F.col("text").alias("ta")), "ca").select("a", "b", "ta", "tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, str, np.ndarray] = (None, "", np.array([], np.uint64))
@@ -222,7 +236,7 @@ def binned(part: DataFrame, shape: Shape) -> DataFrame:
     return stored(bins.drop("size").join(sizes, "bin"), "sized_bins")
 
 
-def across_components(shared: DataFrame, nodes: DataFrame, named: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
+def across_components(shared: DataFrame, nodes: DataFrame, named: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
     """Links (a, b) that join all components between which there is any link, in blocks.
 
     Candidates are (node, bin of other components) that meet in ``shape.meetings`` buckets or more; the smaller bin's
@@ -230,7 +244,7 @@ def across_components(shared: DataFrame, nodes: DataFrame, named: DataFrame, doc
     sketches of one block with those of another as a matrix and the full sets where the estimate allows, so no pair is a
     row and no group meets whole. Components that a task has joined already are not compared again there.
     """
-    of = nodes.filter("node is not null").select("node", "sketch").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = nodes.select("node", "sketch").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     part = shared.select("bucket", "hub", "node").join(of.select("node", "component"), "node")
     mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
     part = stored(part.join(mixed, "bucket", "left_semi"), "mixed")
@@ -244,12 +258,11 @@ def across_components(shared: DataFrame, nodes: DataFrame, named: DataFrame, doc
     met = stored(met.drop("n"), "met")
     blocks = met.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / shape.block).alias("n_left"), F.ceil(F.max("other_size") / shape.block).alias("n_right"))
     blocks = stored(blocks, "blocks")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    sketch = nodes.select("node", "sketch")
-    left = (met.join(blocks, "other").join(sketch, "node").join(texts, "node")
+    sketch = nodes.select("node", "sketch", "content")
+    left = (met.join(blocks, "other").join(sketch, "node").join(texts, "content")
             .withColumn("l", F.pmod(F.xxhash64("node"), "n_left")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1))))
     members = part.select("node", "component", F.col("bin").alias("other"), F.lit(False).alias("own")).distinct()
-    right = (members.join(blocks, "other").join(sketch, "node").join(texts, "node")
+    right = (members.join(blocks, "other").join(sketch, "node").join(texts, "content")
              .withColumn("r", F.pmod(F.xxhash64("node"), "n_right")).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1))))
     most = next(z for z in range(shape.bits // 2, -1, -1) if shape.estimate_of(z) >= shape.least_estimate)
 
@@ -291,31 +304,58 @@ def across_components(shared: DataFrame, nodes: DataFrame, named: DataFrame, doc
     return stored(pairs, "across")
 
 
-def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row.
+def grouped(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row, doc_id, content, n_shingles, first`` for every row.
 
-    ``component_id`` is the smallest id that links reach, ``kept`` says that the row has it. A text without words (null,
-    empty, blank) has no shingles, links with nothing and is kept. Rows with equal sets are linked whatever their
-    number; rows that repeat an id share its component and are all kept or all not. A row without an id takes the component of
-    its copies and is kept only if that has no id either. An empty table gives no rows.
+    ``first`` is the first row (``none, doc_id, content, row``; ``none``: without an id) of the row's component, by
+    id, rows without one last; null for a text without words, which links with nothing.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     all_ = stored(sketches(slim, shape, "doc_id", "text"), "sketches")
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "row")).alias("lowest")
     nodes = stored(all_.filter("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")), "nodes")
-    placed = nodes.filter("node is not null").select("node", F.explode("bands").alias("bucket"))
+        F.min("row").alias("node"), F.min_by("content", "row").alias("content"), lowest,
+        F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")), "nodes")
+    placed = nodes.select("node", F.explode("bands").alias("bucket"))
     hubs = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = stored(placed.join(hubs, "bucket"), "shared")
+    texts = contents(slim, all_)
 
     def linked(pairs: DataFrame) -> DataFrame:
         likely = stored(similar_by_sketch(pairs.filter("a != b").distinct(), nodes, shape), "pairs")
-        return stored(confirmed(likely, slim, shape, "doc_id", "text"), "links")
+        return stored(confirmed(likely, texts, shape), "links")
 
     first = linked(shared.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     named = components(first)
-    second = across_components(shared, nodes, named, slim, shape)
+    second = across_components(shared, nodes, named, texts, shape)
     named = components(first.unionByName(second))
-    ids = nodes.select("digest", "node").join(named, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = all_.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of = nodes.select("digest", "node", "lowest").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = of.groupBy("component").agg(F.min("lowest").alias("first"))
+    of = of.select("digest", "component").join(firsts, "component").select("digest", "first")
+    return all_.select("row", "doc_id", "content", "n_shingles", "digest").join(of, "digest", "left").drop("digest")
+
+
+def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row.
+
+    ``component_id`` is the smallest id that links reach, null if they reach none; ``kept`` marks one row of a component,
+    by id and text. A text without words (null, empty, blank) has no shingles, links with nothing and is kept. Rows with
+    equal sets are linked whatever their number. Rows are told apart by id and text: rows that repeat both are all kept or
+    all not, other texts under the same id are rows of their own. Rows without an id are linked like any other; one
+    of them is kept if no row of the component has an id. An empty table gives no rows.
+    """
+    first = F.col("first")
+    kept = F.when(first.isNull(), True).when(first["none"], F.col("row") == first["row"]).otherwise(F.col("content") == first["content"])
+    return grouped(docs, shape, key, text).select(
+        "doc_id", "n_shingles", F.when(first.isNull(), F.col("doc_id")).otherwise(first["doc_id"]).alias("component_id"), kept.alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, unchanged; rows that repeat id and text count as one. Texts without words all stay,
+    but for rows that repeat their id too."""
+    name = "_content"
+    found = grouped(docs, shape, key, text)
+    kept = found.filter("first is null or row = first.row").select(F.col("content").alias(name)).distinct()
+    rows = docs.withColumn(name, content(key, text)).join(kept, name, "left_semi")
+    many = F.col(key).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return rows.filter(~many).dropDuplicates([name]).unionByName(rows.filter(many)).drop(name)

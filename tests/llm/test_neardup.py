@@ -86,6 +86,22 @@ def test_edges(spark):
     assert run(spark, [])[1] == []
 
 
+def test_rows_without_an_id_and_ids_with_two_texts(spark):
+    """Links go by rows: near copies without ids meet, distinct ones stay, and texts of one id are told apart."""
+    near = variants(3, 3, change=1)
+    lone = variants(4, 1) + variants(5, 1)
+    two = variants(6, 1) + variants(7, 1)
+    with_id = variants(8, 2, change=1)
+    rows = [(None, t) for t in near + lone] + [(20, two[0]), (20, two[1]), (None, with_id[0]), (30, with_id[1]), (None, lone[0])]
+    _, got = run(spark, rows)
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == sorted(
+        [(0, 0, True), (0, 0, False), (0, 0, False)] + [(0, 0, True)] * 2 + [(0, 0, False)] + [(20, 20, True)] * 2 + [(0, 30, False), (30, 30, True)])
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    kept = neardup.distinct_documents(docs, SHAPE).collect()
+    assert len(kept) == 6 and sum(r.text in near for r in kept) == 1
+    assert {(r.doc_id, r.text) for r in kept} >= {(None, lone[0]), (None, lone[1]), (20, two[0]), (20, two[1]), (30, with_id[1])}
+
+
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, "a b", "x", 1, "q")], "doc_id long, text string, kept string, component_id int, digest string")
     assert neardup.near_duplicates(df, SHAPE).first().kept is True

@@ -119,3 +119,14 @@ def test_pipeline_stages(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert sorted(got) == [*range(30), 92]
     assert got[92].text.endswith("mail [EMAIL] now.") and got[92].n_chars == len(got[92].text)
+
+
+def test_dedup_keeps_documents_without_an_id(spark):
+    line = lambda i, n=40: " ".join(f"w{i}x{j}" for j in range(n)) + "."
+    rows = ([(None, line(i), "en", "s", 1) for i in (1, 2, 3, 4, 4)] + [(7, line(3), "en", "s", 1), (8, line(8), "en", "s", 1), (8, line(9), "en", "s", 1)]
+            + [(8, line(8), "en", "s", 1)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(None, line(1)), (None, line(2)), (None, line(4)), (7, line(3)), (8, line(8)), (8, line(9))], key=str)
