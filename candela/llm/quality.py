@@ -100,13 +100,13 @@ def fit(docs: DataFrame, labelled: DataFrame, space: Space = Space(), key: str =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"k": batch.column(0), "label": batch.column(1),
-                                              "x": [counts(s.as_py(), space).astype(np.float16).tobytes() for s in batch.column(2)]})
+                                              "x": [counts(s.as_py(), space).tobytes() for s in batch.column(2)]})
 
     found = (docs.select(F.col(key).alias("dk"), F.col(text).alias("t")).join(some, F.col("dk") == F.col("k"))
              .select("k", "label", "t").mapInArrow(rows, "k long, label double, x binary").orderBy("k", "label", "x").collect())
     if not found:
         return Model(idf, np.zeros((space.terms, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    x = weighted(np.stack([np.frombuffer(r.x, np.float16) for r in found]).astype(np.float32), idf, space)
+    x = weighted(np.stack([np.frombuffer(r.x, np.float32) for r in found]), idf, space)
     values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
     axes = axes[:, np.argsort(-values)[:space.dims]].astype(np.float32)
     return Model(idf, axes, unit(x @ axes), np.array([r.label for r in found]))

@@ -108,6 +108,17 @@ def test_quality_votes(spark):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_of_long_labelled_texts(spark):
+    """A term may occur over 65504 times, and a labelled text has the vector of the same text when scored."""
+    rows = [(0, "a" * 70_000), (1, "BUY!! " * 5000), *[(i, PROSE * i) for i in range(2, 12)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    space = quality.Space()
+    model = quality.fit(docs, spark.createDataFrame([(i, float(i > 1)) for i, _ in rows], "doc_id long, label double"), space)
+    assert np.isfinite(model.axes).all() and np.isfinite(model.vectors).all()
+    own = quality.unit(quality.weighted(np.stack([quality.counts(t, space) for _, t in rows]), model.idf, space) @ model.axes)
+    assert np.allclose(own, model.vectors, atol=1e-5)
+
+
 def test_pipeline_stages(spark):
     line = lambda i, n=40: " ".join(f"w{i}x{j}" for j in range(n)) + "."
     rows = [(i, line(i), "en", "s", 1) for i in range(30)] + [(90, line(3), "en", "s", 1), (91, None, None, None, None), (92, line(92) + "\nmail a@b.com now.", "en", "t", 1)]
