@@ -24,7 +24,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 
 
 class Events(HTMLParser):
-    """Blocks as (text, tags inside, characters in links, container): a container is an article or main element."""
+    """Blocks as (text, tags inside, characters in links, outermost container or 0): a container is an article or main element."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -40,7 +40,7 @@ class Events(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, self.tags, self.linked, self.containers[-1][1] if self.containers else 0))
+            self.blocks.append((text, self.tags, self.linked, self.containers[0][1] if self.containers else 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def unwanted(self, tag: str, attrs: list) -> bool:
@@ -116,9 +116,10 @@ def main_text(html: str | None) -> str:
     """The main text; one line per block.
 
     Lines are the page's blocks outside parts that are no content by element, role or name. Each has a text-to-tag ratio (link
-    text does not count); smoothed ratios over half their mean form the content cluster. If the page marks articles, the
-    one with the most cluster weight is taken with all its lines, so short paragraphs stay; else the lines from the
-    first to the last of the cluster, but for lines that are mostly links.
+    text does not count); smoothed ratios over half their mean form the content cluster. If most of the cluster lies in
+    articles or main elements, each outermost one that holds a part of it stays with all its lines and all that is nested in
+    it, so short paragraphs and headings stay; else the lines of the page from the first to the last of the cluster, but for lines
+    that are mostly links.
     """
     parser = Events()
     parser.feed(html or "")
@@ -129,15 +130,11 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smoothed([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in blocks])
     threshold = sum(ratios) / len(ratios) / 2
-    weight: dict[int, float] = {}
-    for (t, _, _, c), r in zip(blocks, ratios):
-        if r >= threshold:
-            weight[c] = weight.get(c, 0.0) + len(t)
-    marked = {c: w for c, w in weight.items() if c}
-    if marked:
-        best = max(marked, key=lambda c: (marked[c], -c))
-        return "\n".join(t for t, _, _, c in blocks if c == best)
     content = [i for i, r in enumerate(ratios) if r >= threshold]
+    weight = {marked: sum(len(blocks[i][0]) for i in content if bool(blocks[i][3]) == marked) for marked in (True, False)}
+    if weight[True] and weight[True] >= weight[False]:
+        held = {blocks[i][3] for i in content} - {0}
+        return "\n".join(t for t, _, _, c in blocks if c in held)
     if not content:
         return ""
     return "\n".join(t for t, _, linked, _ in blocks[content[0]:content[-1] + 1] if 2 * linked <= len(t))

