@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from candela.llm import q_fingerprints, q_native, q_neardup, q_packing, q_pii, q_text
+from candela.llm import q_fingerprints, q_native, q_neardup, q_packing, q_pii, q_suffix, q_text
 
-QUERIES = {**q_fingerprints.QUERIES, **q_native.QUERIES, **q_neardup.QUERIES, **q_packing.QUERIES, **q_pii.QUERIES, **q_text.QUERIES}
-ORACLES = {**q_fingerprints.ORACLES, **q_native.ORACLES, **q_neardup.ORACLES, **q_packing.ORACLES, **q_pii.ORACLES, **q_text.ORACLES}
+MODULES = (q_fingerprints, q_native, q_neardup, q_packing, q_pii, q_suffix, q_text)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
