@@ -239,22 +239,20 @@ def search(docs: DataFrame, queries: DataFrame, query_id: str = "item_id", shape
     shards = stored(index(docs, shape, own), "shards")
     n_docs, n_terms = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     counts = stored(shards.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).groupBy("t.terms").agg(F.sum("t.df").alias("df")), "term-counts")
-    kind = queries.schema["query"].dataType.simpleString()
-    schema = f"query {kind}, number long, doc_id long, score long"
     results = None
     for batch in range(n_batches):
-        rows = [(r.query, sorted({t.decode() for t in terms_of(r.text)})) for r in dealt.filter(F.col("batch") == batch).orderBy("query", "text").collect()]
+        rows = [(r.row, sorted({t.decode() for t in terms_of(r.text)})) for r in dealt.filter(F.col("batch") == batch).select("row", "text").collect()]
         asked = queries.sparkSession.createDataFrame([(t,) for t in sorted({t for _, ts in rows for t in ts})], "terms string")
         weights = {r.terms: weight(n_docs, r.df) for r in counts.join(F.broadcast(asked), "terms").collect()}
-        found = shards.mapInArrow(_searcher(rows, weights, n_docs, n_terms, batch, shape), schema)
+        found = shards.mapInArrow(_searcher(rows, weights, n_docs, n_terms, shape), "row long, doc_id long, score long")
         results = found if results is None else results.unionByName(found)
     heaps = stored(results, "heaps")
     salts = max(1, heaps.count() // (64 * shape.top * max(1, n_queries)))      # so many that 64 tasks' heaps meet in one place
     order = [F.desc("score"), F.col("doc_id").asc_nulls_first()]
-    part = Window.partitionBy("number", F.pmod(F.xxhash64("doc_id", "score"), F.lit(salts))).orderBy(*order)
+    part = Window.partitionBy("row", F.pmod(F.xxhash64("doc_id", "score"), F.lit(salts))).orderBy(*order)
     merged = heaps.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= shape.top)
-    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy(*order))).filter(F.col("rank") <= shape.top)
-    return ranked.select(F.col("query").alias(query_id), "rank", "doc_id", "score")
+    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(*order))).filter(F.col("rank") <= shape.top)
+    return ranked.join(queries.select("row", "query"), "row").select(F.col("query").alias(query_id), "rank", "doc_id", "score")
 
 
 def _own_terms(queries: DataFrame, shape: Search) -> set[bytes] | None:
@@ -267,7 +265,7 @@ def _own_terms(queries: DataFrame, shape: Search) -> set[bytes] | None:
     return {r.term.encode() for r in terms} if len(terms) <= shape.own_terms else None
 
 
-def _searcher(rows: list[tuple], weights: dict[str, int], n_docs: int, n_terms: int, batch: int, shape: Search):
+def _searcher(rows: list[tuple], weights: dict[str, int], n_docs: int, n_terms: int, shape: Search):
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps = [Heap(shape.top) for _ in rows]
         for b in batches:
@@ -276,9 +274,7 @@ def _searcher(rows: list[tuple], weights: dict[str, int], n_docs: int, n_terms:
                               n_docs, n_terms, weights)
                 for (_, terms), heap in zip(rows, heaps):
                     search_shard(shard, terms, heap, shape)
-        for k, ((query, _), heap) in enumerate(zip(rows, heaps)):
-            size = len(heap.ids)
-            yield pa.RecordBatch.from_arrays([pa.array([query] * size), pa.array([batch << 32 | k] * size, pa.int64()),
-                                              pa.array([None if d == NO_ID else d for d in heap.ids.tolist()], pa.int64()), pa.array(heap.scores)],
-                                             names=["query", "number", "doc_id", "score"])
+        for (row, _), heap in zip(rows, heaps):
+            ids = pa.array([None if d == NO_ID else d for d in heap.ids.tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([row] * len(ids), pa.int64()), ids, pa.array(heap.scores)], names=["row", "doc_id", "score"])
     return visit
