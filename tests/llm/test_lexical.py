@@ -53,7 +53,7 @@ def test_search_against_brute_force(spark, shape):
 
 def test_blocks_are_left_closed(spark):
     """A rare term decides: most blocks of the frequent one are never decompressed."""
-    shape = lexical.Search(top=5, first_window=512)
+    shape = lexical.Search(top=5, first_window=512, window=512)
     docs = [(i, "rare " * (9 if i < 2000 else 1) if i % 400 == 0 else "often " * (1 + i % 3)) for i in range(20_000)]
     counts = [lexical.terms_of(t) for _, t in docs]
     often = [[(lexical.np.array([1]), lexical.np.array([k]))] for k in (1, 2, 3)]
@@ -65,7 +65,7 @@ def test_blocks_are_left_closed(spark):
     heap = lexical.Heap(shape.top)
     lexical.search_shard(shard, ["rare", "often"], heap, shape)
     assert heap.ids.tolist() == [0, 400, 800, 1200, 1600]
-    assert len(shard.opened) < 0.1 * len(shard.heads)
+    assert len(shard.opened) < 0.2 * len(shard.heads)
 
 
 def test_empty_tables(spark):
