@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from candela.llm.common import let
+
 PART = "struct<type: string, text: string, ref: string, units: double>"
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -43,17 +45,22 @@ def text_parts(text: Column) -> Column:
 
 
 def visit(parts: Column, costs: TokenCosts = TokenCosts()) -> Column:
-    """Visit every part in order: its flat form, its reference and its token count (0 for text)."""
-    def one(p: Column) -> Column:
+    """Visit every part in order: its flat form, its reference and its token count (0 for text).
+
+    A ``<`` that ends a part before another one is escaped too, so no control string can arise where parts meet.
+    """
+    def one(p: Column, i: Column, last: Column) -> Column:
         kind, units = p["type"], F.coalesce(p["units"], F.lit(1.0))
         cost = (F.when(kind == "image", costs.image).when(kind == "audio", costs.audio)
                 .when(kind == "document", costs.document).otherwise(0.0))
         known = kind.isin("image", "audio", "document")
         return F.struct(
-            F.when(kind == "text", escape(F.coalesce(p["text"], F.lit("")))).when(known, F.concat(F.lit("<|"), kind, F.lit("|>")))
+            F.when(kind == "text", let(escape(F.coalesce(p["text"], F.lit(""))), lambda t: F.when(
+                (i < last) & t.endswith("<"), F.regexp_replace(t, r"<\z", "&lt;")).otherwise(t))).when(known, F.concat(F.lit("<|"), kind, F.lit("|>")))
             .otherwise(F.lit("<|unknown|>")).alias("flat"),
             F.coalesce(kind == "text", F.lit(False)).alias("is_text"), kind.alias("type"), p["ref"].alias("ref"), F.ceil(units * cost).cast("long").alias("tokens"))
-    return F.transform(F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()), one)
+    given = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
+    return let(given, lambda ps: F.transform(ps, lambda p, i: one(p, i, F.size(ps) - 1)))
 
 
 def format_chats(turns: DataFrame, costs: TokenCosts = TokenCosts(), loss_role: str = "assistant") -> DataFrame:
@@ -91,3 +98,19 @@ def read_back(formatted: Column) -> Column:
         return F.struct(unescape_role(s.substr(F.lit(len(START) + 1), cut - len(START) - 1)).alias("role"),
                         unescape(s.substr(cut + 1, F.length(s))).alias("text"))
     return F.transform(F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda s: s.startswith(START)), turn)
+
+
+def under_mask(formatted: Column, spans: Column, together: int = 64) -> Column:
+    """All text under the spans, unescaped, in order with nothing between.
+
+    Spans are cut from pieces of ``together`` spans each, so that the places are not counted from the start for every one.
+    """
+    def piece(some: Column) -> Column:
+        low, high = F.get(some, F.lit(0))["start"], F.element_at(some, -1)["end"]
+        part = F.substring(formatted, (low + 1).cast("int"), (high - low).cast("int"))
+        return let(part, lambda s: F.array_join(F.transform(some, lambda x: unescape(
+            F.substring(s, (x["start"] - low + 1).cast("int"), (x["end"] - x["start"]).cast("int")))), ""))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / together).cast("int")),
+                         lambda k: let(F.slice(spans, k * together + 1, F.lit(together)), piece))
+    return F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise("")

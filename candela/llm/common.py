@@ -40,6 +40,12 @@ def key_text(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit("null"))
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that the rows don't have."""
+    taken = {c.lower() for c in df.columns}
+    return [name for name in (f"_c{i}" for i in range(n + len(taken))) if name not in taken][:n]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the cluster's shared folder and read back: a lost executor repeats only the read."""
     path = new_folder(df.sparkSession, label)

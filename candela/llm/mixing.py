@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from candela.llm.common import key_text, stored, unit
+from candela.llm.common import free_names, key_text, stored, unit
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, temper: float = 0.7, epochs: float = 1.0,
@@ -54,17 +54,22 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temper: flo
     """Every document as often as the inverse Poisson distribution of its source's rate says, dealt in random order.
 
     Result: the documents' columns and ``copy`` (from 0), ``n_copies``, ``rate`` and ``order_key``, by which the rows are
-    spread over all tasks and sorted in them; input columns of these names are replaced. The draw is a hash of seed and
-    key: a rerun or a lost task gives the same copies, and rows that repeat a key repeat its count. A document may get
-    no copy: that is the sampling. The rate table is joined by source; the optimizer checks its written size before
-    it broadcasts it, and a hot source is never grouped.
+    spread over all tasks and sorted in them; input columns of these names are replaced, all others are kept whatever
+    they are called. The draw is a hash of seed, key and text: a rerun or a lost task gives the same copies, rows without a
+    key or of one key are drawn one by one, and only rows that repeat key and text share their count; these too are spread
+    over all tasks. A document may get no copy: that is the sampling. The rate table is joined by source; the optimizer
+    checks its written size before it broadcasts it, and a hot source is never grouped.
     """
+    rows = docs.drop("copy", "n_copies", "rate", "order_key")
+    s, rate, least, cdf, u, base, spread = free_names(rows, 7)
     plan = stored(poisson_steps(source_rates(docs, weights, temper, epochs, source, text)), "rates")
-    plan = plan.select(F.col("source").alias("_s"), F.col("rate").alias("_rate"), F.col("least").alias("_least"), F.col("cdf").alias("_cdf"))
-    rows = docs.drop("copy", "n_copies", "rate", "order_key").join(plan, F.col(source).eqNullSafe(F.col("_s")))
-    n = F.col("_least") + F.size(F.filter("_cdf", lambda p: p <= F.col("_u")))
-    rows = (rows.withColumn("_u", unit(F.lit(str(seed)), key_text(F.col(key)))).withColumn("n_copies", n.cast("long"))
-            .withColumnRenamed("_rate", "rate").drop("_s", "_least", "_cdf", "_u"))
-    rows = rows.select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))).alias("copy", "_z")).drop("_z")
-    rows = rows.withColumn("order_key", F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key_text(F.col(key)), F.col("copy").cast("string"))), 1, 16))
-    return rows.repartition("order_key").sortWithinPartitions("order_key")
+    plan = plan.select(F.col("source").alias(s), F.col("rate").alias(rate), F.col("least").alias(least), F.col("cdf").alias(cdf))
+    rows = rows.join(plan, F.col(source).eqNullSafe(F.col(s)))
+    drawn = [F.lit(str(seed)), key_text(F.col(key)), F.md5(F.coalesce(F.col(text), F.lit("")))]
+    n = F.col(least) + F.size(F.filter(cdf, lambda p: p <= F.col(u)))
+    rows = (rows.withColumn(base, F.concat_ws(":", *drawn)).withColumn(u, unit(F.col(base))).withColumn("n_copies", n.cast("long"))
+            .withColumnRenamed(rate, "rate").drop(s, least, cdf, u))
+    rows = rows.select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))).alias("copy", u)).drop(u)
+    rows = rows.withColumn("order_key", F.substring(F.md5(F.concat_ws(":", base, F.col("copy").cast("string"))), 1, 16))
+    rows = rows.withColumn(spread, F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
+    return rows.repartition("order_key", spread).sortWithinPartitions("order_key").drop(base, spread)

@@ -87,10 +87,10 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_typed_parts_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All read back from ``formatted``: turns by splitting at the template's marks, then unescaping."""
+    """All read back from ``formatted``: turns by splitting at the template's marks, losses by cutting at the mask's spans."""
     done = chat.format_chats(_turns(spark, sf_dir).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
     read = done.select("conv_id", "formatted", "loss_spans", "expanded_tokens", chat.read_back(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = chat.under_mask(F.col("formatted"), F.col("loss_spans"))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     read = read.withColumn("loss", loss)
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(every, "UTF-8"), 256).alias("turns_sha256"),
@@ -128,10 +128,10 @@ w AS (SELECT *, sum(CASE WHEN k > least THEN ln(rate) - ln(k) ELSE 0 END) OVER (
 e AS (SELECT *, exp(w - max(w) OVER (PARTITION BY source)) AS e FROM w),
 p AS (SELECT *, sum(e) OVER (PARTITION BY source ORDER BY k) AS p FROM e),
 c AS (SELECT source, rate, least, list(p / top ORDER BY k) AS cdf FROM (SELECT *, max(p) OVER (PARTITION BY source) AS top FROM p) GROUP BY ALL),
-n AS (SELECT d.*, c.rate, least + len(list_filter(cdf, lambda x: x <= {_unit(f"'{SEED}'", "coalesce(doc_id::VARCHAR, 'null')")})) AS n_copies
+n AS (SELECT d.*, c.rate, least + len(list_filter(cdf, lambda x: x <= {_unit(f"'{SEED}'", "coalesce(doc_id::VARCHAR, 'null')", "md5(coalesce(text, ''))")})) AS n_copies
       FROM documents d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, n_copies::BIGINT AS n_copies, copy,
-       substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 16) AS order_key
+       substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || copy), 1, 16) AS order_key
 FROM (SELECT *, unnest(range(n_copies)) AS copy FROM n)"""
 
 QUERIES = {"op4_rendezvous_shards": op4_rendezvous_shards, "op5_line_first_rules": op5_line_first_rules,

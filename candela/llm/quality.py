@@ -88,7 +88,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, space: Space = Space(), key: str = "doc_id", text: str = "text") -> Model:
-    """Axes and labelled vectors from at most ``max_labelled`` rows of ``labelled`` (key, label); nulls are left out.
+    """Axes and labelled vectors from at most ``max_labelled`` rows of ``labelled`` (key, label) and as many different
+    texts under these keys; nulls are left out.
 
     Inverse document frequencies count all documents. Only the bounded sample's term rows come to the driver.
     """
@@ -102,8 +103,11 @@ def fit(docs: DataFrame, labelled: DataFrame, space: Space = Space(), key: str =
             yield pa.RecordBatch.from_pydict({"k": batch.column(0), "label": batch.column(1),
                                               "x": [counts(s.as_py(), space).tobytes() for s in batch.column(2)]})
 
-    found = (docs.select(F.col(key).alias("dk"), F.col(text).alias("t")).join(some, F.col("dk") == F.col("k"))
-             .select("k", "label", "t").mapInArrow(rows, "k long, label double, x binary").orderBy("k", "label", "x").collect())
+    given = docs.select(F.col(key).alias("dk"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    taken = (given.select("dk", "h").join(some, F.col("dk") == F.col("k")).select("k", "h", "label").distinct()     # a labelled id may have many texts
+             .orderBy(F.xxhash64("k"), "k", "label", "h").limit(space.max_labelled).select(F.col("k").alias("tk"), F.col("h").alias("th"), "label"))
+    found = (given.join(taken, (F.col("dk") == F.col("tk")) & (F.col("h") == F.col("th"))).dropDuplicates(["tk", "th", "label"])
+             .select(F.col("tk").alias("k"), "label", "t").mapInArrow(rows, "k long, label double, x binary").orderBy("k", "label", "x").collect())
     if not found:
         return Model(idf, np.zeros((space.terms, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     x = weighted(np.stack([np.frombuffer(r.x, np.float32) for r in found]), idf, space)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from candela.llm.common import let, words
+from candela.llm.common import free_names, let, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -77,7 +77,7 @@ def repeated_words(word: Column) -> Column:
     return F.when(F.size(word) > WINDOW, let(keys, lambda k: F.when(F.size(F.array_distinct(k)) < F.size(k), covered(k)).otherwise(0))).otherwise(0)
 
 
-def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRules(), name: str = "quality") -> DataFrame:
     """The rows with one struct column ``quality``; a column of that name is replaced. A map, no shuffle.
 
     Fields: ``text`` (kept lines), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
@@ -110,7 +110,7 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
                             (~base & (b["chars"] - left <= rules.max_lost_share * b["chars"])).alias("kept"))
         return let(F.array_join(a["kept"], "\n"), judged)
 
-    return docs.withColumn("quality", let(F.struct(lines.alias("a"), word.alias("b")), verdict))
+    return docs.withColumn(name, let(F.struct(lines.alias("a"), word.alias("b")), verdict))
 
 
 def kept_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
@@ -119,8 +119,10 @@ def kept_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
     The verdict leaves through a generated row: a filter on the struct itself would be pushed below it and work out all
     rules once more for every field that is read.
     """
+    verdict, clean, n = free_names(docs, 3)
+
     def row(q: Column) -> Column:
-        one = F.array(F.struct(q["text"].alias("_text"), F.length(q["text"]).cast("long").alias("_n")))
+        one = F.array(F.struct(q["text"].alias(clean), F.length(q["text"]).cast("long").alias(n)))
         return F.when(q["kept"], one).otherwise(F.slice(one, 1, 0))
-    judged = clean_lines(docs, text, rules).select(*docs.columns, F.inline_outer(let(F.col("quality"), row)))
-    return judged.filter("_n is not null").select(*[F.col("_text" if c == text else "_n" if c == n_chars else c).alias(c) for c in docs.columns])
+    judged = clean_lines(docs, text, rules, verdict).select(*docs.columns, F.inline_outer(let(F.col(verdict), row)))
+    return judged.filter(F.col(n).isNotNull()).select(*[F.col(clean if c == text else n if c == n_chars else c).alias(c) for c in docs.columns])
