@@ -9,16 +9,27 @@ from candela.config import DIMENSIONS, EngineConfig
 SALTS = 64
 
 
-def pair_jobs(candidates: DataFrame, jobs: DataFrame, salts: int = SALTS, key: str = "candidate_id") -> DataFrame:
+def pair_jobs(candidates: DataFrame, jobs: DataFrame, key: str = "candidate_id", broadcast_jobs: int = 1000,
+              block_jobs: int = 1000, block_candidates: int = 20_000) -> DataFrame:
     """Every candidate beside every job, whatever the number of either.
 
-    Jobs are repeated over the salts and candidates, dealt by a hash of their id, meet them by an equality join: a
-    task holds its salt's candidates, which move once, and passes the jobs by. The optimizer broadcasts the
-    job side if its own size check allows. Compute job-independent features first.
+    Up to ``broadcast_jobs`` jobs (counted first) go to all tasks, and candidates stay where they are. Beyond, pairs are a grid
+    of blocks: a candidate is dealt to a row and repeated over the columns, a job to a column and repeated over the rows. A
+    task holds one block of jobs and passes a block of candidates by, so neither side has to fit a task, and the number of
+    blocks grows with both. Compute job-independent features first.
     """
-    salted = candidates.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    repeated = jobs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, "_salt").drop("_salt")
+    n_jobs = jobs.count()
+    if n_jobs <= broadcast_jobs:
+        one = lambda c: F.pmod(F.xxhash64(c), F.lit(1))     # the same for all rows, which only the rows tell
+        sent = F.broadcast(jobs.withColumn("_cell", one(jobs.columns[0])))
+        return candidates.withColumn("_cell", one(key)).join(sent, "_cell").drop("_cell")
+    columns = -(-n_jobs // block_jobs)
+    rows = max(1, -(-candidates.select(key).count() // block_candidates))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))     # noqa: E731
+    left = candidates.withColumn("_row", F.pmod(F.xxhash64(key), F.lit(rows)).cast("int")).withColumn("_column", every(columns))
+    right = jobs.withColumn("_column", F.pmod(F.xxhash64(jobs.columns[0]), F.lit(columns)).cast("int")).withColumn("_row", every(rows))
+    grid = ["_row", "_column"]
+    return (left.repartition(rows * columns, *grid).join(right.repartition(rows * columns, *grid).hint("shuffle_hash"), grid).drop(*grid))
 
 
 def hybrid_score(df: DataFrame, config: EngineConfig = EngineConfig(), scale: float | None = None) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from candela.functions.scoring import PROFICIENCY_DEPTH, PROFICIENCY_REPEAT
 from candela.functions.text import long_any_sql, short_any_sql, sql_string
 from candela.functions.vocab import DEFAULT_VOCAB, Vocabulary
+from candela.operators.containment import term_hits
+
+PLAN_TERMS = 500
 
 # fixed values: skill depth and token rules
 MONTHS_BONUS_CAP = 0.20
@@ -109,20 +112,28 @@ def match_skills(pool: str, job_skills: str) -> tuple[Column, Column]:
 
 
 def job_terms(jobs: DataFrame) -> DataFrame:
-    """One row holding every distinct name and token the jobs look for."""
+    """``term``: every distinct name and token that the jobs look for, a row each."""
     skill = jobs.select(F.explode(F.concat("required_skills", "preferred_skills")).alias("s"))
-    term = skill.select(F.explode(F.concat(F.array("s.canonical"), F.col("s.tokens"))).alias("t"))
-    return term.agg(F.collect_set("t").alias("terms"))
+    return skill.select(F.explode(F.concat(F.array("s.canonical"), F.col("s.tokens"))).alias("term")).distinct()
 
 
-def with_present_terms(df: DataFrame, jobs: DataFrame, pool: str = "pool", name: str = "present") -> DataFrame:
-    """Scan each pool once for all jobs' terms; the pairing then carries only the hits.
+def with_present_terms(df: DataFrame, jobs: DataFrame, pool: str = "pool", name: str = "present", key: str = "candidate_id",
+                       plan_terms: int = PLAN_TERMS) -> DataFrame:
+    """Look for all jobs' terms in each pool once; the pairing then carries only the hits, and the pool is dropped.
 
-    Jobs share skills, so a document is scanned per distinct term, not per job and skill, and
-    its long text is never copied beside every job.
+    Up to ``plan_terms`` terms (counted first) are part of the plan, and a pool is scanned for each. Beyond, pools meet
+    the terms by rare q-grams, whatever the number of terms, and the hits are joined back by id and the pool's MD5.
     """
-    listed = df.withColumn("_terms", job_terms(jobs).scalar())
-    return listed.withColumn(name, F.expr(f"filter(_terms, _t -> contains({pool}, _t))")).drop("_terms", pool)
+    terms = job_terms(jobs).filter("term IS NOT NULL")
+    few = [r.term for r in terms.limit(plan_terms + 1).collect()]
+    if len(few) <= plan_terms:
+        listed = f"cast(array({', '.join(sql_string(t) for t in sorted(few))}) AS array<string>)"
+        return df.withColumn(name, F.expr(f"filter({listed}, _t -> contains({pool}, _t))")).drop(pool)
+    texts = df.select(key, F.md5(pool).alias("_md5"), pool)
+    hits = term_hits(texts, [key, "_md5"], pool, terms).groupBy(key, "_md5").agg(F.collect_set("term").alias(name))
+    # the empty term is in every pool
+    found = F.array_append(F.coalesce(F.col(name), F.array().cast("array<string>")), F.lit(""))
+    return df.withColumn("_md5", F.md5(pool)).drop(pool).join(hits, [key, "_md5"], "left").drop("_md5").withColumn(name, found)
 
 
 def with_skill_match(df: DataFrame, present: str = "present") -> DataFrame:
@@ -182,13 +193,17 @@ def with_job_text(jobs: DataFrame, name: str = "job_text", max_chars: int = EMBE
         ), 1, {max_chars})"""))
 
 
-def skill_vocab_join(skills: DataFrame, name_col: str, vocab: dict[str, tuple[str, ...]]) -> DataFrame:
+def skill_vocab_join(skills: DataFrame, name_col: str, vocab: dict[str, tuple[str, ...]] | DataFrame) -> DataFrame:
     """Theta join of skill rows with a (domain, term) vocabulary on "name contains term".
 
-    The vocabulary is plan-time data, so each row filters a literal array instead of
-    meeting a second table: no join, no shuffle.
+    A vocabulary of the plan is filtered in the row as a literal array: no join, no shuffle. A table of ``domain, term``
+    may have any size: the different names meet its terms by rare q-grams, and rows are joined to their name's hits.
     """
-    pairs = ", ".join(f"struct({sql_string(d)} AS domain, {sql_string(t)} AS term)" for d, ts in vocab.items() for t in ts)
     lowered = skills.withColumn("_name", F.lower(name_col))
+    if isinstance(vocab, DataFrame):
+        names = lowered.select("_name").filter("_name IS NOT NULL").distinct()
+        hits = term_hits(names, ["_name"], "_name", vocab).join(vocab.select("domain", "term").distinct(), "term")
+        return lowered.join(hits, "_name").select(*skills.columns, "domain", "term")
+    pairs = ", ".join(f"struct({sql_string(d)} AS domain, {sql_string(t)} AS term)" for d, ts in vocab.items() for t in ts)
     hit = F.expr(f"explode(filter(array({pairs}), v -> contains(_name, v.term)))")
     return lowered.withColumn("_hit", hit).select(*skills.columns, "_hit.domain", "_hit.term")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from candela.config import EngineConfig
 from candela.functions import scoring as S, text as X, vocab as V
-from candela.operators import career, education, profiling, risk_rows, rows, signals, skills
+from candela.operators import career, containment, education, profiling, risk_rows, rows, signals, skills
 from candela.plans.features import safe_features
 from workload import tables as T
 from workload.registry import register
@@ -125,6 +125,33 @@ def skill_vocab_join(spark, sf) -> DataFrame:
     return skills.skill_vocab_join(flat.select("d", F.col("pos").cast("bigint").alias("pos"), "s.name"), "name", _TERMS).drop("name")
 
 
+_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[^ ]+')) AS term FROM benchmark"
+
+
+def _benchmark_words(spark, sf) -> DataFrame:
+    return T.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([^ ]+)"), F.lit(1))).alias("term"))
+
+
+@register("term_hits", f"""SELECT doc_id, count(*) AS n_terms, md5(string_agg(term, ' ' ORDER BY term)) AS terms
+    FROM documents JOIN ({_WORDS}) w ON contains(text, term) GROUP BY doc_id""")
+def term_hits(spark, sf) -> DataFrame:
+    """All words of the benchmark that a document contains, also within its words."""
+    docs = T.spread(T.table(spark, sf, "documents")).select("doc_id", "text")
+    hits = containment.term_hits(docs, ["doc_id"], "text", _benchmark_words(spark, sf)).groupBy("doc_id")
+    return hits.agg(F.count("*").alias("n_terms"), F.md5(F.array_join(F.sort_array(F.collect_list("term")), " ")).alias("terms"))
+
+
+@register("skill_vocab_table", query(f"""SELECT v.domain, v.term, count(*) AS n_skills FROM skill s JOIN (SELECT DISTINCT substr(term, 1, 1) AS domain, lower(term) AS term FROM
+    (SELECT DISTINCT unnest(regexp_extract_all(p_name || ' ' || p_type, '[^ ]+')) AS term FROM part UNION SELECT unnest(['ai', 'c', 'ml', 'data', 'rag', 'sql', 'qd', 'fine'])) ) v ON contains(lower(s.name), v.term) GROUP BY ALL""", "skill"))
+def skill_vocab_table(spark, sf) -> DataFrame:
+    """The theta join with a vocabulary that is a table: the words of the parts and some more."""
+    part = T.table(spark, sf, "part").select(F.explode(F.regexp_extract_all(F.concat_ws(" ", "p_name", "p_type"), F.lit("([^ ]+)"), F.lit(1))).alias("term"))
+    more = spark.createDataFrame([(t,) for t in ("ai", "c", "ml", "data", "rag", "sql", "qd", "fine")], "term string")
+    vocab = part.unionByName(more).select(F.substring("term", 1, 1).alias("domain"), F.lower("term").alias("term")).distinct()
+    flat = T.candidates(spark, sf).select(F.explode("skills").alias("s")).select("s.name")
+    return skills.skill_vocab_join(flat, "name", vocab).groupBy("domain", "term").agg(F.count("*").alias("n_skills"))
+
+
 # --- career ----------------------------------------------------------------------
 
 def _career(spark, sf) -> DataFrame:
