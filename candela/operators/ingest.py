@@ -116,3 +116,9 @@ def limit_valid(docs: DataFrame, n: int) -> DataFrame:
 def sample_errors(quarantine: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` error rows by file and line text, for a report."""
     return quarantine.orderBy("source_file", "value").limit(n)
+
+
+def errors_left(quarantine: DataFrame, n: int = 20) -> DataFrame:
+    """``shown, more``: how many error rows :func:`sample_errors` gives, and how many more there are."""
+    total = F.count(F.lit(1))
+    return quarantine.agg(F.least(total, F.lit(n)).cast("long").alias("shown"), F.greatest(total - n, F.lit(0)).cast("long").alias("more"))

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from candela.sources.json_arrays import read_json_array
+
+# fixed values: the white space characters
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines of JSONL files: ``source_file, value``.
@@ -16,8 +21,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def clean_lines(raw: DataFrame) -> DataFrame:
     """Trim lines and drop blank ones; expects ``value`` and keeps the other columns."""
-    trimmed = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
-    return raw.withColumn("value", trimmed).filter(F.col("value") != "")
+    return raw.withColumn("value", F.btrim("value", F.lit(BLANKS))).filter(F.col("value") != "")
 
 
 def read_documents_jsonl(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -37,21 +41,6 @@ def parse_cast(lines: DataFrame, ddl: str) -> DataFrame:
     return lines.withColumn("_rec", record).select(*lines.columns, "_rec.*")
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of pretty-printed top-level JSON arrays, one ``value`` per element.
-
-    A JSON array file is one unsplittable document, so a file is one task; many files
-    spread over the cluster.  A file whose root is no array is an error.
-    """
-    whole = spark.read.text(path, wholetext=True).withColumn("source_file", F.col("_metadata.file_name"))
-    parsed = whole.select("source_file", F.try_parse_json("value").alias("v"))
-    is_array = F.schema_of_variant("v").like("ARRAY%")
-    checked = F.when(is_array, F.expr("try_variant_get(v, '$', 'array<variant>')")).otherwise(
-        F.raise_error(F.concat(F.lit("top level is not a JSON array: "), F.col("source_file"))))
-    return (parsed.select("source_file", F.posexplode(checked).alias("pos", "e"))
-            .select("source_file", "pos", F.to_json("e").alias("value")))
-
-
 def read_documents_json_array(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Typed elements of JSON array files."""
     return parse_typed(read_json_array(spark, path), ddl)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from candela.config import EngineConfig
 from candela.operators import ingest as I, ranking as R, serving as SV
 from candela.plans import shortlist as PL
-from candela.sources import contract as C, readers, sinks
+from candela.sources import contract as C, readers, sinks, stages
 from candela.sources.schema import candidate_ddl
 from candela.streaming import ingest as ST
 from workload import tables as T
@@ -62,11 +63,14 @@ def _classified(spark, sf, **options) -> DataFrame:
     return I.classify(T.raw_lines(spark, sf), **options)
 
 
-@register("scan_jsonl", query("SELECT id AS candidate_id, years AS years_of_experience FROM kind WHERE broken IS NULL AND source <> 'src4'", "kind"))
+@register("scan_jsonl", query("""SELECT CASE WHEN broken IS NULL THEN id END AS candidate_id, CASE WHEN broken IS NULL AND source <> 'src4' THEN years END AS years_of_experience,
+    broken IS NULL AS is_object FROM kind""", "kind"))
 def scan_jsonl(spark, sf) -> DataFrame:
-    """Write the lines as text, scan them back typed, keep the well-formed ones."""
+    """Write the lines as text and scan every one of them back typed; a line that is no object has nulls."""
     docs = readers.read_documents_jsonl(spark, _stored_lines(spark, sf), candidate_ddl())
-    return docs.select("candidate_id", "profile.years_of_experience").filter(F.col("years_of_experience").isNotNull())
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).like("OBJECT%"), F.lit(False))
+    kept = lambda c: F.when(whole, F.col(c))     # noqa: E731
+    return docs.select(kept("candidate_id").alias("candidate_id"), kept("profile.years_of_experience").alias("years_of_experience"), whole.alias("is_object"))
 
 
 @register("scan_json_array", query("SELECT candidate_id, years AS years_of_experience, title AS current_title FROM prof", "prof"))
@@ -168,6 +172,13 @@ def sample_errors(spark, sf) -> DataFrame:
     return I.sample_errors(keyed, 20).select("source_file", "d", "error_type")
 
 
+@register("errors_left", query("SELECT least(count(*), 20) AS shown, greatest(count(*) - 20, 0) AS more FROM classified WHERE error_type IS NOT NULL", "classified"))
+def errors_left(spark, sf) -> DataFrame:
+    """What a report adds to its sample of errors: "and N more"."""
+    _, bad = I.split_valid_quarantine(_classified(spark, sf))
+    return I.errors_left(bad, 20)
+
+
 @register("stream_ingest", query("SELECT coalesce(error_type, 'valid') AS outcome, count(*) AS n_rows FROM classified GROUP BY 1", "classified"))
 def stream_ingest(spark, sf) -> DataFrame:
     """The stored lines as a stream, classified and appended, then counted."""
@@ -200,6 +211,27 @@ def snapshot_roundtrip(spark, sf) -> DataFrame:
     return sinks.read_snapshot(spark, path)
 
 
+@register("stale_stages", """SELECT * FROM (VALUES ('nothing', 'features', true), ('nothing', 'shortlist', true), ('configuration', 'features', true), ('configuration', 'shortlist', false),
+    ('pool', 'features', false), ('pool', 'shortlist', false)) v(changed, stage, fresh), (SELECT count(*) AS n_features FROM documents)""")
+def stale_stages(spark, sf) -> DataFrame:
+    """Features and a shortlist are stored; then nothing, the configuration or one document of the pool changes."""
+    root = sinks.new_folder(spark, "stages")
+    pool = T.candidates(spark, sf).select("candidate_id", F.col("profile.years_of_experience").alias("years"), "profile.headline")
+    other = pool.withColumn("headline", F.when(F.col("candidate_id") == "CAND_0000001", "Other").otherwise(F.col("headline")))
+
+    def keys(rows, config):
+        made = stages.stage_key({"pool": rows})
+        return {"features": made, "shortlist": stages.stage_key({"features": made}, config)}
+
+    now = keys(pool, TOP10)
+    features = stages.fresh_stage(spark, root, "features", now["features"], lambda: pool)
+    stages.fresh_stage(spark, root, "shortlist", now["shortlist"], lambda: R.top_k(features, 10, score="years"))
+    n = features.agg(F.count("*")).scalar()
+    asked = {"nothing": now, "configuration": keys(pool, EngineConfig(top_k=11)), "pool": keys(other, TOP10)}
+    rows = [stages.state(spark, root, k).select(F.lit(changed).alias("changed"), "stage", "fresh") for changed, k in asked.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("n_features", n)
+
+
 @register("submission", query("""SELECT candidate_id, CAST(rnk AS INTEGER) AS rank, printf('%.4f', final) AS score, 'Best at ' || job_id AS reasoning FROM
     (SELECT *, row_number() OVER (ORDER BY final DESC, candidate_id) AS rnk FROM best) WHERE rnk <= 100""", "best"))
 def submission(spark, sf) -> DataFrame:
