@@ -17,6 +17,7 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 SKIPPED = frozenset("""aside audio button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template
     textarea video""".split())
 LEAF = frozenset("p li dt dd option h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMES = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal
     newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies social share
     sharing related recommended widget pagination pager toolbar skip""".split())
@@ -24,13 +25,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 
 
 class Events(HTMLParser):
-    """Blocks as (text, tags inside, characters in links, outermost container or 0): a container is an article or main element."""
+    """Blocks as (text, tags inside, characters in links, outermost container or 0, whether a heading): a container is an article or main element."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, int]] = []
+        self.blocks: list[tuple[str, int, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.depth = self.made = 0
+        self.heading = False
         self.skip: str | None = None
         self.containers: list[tuple[str, int]] = []
 
@@ -40,7 +42,7 @@ class Events(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, self.tags, self.linked, self.containers[0][1] if self.containers else 0))
+            self.blocks.append((text, self.tags, self.linked, self.containers[0][1] if self.containers else 0, self.heading))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def unwanted(self, tag: str, attrs: list) -> bool:
@@ -62,6 +64,7 @@ class Events(HTMLParser):
                 return
         if tag in BLOCK:
             self.flush()
+            self.heading = tag in HEADINGS
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
@@ -88,6 +91,7 @@ class Events(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
+            self.heading = False
         self.tags += 1
         if tag == "a" and self.links:
             self.links -= 1
@@ -112,14 +116,39 @@ def smoothed(ratios: list[float], radius: int = 2) -> list[float]:
     return out
 
 
+def clustered(blocks: list[tuple[str, int, int, int, bool]], low: float = 0.1, gap: int = 3) -> list[int]:
+    """Numbers of the lines of the content cluster, from ratios alone.
+
+    Smoothed ratios over half their mean are its core. Around the core a lower threshold holds (``low`` of the first): a line
+    next to a line of the cluster joins it if its smoothed ratio is over that, so it grows line by line and stops at the
+    first line under it. Regions parted by at most ``gap`` lines are one. Headings join the line that follows. Lines
+    that are mostly links never belong to it.
+    """
+    ratios = smoothed([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in blocks])
+    high = sum(ratios) / len(ratios) / 2
+    plain = [2 * linked <= len(t) for t, _, linked, _, _ in blocks]
+    own = [r >= high and p for r, p in zip(ratios, plain)]
+    for order in (range(1, len(blocks)), range(len(blocks) - 2, -1, -1)):
+        step = order.step
+        for i in order:
+            own[i] = own[i] or own[i - step] and plain[i] and ratios[i] >= low * high
+    kept = [i for i, o in enumerate(own) if o]
+    for a, b in zip(kept, kept[1:]):
+        if b - a <= gap + 1:
+            for i in range(a + 1, b):
+                own[i] = plain[i]
+    for i in range(len(blocks) - 2, -1, -1):
+        own[i] = own[i] or own[i + 1] and blocks[i][4] and plain[i]
+    return [i for i, o in enumerate(own) if o]
+
+
 def main_text(html: str | None) -> str:
     """The main text; one line per block.
 
     Lines are the page's blocks outside parts that are no content by element, role or name. Each has a text-to-tag ratio (link
-    text does not count); smoothed ratios over half their mean form the content cluster. If most of the cluster lies in
-    articles or main elements, each outermost one that holds a part of it stays with all its lines and all that is nested in
-    it, so short paragraphs and headings stay; else the lines of the page from the first to the last of the cluster, but for lines
-    that are mostly links.
+    text does not count); the cluster of smoothed ratios selects the content lines. Marked elements settle the lines that the ratios leave
+    open: if most of the cluster lies in articles or main elements, each outermost one that holds a part of it stays with all
+    that is nested in it, and the lines outside go; else the cluster is the result.
     """
     parser = Events()
     parser.feed(html or "")
@@ -128,16 +157,12 @@ def main_text(html: str | None) -> str:
     blocks = parser.blocks
     if not blocks:
         return ""
-    ratios = smoothed([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in blocks])
-    threshold = sum(ratios) / len(ratios) / 2
-    content = [i for i, r in enumerate(ratios) if r >= threshold]
+    content = clustered(blocks)
     weight = {marked: sum(len(blocks[i][0]) for i in content if bool(blocks[i][3]) == marked) for marked in (True, False)}
     if weight[True] and weight[True] >= weight[False]:
         held = {blocks[i][3] for i in content} - {0}
-        return "\n".join(t for t, _, _, c in blocks if c in held)
-    if not content:
-        return ""
-    return "\n".join(t for t, _, linked, _ in blocks[content[0]:content[-1] + 1] if 2 * linked <= len(t))
+        return "\n".join(b[0] for b in blocks if b[3] in held)
+    return "\n".join(blocks[i][0] for i in content)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
