@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from candela.llm.common import let, words
+from candela.llm.common import free_names, let, stored, words
 
 ROWS_PER_BLOCK = 4096
 
@@ -113,25 +114,46 @@ def fingerprint(docs: DataFrame, shape: Shape = Shape(), text: str = "text", nam
 def with_next(docs: DataFrame, key: str, carried: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """The rows with ``next``: a struct of the carried columns of the next row in descending order of the key.
 
-    The last row's next is the first; a single row is its own. Rows without a key come last, rows that repeat one are
-    ordered by the carried columns. One shuffle: rows go to blocks between quantiles of the key. Every quantile
-    is a key that occurs, so the row at a block's upper end is known beforehand and is sent to the block
-    above as well, where it ends the order.
+    The last row's next is the first; a single row is its own. Rows without a key come last; rows that repeat one are ordered by
+    a hash of the first carried column, from which (and the key) the other carried ones must follow. A column called
+    ``next`` is replaced. One shuffle of whole rows: they go to blocks between bounds, which are (key, hash) pairs.
+    Every bound is a pair that occurs, so the row at a block's upper end is known beforehand and is sent to the block
+    above as well, where it ends the order. A key that fills several blocks, or none, is cut by its hashes, which are
+    uniform. Copies of one row that fill a block by themselves are dealt to blocks of their own: there, each is the next of another.
+    The driver holds, and broadcasts, one entry per block: take larger blocks for a table of over some hundred million rows.
     """
-    n = max(1, -(-docs.count() // rows_per_block))
-    cuts = F.percentile_approx(key, F.array(*[F.lit(i / n) for i in range(1, n)], F.lit(1.0)), F.lit(min(10_000_000, 10_000 + 10 * n)))
-    found = docs.agg(cuts.alias("cuts"), F.max(key).alias("top")).first()     # as many numbers as there are blocks
-    known = sorted({*(found["cuts"] or []), found["top"]} - {None})
-    bounds = F.array(*[F.lit(b).cast("long") for b in known]).cast("array<bigint>")
-    steps = [1 << b for b in range((n + 1).bit_length(), -1, -1)]
-    k = F.col(key)
-    above = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(
-        (at + s <= F.lit(len(known))) & (F.get(bounds, at + s - 1) < k), at + s).otherwise(at))
-    rows = docs.withColumn("_block", above)
-    ends = F.get(bounds, F.col("_block")).eqNullSafe(k)
-    here = F.struct(F.col("_block").alias("block"), F.lit(0).alias("sent"))
-    there = F.struct(F.pmod(F.col("_block") + 1, F.lit(max(1, len(known)))).alias("block"), F.lit(1).alias("sent"))
-    rows = rows.withColumn("_to", F.explode(F.when(ends, F.array(here, there)).otherwise(F.array(here))))
-    order = Window.partitionBy("_to.block").orderBy("_to.sent", F.col(key).desc_nulls_last(), *carried)
-    rows = rows.withColumn("next", F.lead(F.struct(*carried)).over(order))
-    return rows.filter("_to.sent = 0").drop("_to", "_block")
+    block, to, row_hash, copies, salt, hot_key, hot_hash = names = free_names(docs, 7)
+    k, h = F.col(key).cast("long"), F.xxhash64(carried[0])
+    slim = stored(docs.select(k.alias("k"), h.alias("h")), "keys")
+    n, nulls, top = slim.agg(F.count(F.lit(1)), F.count_if(F.col("k").isNull()), F.max("k")).first()
+    if not n:
+        return docs.drop("next").withColumn("next", F.struct(*carried))
+    blocks = -(-n // rows_per_block)
+    at = F.array(*[F.lit(i / blocks) for i in range(1, blocks)], F.lit(1.0))
+    cuts = Counter(slim.agg(F.percentile_approx("k", at, F.lit(min(10_000_000, 10_000 + 10 * blocks)))).first()[0] or [])   # as many numbers as there are blocks
+    cuts |= Counter({top: max(1, cuts[top])} if top is not None else {}) | Counter({None: -(-nulls // rows_per_block)} if nulls else {})
+    parts = slim.sparkSession.createDataFrame(list(cuts.items()), "c long, m long")
+    part = F.floor((F.col("h") / 2.0 ** 64 + 0.5) * F.col("m"))
+    found = slim.join(F.broadcast(parts), F.col("k").eqNullSafe(F.col("c"))).groupBy("k", part).agg(F.max("h").alias("h")).collect()
+    known = sorted(((r.k, r.h) for r in found), key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
+    pair = "struct<k: bigint, h: bigint>"
+    bounds = F.array(*[F.struct(F.lit(a).cast("long").alias("k"), F.lit(b).cast("long").alias("h")) for a, b in known]).cast(f"array<{pair}>")
+    steps = [1 << b for b in range(len(known).bit_length(), -1, -1)]
+
+    many = slim.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_block).collect()       # less of them than blocks
+    hot = slim.sparkSession.createDataFrame([(r.k, r.h, -(-2 * r.n // rows_per_block)) for r in many], f"{hot_key} long, {hot_hash} long, {copies} long")
+    rows = docs.drop("next").withColumn(row_hash, h)
+    rows = rows.join(F.broadcast(hot), k.eqNullSafe(F.col(hot_key)) & (F.col(row_hash) == F.col(hot_hash)), "left").drop(hot_key, hot_hash)
+    rows = rows.withColumn(salt, F.when(F.col(copies).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(copies))))
+    own = F.struct(k.alias("k"), F.col(row_hash).alias("h")).cast(pair)
+    rows = rows.withColumn(block, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, s: F.when(
+        (i + s <= F.lit(len(known))) & (F.get(bounds, i + s - 1) < own), i + s).otherwise(i)))
+    here = F.struct(F.col(block).alias("block"), F.col(salt).alias("salt"), F.lit(0).alias("sent"))
+    there = F.struct(F.pmod(F.col(block) + 1, F.lit(len(known))).alias("block"), F.lit(0).cast("long").alias("salt"), F.lit(1).alias("sent"))
+    ends = (F.col(salt) == 0) & F.get(bounds, F.col(block)).eqNullSafe(own)
+    rows = rows.withColumn(to, F.explode(F.when(ends, F.array(here, there)).otherwise(F.array(here))))
+    order = Window.partitionBy(f"{to}.block", f"{to}.salt", F.when(F.col(salt) > 0, F.col(row_hash))).orderBy(
+        f"{to}.sent", k.desc_nulls_last(), F.col(row_hash).desc())
+    given = F.struct(*carried)
+    rows = rows.withColumn("next", F.coalesce(F.lead(given).over(order), F.when(F.col(salt) > 0, given)))
+    return rows.filter(F.col(f"{to}.sent") == 0).drop(*names)

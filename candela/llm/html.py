@@ -116,15 +116,16 @@ def smoothed(ratios: list[float], radius: int = 2) -> list[float]:
     return out
 
 
-def clustered(blocks: list[tuple[str, int, int, int, bool]], low: float = 0.1, gap: int = 3) -> list[int]:
-    """Numbers of the lines of the content cluster, from ratios alone.
+def clustered(blocks: list[tuple[str, int, int, int, bool]], low: float = 0.1, gap: int = 3) -> tuple[list[int], list[int]]:
+    """Numbers of the lines of the content cluster, from ratios alone, and of those whose own ratio reaches the core's threshold.
 
     Smoothed ratios over half their mean are its core. Around the core a lower threshold holds (``low`` of the first): a line
     next to a line of the cluster joins it if its smoothed ratio is over that, so it grows line by line and stops at the
     first line under it. Regions parted by at most ``gap`` lines are one. Headings join the line that follows. Lines
     that are mostly links never belong to it.
     """
-    ratios = smoothed([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in blocks])
+    sharp = [max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in blocks]
+    ratios = smoothed(sharp)
     high = sum(ratios) / len(ratios) / 2
     plain = [2 * linked <= len(t) for t, _, linked, _, _ in blocks]
     own = [r >= high and p for r, p in zip(ratios, plain)]
@@ -139,7 +140,8 @@ def clustered(blocks: list[tuple[str, int, int, int, bool]], low: float = 0.1, g
                 own[i] = plain[i]
     for i in range(len(blocks) - 2, -1, -1):
         own[i] = own[i] or own[i + 1] and blocks[i][4] and plain[i]
-    return [i for i, o in enumerate(own) if o]
+    kept = [i for i, o in enumerate(own) if o]
+    return kept, [i for i in kept if sharp[i] >= high]
 
 
 def main_text(html: str | None) -> str:
@@ -148,7 +150,8 @@ def main_text(html: str | None) -> str:
     Lines are the page's blocks outside parts that are no content by element, role or name. Each has a text-to-tag ratio (link
     text does not count); the cluster of smoothed ratios selects the content lines. Marked elements settle the lines that the ratios leave
     open: if most of the cluster lies in articles or main elements, each outermost one that holds a part of it stays with all
-    that is nested in it, and the lines outside go; else the cluster is the result.
+    that is nested in it, and the lines outside go; else the cluster is the result, but for articles without a line of a high
+    ratio of its own (teasers).
     """
     parser = Events()
     parser.feed(html or "")
@@ -157,12 +160,13 @@ def main_text(html: str | None) -> str:
     blocks = parser.blocks
     if not blocks:
         return ""
-    content = clustered(blocks)
+    content, strong = clustered(blocks)
     weight = {marked: sum(len(blocks[i][0]) for i in content if bool(blocks[i][3]) == marked) for marked in (True, False)}
     if weight[True] and weight[True] >= weight[False]:
         held = {blocks[i][3] for i in content} - {0}
         return "\n".join(b[0] for b in blocks if b[3] in held)
-    return "\n".join(blocks[i][0] for i in content)
+    held = {0} | {blocks[i][3] for i in strong}
+    return "\n".join(blocks[i][0] for i in content if blocks[i][3] in held)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

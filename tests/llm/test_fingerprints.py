@@ -53,7 +53,10 @@ def check(spark, folder, rows):
     spark.createDataFrame(rows, "doc_id long, text string, print string, next int").write.parquet(f"{folder}/documents.parquet")
     got = query(spark, str(folder)).collect()
     assert len(got) == len(rows)
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    def hashed(t):
+        h = chain(t or "")
+        return h - (1 << 64) if h >> 63 else h
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashed(r[1])))
     want = []
     for i, (d, t, *_rest) in enumerate(order):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
@@ -72,6 +75,24 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch):
     check(spark, tmp_path, [(i * i * 5 - 40, t, None, 1) for i, t in enumerate(texts)])
 
 
+def test_rows_without_an_id_repeated_ids_and_copies_in_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P.with_next, "__defaults__", (7,))
+    text = lambda i: " ".join(f"w{i}x{j % 11}" for j in range(3 + i % 20))
+    rows = [(None, text(i)) for i in range(60)] + [(50, text(100 + i)) for i in range(60)] + [(70, "copy of a text that is there often")] * 60
+    rows += [(i, text(200 + i)) for i in range(0, 120, 3)] + [(None, "no id and many copies")] * 30
+    check(spark, tmp_path, [(*r, None, 1) for r in rows])
+
+
+def test_hot_rows_lie_in_many_blocks(spark):
+    """Rows without an id, of one id and copies: no window partition gets many more rows than a block."""
+    rows = [(None, f"t{i}") for i in range(400)] + [(5, f"u{i}") for i in range(400)] + [(9, "same")] * 400
+    got = P.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", ["text"], 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    pairs = {(r.doc_id, r.text): r.next.text for r in got.filter("text <> 'same'").collect()}
+    assert got.count() == 1200 and len(set(pairs.values())) == 800 and sum(r.next.text == "same" for r in got.filter("text = 'same'").collect()) == 399
+
+
 def test_edge_rows(spark, tmp_path):
     check(spark, tmp_path, [(3, None, "x", 1), (2, "", None, None), (None, "a b c d e f g", None, 0), (7, "😀 ünï " * 500, None, 0), (7, "😀 ünï " * 500, None, 0),
                             (9, "one", None, 0), (-4, " \n ", None, 0)])

@@ -39,15 +39,35 @@ def test_packing_against_the_tokenizer(spark):
 def test_best_fit_takes_the_tightest_window():
     lengths = np.array([60, 50, 45, 35, 10])
     windows, offsets = packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), 100)
-    assert windows.tolist() == [0, 1, 1, 0, 2] or windows.tolist() == [0, 1, 1, 0, 1][:4] + [2]
-    assert offsets.tolist()[:4] == [0, 0, 50, 60]
+    assert windows.tolist() == [0, 1, 1, 0, 2]
+    assert offsets.tolist() == [0, 0, 50, 60, 0]
+
+
+def test_best_fit_against_a_plain_search():
+    """Each piece goes to the fullest window that it fits in, whose least room is found by looking at all of them."""
+    rng = np.random.default_rng(5)
+    for capacity, n in ((100, 300), (17, 200), (4096, 150)):
+        lengths = rng.integers(1, capacity + 1, n)
+        order = np.argsort(-lengths, kind="stable")
+        windows, offsets = packing.best_fit(lengths, order, capacity)
+        used, fill = [], {}
+        for i in order.tolist():
+            fits = [u for u in used if u + lengths[i] <= capacity]
+            before = max(fits) if fits else 0
+            if fits:
+                used.remove(before)
+            used.append(before + int(lengths[i]))
+            assert offsets[i] == before == fill.get(windows[i], 0)
+            fill[windows[i]] = before + int(lengths[i])
+        assert sorted(fill.values()) == sorted(used)
 
 
 def test_rules_edges(spark):
-    rows = [(1, None), (2, ""), (3, PROSE * 4), (4, "a | b | c | d | e\n" * 8), (5, (PROSE * 4 + "\nHome\n" + PROSE)), (6, "same words in a row here now " * 50)]
+    prose = lambda i: " ".join(f"Line {i} says {w}{i} of a {w}ing thing, and ends well." for w in ("stone", "river", "cloud", "tree"))
+    rows = [(1, None), (2, ""), (3, prose(1)), (4, "a | b | c | d | e\n" * 8), (5, (prose(1) + "\nHome\n" + prose(2))), (6, "same words in a row here now " * 50)]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("quality", F.lit("x"))
     got = {r.doc_id: r.quality for r in rules.clean_lines(df).collect()}
-    assert [got[i].kept for i in range(1, 7)] == [False, False, False, False, True, False] or got[5].kept is False
+    assert [got[i].kept for i in range(1, 7)] == [False, False, True, False, True, False]
     assert got[1].n_words == 0 and got[1].base_failed and got[6].base_failed
     assert "Home" not in got[5].text and got[5].n_lines_removed == 1
     assert rules.clean_lines(df.limit(0)).count() == 0
@@ -105,7 +125,71 @@ LONG = "Body text of the page that goes on for a good while, with words enough."
     (f"<div><p>{LONG} 1</p><p>{LONG} 2</p><p>{LONG} 3</p></div><article><p>Teaser</p></article>", f"{LONG} 1\n{LONG} 2\n{LONG} 3"),
     (f"<article><p>{LONG}</p><p>Short.</p><p>End.</p></article><ul>{'<li><a href=x>link</a></li>' * 9}</ul>", f"{LONG}\nShort.\nEnd.")])
 def test_main_text_of_nested_several_and_no_containers(page, want):
-    assert html.main_text(page).removesuffix("\nTeaser") == want
+    assert html.main_text(page) == want
+
+
+def given_pages():
+    import pyarrow.parquet as pq
+    return pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+
+
+def known_text(page):
+    """The article of a given page by another way: cut between the tags, split at block tags, strip the rest."""
+    import html as entities
+    import re
+    body = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
+    body = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav)\b.*?</\1>", "", body, flags=re.S)
+    lines = re.split(r"</?(?:p|h[1-6]|li|ul|ol|div|section|blockquote|pre|table|tr|td|th|tbody)\b[^>]*>", body)
+    plain = [" ".join(entities.unescape(re.sub(r"<[^>]*>", lambda m: " " if m.group().startswith("<br") else "", x)).split()) for x in lines]
+    return [x for x in plain if x]
+
+
+def test_main_text_of_given_pages_against_another_extraction():
+    for r in given_pages():
+        assert html.main_text(r["html"]).split("\n") == known_text(r["html"]), r["page_id"]
+
+
+def test_cluster_alone_finds_the_lines():
+    """With containers renamed the ratios decide by themselves: 98 % of the lines or more, and none from elsewhere."""
+    import re
+    from collections import Counter
+    lines = lost = added = 0
+    for r in given_pages():
+        want, got = Counter(known_text(r["html"])), Counter(html.main_text(re.sub(r"(</?)(article|main)\b", r"\1div", r["html"])).split("\n"))
+        lines, lost, added = lines + want.total(), lost + (want - got).total(), added + (got - want).total()
+    assert lines > 100 and lost <= 0.02 * lines and added == 0
+
+
+def test_cluster_bridges_gaps_and_takes_headings():
+    links = "<ul>" + "<li><a href=x>somewhere else</a></li>" * 12 + "</ul>"
+    page = f"<div>{links}<h2>Part</h2><p>{LONG} 1</p><p>a</p><p>b</p><p>c</p><h3>Next</h3><p>{LONG} 2</p>{links}</div>"
+    assert html.main_text(page) == f"Part\n{LONG} 1\na\nb\nc\nNext\n{LONG} 2"
+
+
+def test_extract_edges(spark):
+    df = spark.createDataFrame([(1, "u", None, 5), (None, None, "", 6), (3, "v", f"<p>{LONG}" + " more" * 100_000, 7)], "page_id long, url string, html string, text int")
+    got = html.extract(df).collect()
+    assert [(r.page_id, r.text[:4], r.n_chars) for r in got] == [(1, "", 0), (None, "", 0), (3, "Body", len(LONG) + 500_000)]
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_quality_votes_against_a_plain_vote(spark):
+    """Sparse counts, projection, cosine and weighted vote by plain loops over all labelled vectors; repeated ids and equal neighbours too."""
+    space = quality.Space()
+    rows = [(i % 40, f"{PROSE} {'noise!! $$' * (i % 7)} {i % 13} " * (1 + i % 3)) for i in range(60)] + [(50, None), (51, ""), (3, PROSE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, float(i % 2)) for i in range(0, 40)], "doc_id long, label double"), space)
+    for r in quality.score(docs, model, space).join(docs.distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.max("text").alias("text")), "doc_id").filter("n = 1").collect():
+        x = quality.weighted(np.stack([quality.counts(r.text, space)]), model.idf, space)[0] @ model.axes
+        length = sum(float(v) * float(v) for v in x) ** 0.5 or 1.0
+        near = sorted(((sum(float(a) * float(b) for a, b in zip(x, v)) / length, label) for v, label in zip(model.vectors, model.labels)), reverse=True)
+        least = near[min(space.neighbours, len(near)) - 1][0]
+        total = {}
+        for tie in (0.0, 1.0):              # neighbours as near as the last one may be either of those labels
+            best = sorted(near, key=lambda c: (-round(c[0], 5), abs(c[1] - tie)))[:space.neighbours]
+            w = [max(c, 1e-6) ** space.power for c, _ in best]
+            total[tie] = sum(a * l for a, (_, l) in zip(w, best)) / sum(w)
+        assert min(total.values()) - 1e-3 <= r.score <= max(total.values()) + 1e-3, (r.doc_id, total, r.score, least)
 
 
 def test_quality_votes(spark):
