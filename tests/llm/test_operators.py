@@ -63,7 +63,7 @@ def test_best_fit_against_a_plain_search():
 
 
 def test_rules_edges(spark):
-    prose = lambda i: " ".join(f"Line {i} says {w}{i} of a {w}ing thing, and ends well." for w in ("stone", "river", "cloud", "tree"))
+    prose = lambda i: " ".join(f"Line {i} says {w}{i} of a {w}{i}ing thing, and ends well." for w in ("stone", "river", "cloud", "tree"))
     rows = [(1, None), (2, ""), (3, prose(1)), (4, "a | b | c | d | e\n" * 8), (5, (prose(1) + "\nHome\n" + prose(2))), (6, "same words in a row here now " * 50)]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("quality", F.lit("x"))
     got = {r.doc_id: r.quality for r in rules.clean_lines(df).collect()}
