@@ -1,12 +1,18 @@
 """Job postings to job profiles, for any number of postings.
 
-Input is a paragraph table ``job_id, para_no, style, text``; the vocabulary scans take the
-posting's whole text, one row per posting.
+Input is a paragraph table ``job_id, para_no, style, text`` with one row per paragraph number of a
+posting; the vocabulary scans take the posting's whole text, one row per posting.
+
+Every extractor is a fold over facts: a paragraph names the entries it gives, entries are merged by
+(posting, kind, key) and a posting's entries become its row. ``whole=True`` says that no posting has
+more than a block of paragraphs (:func:`fits_block`): then one exchange by posting serves the routing,
+the choice of sections and every merge. Without it headings are carried over blocks of paragraphs and
+entries are merged before each exchange, so that a posting of any length is no single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candela.functions.carry import carry_last
 from candela.functions.text import heading_key, nfkd, normalise_text, sql_string
@@ -195,7 +201,16 @@ LIST_SPLIT = r",\s*|\s+or\s+|\s+and\s+"
 # --- end of fixed values ------------------------------------------------------
 
 
-def route_sections(paragraphs: DataFrame, decompose: bool = False) -> DataFrame:
+BLOCK = 4096
+
+
+def fits_block(paragraphs: DataFrame, block: int = BLOCK) -> bool:
+    """Whether the paragraph numbers of all postings stay below ``block``; one pass over that column."""
+    last = paragraphs.agg(F.max("para_no")).first()[0]
+    return last is None or last < block
+
+
+def route_sections(paragraphs: DataFrame, decompose: bool = False, whole: bool = False) -> DataFrame:
     """Normalised paragraphs with ``section``: the key of the latest heading, null before any.
 
     ``decompose=True`` first applies Unicode compatibility decomposition (a Python worker pass
@@ -205,9 +220,13 @@ def route_sections(paragraphs: DataFrame, decompose: bool = False) -> DataFrame:
         paragraphs = paragraphs.withColumn("text", nfkd(F.col("text")))
     text = normalise_text(F.col("text"))
     seen = paragraphs.withColumns({"text": text, "is_heading": F.col("style").isin(*HEADING_STYLES)})
-    seen = seen.filter(F.col("text") != "")
-    keyed = seen.withColumn("_key", F.when(F.col("is_heading"), heading_key(F.col("text"))))
-    return carry_last(keyed, ["job_id"], "para_no", "_key", "section").drop("_key")
+    keyed = seen.withColumn("_key", F.when(F.col("is_heading") & (F.col("text") != ""), heading_key(F.col("text"))))
+    if whole:
+        so_far = Window.partitionBy("job_id").orderBy("para_no").rowsBetween(Window.unboundedPreceding, 0)
+        routed = keyed.withColumn("section", F.last("_key", ignorenulls=True).over(so_far))
+    else:
+        routed = carry_last(keyed, ["job_id"], "para_no", "_key", "section", block=BLOCK)
+    return routed.filter(F.col("text") != "").drop("_key")
 
 
 def is_bullet() -> Column:
@@ -224,20 +243,64 @@ def section_bullets(routed: DataFrame, key: str) -> DataFrame:
     return section_all(routed, key).filter(is_bullet())
 
 
-def bullets_of(routed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def mark_bullets(routed: DataFrame, name: str, keys: tuple[str, ...], whole: bool = False) -> DataFrame:
+    """Add boolean ``name``: bullets under the first of ``keys`` that has any in the posting."""
+    bullet = ~F.col("is_heading") & is_bullet()
+    under = F.lit(None).cast("int")
+    for i, key in reversed(list(enumerate(keys))):
+        under = F.when(bullet & F.col("section").contains(key), i).otherwise(under)
+    if len(keys) == 1:
+        return routed.withColumn(name, under.isNotNull())
+    seen = routed.withColumn("_under", under)
+    if whole:
+        best = seen.withColumn("_best", F.min("_under").over(Window.partitionBy("job_id")))
+    else:
+        best = seen.join(seen.groupBy("job_id").agg(F.min("_under").alias("_best")), "job_id", "left")
+    return best.withColumn(name, F.coalesce(F.col("_under") == F.col("_best"), F.lit(False))).drop("_under", "_best")
+
+
+def bullets_of(routed: DataFrame, keys: tuple[str, ...], whole: bool = False) -> DataFrame:
     """Bullets under the first key; a posting without any falls back to the next key."""
-    found = section_bullets(routed, keys[0])
-    for key in keys[1:]:
-        missing = section_bullets(routed, key).join(found.select("job_id").distinct(), "job_id", "left_anti")
-        found = found.unionByName(missing)
-    return found
+    return mark_bullets(routed, "_mine", keys, whole).filter("_mine").drop("_mine")
+
+
+def entry(kind: str, key: Column, a: Column, b: Column, text: Column) -> Column:
+    """What a paragraph says: a value of ``kind`` and ``key``, at place (a, b)."""
+    return F.struct(F.lit(kind).alias("kind"), key.alias("key"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"),
+                    text.alias("text"))
+
+
+POSTING = ("posting", "")
+
+
+def facts(rows: DataFrame, *entries: Column) -> DataFrame:
+    """``job_id, kind, key, first, last``: the first and last entry, by place, of every kind and key.
+
+    ``entries`` are arrays of :func:`entry` per paragraph, null for none. Every posting has the entry ``POSTING``, so
+    one that says nothing keeps its row.
+    """
+    here = F.array(entry(POSTING[0], F.lit(POSTING[1]), F.lit(0), F.lit(0), F.lit(None).cast("string")))
+    none = F.filter(here, lambda e: F.lit(False))
+    said = rows.select("job_id", F.explode(F.concat(here, *[F.coalesce(e, none) for e in entries])).alias("_e")).select("job_id", "_e.*")
+    value = F.struct("a", "b", "text")
+    return said.groupBy("job_id", "kind", "key").agg(F.min(value).alias("first"), F.max(value).alias("last"))
+
+
+def only(condition: Column, item: Column) -> Column:
+    """An array of one entry where the condition holds, else null."""
+    return F.when(condition, F.array(item))
+
+
+def meta_pair() -> tuple[Column, Column, Column]:
+    """Whether a paragraph is a ``key: value`` line before any heading, its key and its value."""
+    pair = F.split("text", ":", 2)
+    return F.col("section").isNull() & F.col("text").contains(":"), F.lower(F.trim(pair[0])), F.trim(pair[1])
 
 
 def header_metadata(routed: DataFrame) -> DataFrame:
     """``job_id, key, value`` of the ``key: value`` lines before any heading; the last one wins."""
-    lines = routed.filter(F.col("section").isNull() & F.col("text").contains(":"))
-    pair = F.split("text", ":", 2)
-    keyed = lines.select("job_id", "para_no", F.lower(F.trim(pair[0])).alias("key"), F.trim(pair[1]).alias("value"))
+    is_line, key, value = meta_pair()
+    keyed = routed.filter(is_line).select("job_id", "para_no", key.alias("key"), value.alias("value"))
     return keyed.groupBy("job_id", "key").agg(F.max_by("value", "para_no").alias("value"))
 
 
@@ -247,12 +310,31 @@ def header_fields(meta: DataFrame, fields: dict[str, str]) -> DataFrame:
                                         for c, k in fields.items()])
 
 
-def job_title(routed: DataFrame, default: str = DEFAULT_TITLE) -> DataFrame:
-    """Text of the first Title paragraph without its prefix, else the default; one row per posting."""
-    titled = F.when(F.col("style") == "Title", F.struct("para_no", "text"))
-    first = routed.groupBy("job_id").agg(F.min(titled).alias("_t"))
-    clean = F.trim(F.regexp_replace("_t.text", r"(?i)^job description[:\s]+", ""))
-    return first.select("job_id", F.coalesce(clean, F.lit(default)).alias("job_title"))
+def meta_entry() -> Column:
+    is_line, key, value = meta_pair()
+    return only(is_line, entry("meta", key, F.col("para_no"), F.lit(0), value))
+
+
+def meta_folds(fields: dict[str, str]) -> list[Column]:
+    return [F.max(F.when(_is("meta", k), F.col("last.text"))).alias(c) for c, k in fields.items()]
+
+
+def title_entry() -> Column:
+    return only(F.col("style") == "Title", entry("title", F.lit(""), F.col("para_no"), F.lit(0), F.col("text")))
+
+
+def clean_title(raw: Column, default: str = DEFAULT_TITLE) -> Column:
+    return F.coalesce(F.trim(F.regexp_replace(raw, r"(?i)^job description[:\s]+", "")), F.lit(default))
+
+
+def job_title(routed: DataFrame, default: str = DEFAULT_TITLE, fields: dict[str, str] | None = None) -> DataFrame:
+    """Text of the first Title paragraph without its prefix, else the default, beside chosen header ``fields``.
+
+    One row per posting.
+    """
+    folded = facts(routed, title_entry(), meta_entry()).groupBy("job_id").agg(
+        F.max(F.when(_is("title", ""), F.col("first.text"))).alias("_title"), *meta_folds(fields or {}))
+    return folded.select("job_id", clean_title(F.col("_title"), default).alias("job_title"), *(fields or {}))
 
 
 def company_name(raw: Column, default: str = "") -> Column:
@@ -269,19 +351,65 @@ def experience_range(raw: Column, default: tuple[float, float] = DEFAULT_YEARS)
             F.coalesce(number(YEARS_RANGE, 2), single, F.lit(default[1])))
 
 
+def notice_fields(text: Column) -> dict[str, Column]:
+    """Days and buy-out named in a notice line."""
+    number = lambda pattern: F.regexp_extract(F.lower(text), pattern, 1).try_cast("int")
+    plus = number(PLUS_DAYS)
+    return {"preferred_max": number(SUB_DAYS),
+            "acceptable_max": F.coalesce(F.nullif(plus + NOTICE_MARGIN, F.lit(0)), F.lit(DEFAULT_NOTICE_MAX)),
+            "buyout": F.coalesce(number(BUYOUT_DAYS).isNotNull(), F.lit(False)), "buyout_max": number(BUYOUT_DAYS)}
+
+
 def notice_terms(bullets: DataFrame) -> DataFrame:
     """Notice terms of the first logistics bullet that mentions notice; one row per posting with one."""
-    low = bullets.withColumn("_low", F.lower("text")).filter(F.col("_low").contains("notice"))
-    first = low.groupBy("job_id").agg(F.min(F.struct("para_no", "_low", "text")).alias("_b"))
-    number = lambda pattern: F.regexp_extract("_b._low", pattern, 1).try_cast("int")
-    plus = number(PLUS_DAYS)
-    return first.select(
-        "job_id",
-        number(SUB_DAYS).alias("preferred_max"),
-        F.coalesce(F.nullif(plus + NOTICE_MARGIN, F.lit(0)), F.lit(DEFAULT_NOTICE_MAX)).alias("acceptable_max"),
-        number(BUYOUT_DAYS).isNotNull().alias("buyout"),
-        number(BUYOUT_DAYS).alias("buyout_max"),
-        F.col("_b.text").alias("note"))
+    first = bullets.filter(F.lower("text").contains("notice")).groupBy("job_id").agg(
+        F.min(F.struct("para_no", "text")).alias("_b"))
+    fields = notice_fields(F.col("_b.text"))
+    return first.select("job_id", *[c.alias(n) for n, c in fields.items()], F.col("_b.text").alias("note"))
+
+
+def city_order() -> list[str]:
+    names = tuple(dict.fromkeys(CITIES.values()))
+    return [c for c in CITY_PRIORITY if c in names] + [c for c in names if c not in CITY_PRIORITY]
+
+
+def place_entries(logistics: Column) -> Column:
+    """Entries of a logistics bullet about places: one a city, ``relocat`` and the visa verdict."""
+    low = F.lower("text")
+    about = logistics & (low.contains("location") | low.contains("office") | low.contains("apply"))
+    said = lambda key, text: entry("place", F.lit(key), F.col("para_no"), F.lit(0), text)
+    named = [F.when(vocab_hit(low, [raw for raw, norm in CITIES.items() if norm == city]), said(city, F.lit("")))
+             for city in city_order()]
+    refused = low.contains("don't sponsor") | low.contains("do not sponsor")
+    named.append(F.when(low.contains("relocat"), said("relocat", F.lit(""))))
+    named.append(F.when(low.contains("visa"), said("visa", F.when(refused, "no").otherwise("yes"))))
+    return F.when(about, F.array_compact(F.array(*named)))
+
+
+def vocab_hit(low: Column, terms: list[str]) -> Column:
+    hit = F.lit(False)
+    for term in terms:
+        hit = hit | low.contains(term)
+    return hit
+
+
+def _is(kind: str, key: str) -> Column:
+    return (F.col("kind") == kind) & (F.col("key") == key)
+
+
+def place_folds() -> list[Column]:
+    cities = [F.bool_or(_is("place", c)).alias(f"_c{i}") for i, c in enumerate(city_order())]
+    return [*cities, F.bool_or(_is("place", "relocat")).alias("_move"),
+            F.max(F.when(_is("place", "visa"), F.col("last.text"))).alias("_visa")]
+
+
+def place_fields() -> dict[str, Column]:
+    """Columns from :func:`place_folds` beside the posting's ``full_text``."""
+    whole = F.lower(F.coalesce("full_text", F.lit("")))
+    found = [F.when(F.col(f"_c{i}"), c) for i, c in enumerate(city_order())]
+    return {"locations": F.array_compact(F.array(*found)),
+            "relocation_open": F.coalesce("_move", F.lit(False)) | whole.contains("open to relocation"),
+            "visa_sponsorship": F.coalesce(F.col("_visa") == "yes", F.lit(False)) & ~whole.contains("don't sponsor")}
 
 
 def locations(bullets: DataFrame, full_text: DataFrame) -> DataFrame:
@@ -289,29 +417,8 @@ def locations(bullets: DataFrame, full_text: DataFrame) -> DataFrame:
 
     ``full_text`` has one row per posting (``job_id, full_text``).
     """
-    low = bullets.withColumn("_low", F.lower("text"))
-    about = low.filter(F.col("_low").contains("location") | F.col("_low").contains("office") | F.col("_low").contains("apply"))
-    names = tuple(dict.fromkeys(CITIES.values()))
-    ordered = [c for c in CITY_PRIORITY if c in names] + [c for c in names if c not in CITY_PRIORITY]
-
-    def named(city: str) -> Column:
-        hit = F.lit(False)
-        for raw, norm in CITIES.items():
-            if norm == city:
-                hit = hit | F.col("_low").contains(raw)
-        return F.bool_or(hit)
-
-    refused = F.col("_low").contains("don't sponsor") | F.col("_low").contains("do not sponsor")
-    visa = F.when(F.col("_low").contains("visa"), F.struct(F.col("para_no"), (~refused).alias("ok")))
-    facts = about.groupBy("job_id").agg(
-        *[named(c).alias(f"_c{i}") for i, c in enumerate(ordered)],
-        F.bool_or(F.col("_low").contains("relocat")).alias("_move"), F.max(visa).alias("_visa"))
-    whole = F.lower(F.coalesce("full_text", F.lit("")))
-    return full_text.join(facts, "job_id", "left").select(
-        "job_id",
-        F.array_compact(F.array(*[F.when(F.col(f"_c{i}"), c) for i, c in enumerate(ordered)])).alias("locations"),
-        (F.coalesce("_move", F.lit(False)) | whole.contains("open to relocation")).alias("relocation_open"),
-        (F.coalesce("_visa.ok", F.lit(False)) & ~whole.contains("don't sponsor")).alias("visa_sponsorship"))
+    folded = facts(bullets, place_entries(F.lit(True))).groupBy("job_id").agg(*place_folds())
+    return full_text.join(folded, "job_id", "left").select("job_id", *[c.alias(n) for n, c in place_fields().items()])
 
 
 def work_mode(raw: Column) -> Column:
@@ -354,44 +461,40 @@ def skill_category(canonical: Column) -> Column:
     return F.coalesce(F.try_element_at(table, canonical), F.try_element_at(table, first), F.lit("other"))
 
 
-def section_skills(routed: DataFrame, section_keys: tuple[str, ...], heads: tuple[tuple[str, str], ...]) -> DataFrame:
-    """Skill rows of each posting: fixed heads, then listed names; first of each canonical wins.
+def skill_entries(kind: str, mine: Column, heads: tuple[tuple[str, str], ...]) -> Column:
+    """Entries of the listed names of a bullet; their places come after the fixed heads."""
+    return F.when(mine, F.transform(inline_skills("text"), lambda x, i: entry(
+        kind, canonical_skill(normalise_text(x)), F.col("para_no") + len(heads), i, normalise_text(x))))
 
-    Rows: ``job_id, pos, original, canonical, category``.
-    """
-    fixed_rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"),
-                                    F.lit(name).alias("original"), F.lit(cat).alias("given"))
-                           for i, (name, cat) in enumerate(heads)])
-    jobs = routed.select("job_id").distinct()
-    head = jobs.select("job_id", F.inline(fixed_rows))
-    listed = bullets_of(routed, section_keys).select(
-        "job_id", (F.col("para_no") + len(heads)).cast("bigint").alias("a"),
-        F.posexplode(inline_skills("text")).alias("b", "original"))
-    found = listed.select("job_id", "a", F.col("b").cast("bigint").alias("b"),
-                          normalise_text(F.col("original")).alias("original"),
-                          F.lit(None).cast("string").alias("given"))
-    rows = head.unionByName(found).withColumn("canonical", canonical_skill(F.col("original")))
-    first = rows.groupBy("job_id", "canonical").agg(F.min(F.struct("a", "b", "original", "given")).alias("m"))
-    return first.select("job_id", F.struct("m.a", "m.b").alias("pos"), F.col("m.original").alias("original"), "canonical",
-                        F.coalesce("m.given", skill_category(F.col("canonical"))).alias("category"))
-
-
-def skill_lists(rows: DataFrame, name: str) -> DataFrame:
-    """One array of skills per posting, tokens precomputed.
+
+def _head_items(heads: tuple[tuple[str, str], ...]) -> Column:
+    items = []
+    for i, (name, category) in enumerate(heads):
+        canonical = canonical_skill(F.lit(name))
+        items.append(F.struct(F.lit(i).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(name).alias("original"),
+                              canonical.alias("canonical"), F.lit(category).alias("category"), skill_tokens(canonical).alias("tokens")))
+    return F.array(*items)
+
+
+def skill_fold(kind: str, heads: tuple[tuple[str, str], ...]) -> Column:
+    """Aggregate over facts: the fixed heads, then the listed names in order; first of each canonical wins.
 
     A posting's distinct skills come from one document, which bounds the list.
     """
-    item = F.struct("pos", F.struct("original", "canonical", "category",
-                                    skill_tokens(F.col("canonical")).alias("tokens")).alias("s"))
-    packed = rows.groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("_a"))
-    return packed.select("job_id", F.transform("_a", lambda x: x["s"]).alias(name))
+    canonical = F.col("key")
+    fixed = F.transform(_head_items(heads), lambda h: h["canonical"])
+    listed = F.when((F.col("kind") == kind) & ~F.array_contains(fixed, canonical), F.struct(
+        F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("first.text").alias("original"), canonical.alias("canonical"),
+        skill_category(canonical).alias("category"), skill_tokens(canonical).alias("tokens")))
+    return F.concat(_head_items(heads), F.array_sort(F.collect_list(listed)))
 
 
-def dedupe_rows(rows: DataFrame, pos: str, text: str = "text") -> DataFrame:
-    """First row per posting and lower-cased text; ``pos`` may be a struct."""
-    keyed = rows.withColumn("_k", F.lower(F.trim(text)))
-    first = keyed.groupBy("job_id", "_k").agg(F.min(F.struct(pos, text)).alias("_m"))
-    return first.select("job_id", F.col(f"_m.{pos}").alias(pos), F.col(f"_m.{text}").alias(text))
+def skill_lists(routed: DataFrame, section_keys: tuple[str, ...], heads: tuple[tuple[str, str], ...], name: str,
+                whole: bool = False) -> DataFrame:
+    """One array of skills per posting, tokens precomputed: ``struct<original, canonical, category, tokens>``."""
+    marked = mark_bullets(routed, "_mine", section_keys, whole)
+    folded = facts(marked, skill_entries("skill", F.col("_mine"), heads)).groupBy("job_id").agg(skill_fold("skill", heads).alias(name))
+    return folded.withColumn(name, F.transform(name, lambda x: x.dropFields("a", "b")))
 
 
 def _hits(text: str, terms: tuple[str, ...]) -> str:
@@ -420,45 +523,44 @@ def _dedupe_labels(labels: Column) -> Column:
     return dedupe_ordered(labels)
 
 
-def section_lists(routed: DataFrame, sections: dict[str, tuple[str, ...]] = SECTIONS) -> DataFrame:
-    """``job_id, list, pos, text``: responsibilities, disqualifiers, expectations and ideal notes."""
-    pos = lambda group: F.struct(F.lit(group).alias("g"), F.col("para_no").cast("bigint").alias("p"))
-    low = F.lower("text")
-
-    duties = section_all(routed, sections["responsibilities"][0])
-    mandate = duties.filter(low.contains("intelligence layer") | low.contains("mandate"))
-    mandate = mandate.groupBy("job_id").agg(F.min(F.struct("para_no", "text")).alias("m")).select("job_id", "m.*")
-    long_term = duties.filter(low.contains("long-term architecture") | low.contains("mentoring"))
-    parts = [mandate.select("job_id", pos(0).alias("pos"), "text"),
-             duties.filter(is_bullet()).select("job_id", pos(1).alias("pos"), "text"),
-             long_term.select("job_id", pos(2).alias("pos"), "text")]
-    responsibilities = dedupe_rows(_union(parts), "pos")
+def section_lists(routed: DataFrame, sections: dict[str, tuple[str, ...]] = SECTIONS, whole: bool = False) -> DataFrame:
+    """``job_id, list, pos, text``: responsibilities, disqualifiers, expectations and ideal notes.
 
-    arrows = F.col("text")
+    Lists keep the first of equal texts, disqualifiers all; of the mandates only a posting's first one leads.
+    """
+    rows = mark_bullets(routed, "_refused", sections["disqualifiers"], whole)
+    body, bullet, low, place = ~F.col("is_heading"), is_bullet(), F.lower("text"), F.col("para_no")
+    under = lambda name: body & F.col("section").contains(sections[name][0])
+    said = lambda kind, group, key=F.lower(F.trim("text")): entry(kind, key, F.lit(group), place, F.col("text"))
+    duty, between = under("responsibilities"), under("ideal")
+    first = facts(
+        rows,
+        only(duty & (low.contains("intelligence layer") | low.contains("mandate")), said("mandate", 0, F.lit(""))),
+        only(duty & bullet, said("responsibilities", 1)),
+        only(duty & (low.contains("long-term architecture") | low.contains("mentoring")), said("responsibilities", 2)),
+        only(under("expectations"), said("expectations", 0)),
+        only(between & bullet, said("ideal_notes", 0)),
+        only(between, said("ideal_notes", 1)),
+        only(F.col("_refused"), said("disqualifiers", 0, place.cast("string"))))
+
+    text = F.col("first.text")
+    merged = lambda kind, key, a, b, value: F.struct(kind.alias("list"), key.alias("key"), F.struct(
+        F.struct(a.cast("int").alias("g"), b.cast("bigint").alias("p")).alias("pos"), value.alias("text")).alias("m"))
+    opening = [merged(F.lit("expectations"), F.lit(t.strip().lower()), F.lit(1), F.lit(i), F.lit(t))
+               for i, t in enumerate(OPENING_EXPECTATIONS)]
+    own = lambda kind, key: F.array(merged(kind, key, F.col("first.a"), F.col("first.b"), text))
+    spread = (F.when(F.col("kind") == POSTING[0], F.array(*opening))
+              .when(F.col("kind") == "mandate", own(F.lit("responsibilities"), F.lower(F.trim(text))))
+              .otherwise(own(F.col("kind"), F.col("key"))))
+    kept = first.select("job_id", F.explode(spread).alias("_r")).select("job_id", "_r.*")
+    kept = kept.groupBy("job_id", "list", "key").agg(F.min("m").alias("m"))
+
+    arrows = F.col("m.text")
     for mark, plain in (("→", "->"), ("←", "<-"), ("↔", "<->"), ("⇒", "=>"), ("⇐", "<=")):
         arrows = F.replace(arrows, F.lit(mark), F.lit(plain))
-    disqualifiers = bullets_of(routed, sections["disqualifiers"]).select(
-        "job_id", pos(0).alias("pos"), normalise_text(F.regexp_replace(arrows, "[\\u2000-\\uffff]", " ")).alias("text"))
-
-    vibe = section_all(routed, sections["expectations"][0]).select("job_id", pos(0).alias("pos"), "text")
-    opening = F.array(*[F.struct(F.struct(F.lit(1).alias("g"), F.lit(i).cast("bigint").alias("p")).alias("pos"),
-                                 F.lit(t).alias("text")) for i, t in enumerate(OPENING_EXPECTATIONS)])
-    opened = routed.select("job_id").distinct().select("job_id", F.inline(opening))
-    expectations = dedupe_rows(_union([vibe, opened]), "pos")
-
-    between = section_all(routed, sections["ideal"][0])
-    ideal = dedupe_rows(_union([between.filter(is_bullet()).select("job_id", pos(0).alias("pos"), "text"),
-                                between.select("job_id", pos(1).alias("pos"), "text")]), "pos")
-    named = {"responsibilities": responsibilities, "disqualifiers": disqualifiers,
-             "expectations": expectations, "ideal_notes": ideal}
-    return _union([df.select("job_id", F.lit(n).alias("list"), "pos", "text") for n, df in named.items()])
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    plain_text = normalise_text(F.regexp_replace(arrows, "[\\u2000-\\uffff]", " "))
+    return kept.select("job_id", "list", F.col("m.pos").alias("pos"),
+                       F.when(F.col("list") == "disqualifiers", plain_text).otherwise(F.col("m.text")).alias("text"))
 
 
 def has_skill(needle: str) -> Column:
@@ -481,30 +583,34 @@ def profile_checks(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("problems", F.array_compact(F.array(*rules)))
 
 
-def job_profiles(routed: DataFrame, full_text: DataFrame, default_company: str = "") -> DataFrame:
-    """One profile row per posting.
+def job_profiles(routed: DataFrame, full_text: DataFrame, default_company: str = "", whole: bool = False) -> DataFrame:
+    """One profile row per posting, from one fold over its paragraphs and its whole text.
 
-    ``routed`` comes from :func:`route_sections` and is read once per extractor; hand in a
-    written table, so the routing itself runs once.
+    A posting without a row in ``full_text`` has no terms and only the flags that its bullets give.
     """
-    fields = header_fields(header_metadata(routed), {
-        "_company": "company", "_type": "employment type", "_years": "experience required", "_place": "location"})
-    logistics = bullets_of(routed, SECTIONS["logistics"])
+    rows = mark_bullets(routed, "_required", SECTIONS["required"], whole)
+    rows = mark_bullets(rows, "_preferred", SECTIONS["preferred"], whole)
+    rows = mark_bullets(rows, "_logistics", SECTIONS["logistics"], whole)
+    place, here = F.col("para_no"), F.lit("")
+    folded = facts(
+        rows, title_entry(), meta_entry(),
+        skill_entries("required", F.col("_required"), REQUIRED_HEADS), skill_entries("preferred", F.col("_preferred"), PREFERRED_HEADS),
+        only(F.col("_logistics") & F.lower("text").contains("notice"), entry("notice", here, place, F.lit(0), F.col("text"))),
+        place_entries(F.col("_logistics"))).groupBy("job_id").agg(
+            F.max(F.when(_is("title", ""), F.col("first.text"))).alias("_title"),
+            *meta_folds({"_company": "company", "_type": "employment type", "_years": "experience required", "_place": "location"}),
+            skill_fold("required", REQUIRED_HEADS).alias("required_skills"),
+            skill_fold("preferred", PREFERRED_HEADS).alias("preferred_skills"),
+            F.max(F.when(_is("notice", ""), F.col("first.text"))).alias("_notice"), *place_folds())
+    joined = folded.join(vocab_hits(full_text), "job_id", "left")
     lo, hi = experience_range(F.col("_years"))
-    rows = (job_title(routed)
-            .join(fields, "job_id", "left")
-            .join(skill_lists(section_skills(routed, SECTIONS["required"], REQUIRED_HEADS), "required_skills"), "job_id", "left")
-            .join(skill_lists(section_skills(routed, SECTIONS["preferred"], PREFERRED_HEADS), "preferred_skills"), "job_id", "left")
-            .join(notice_terms(logistics).drop("note"), "job_id", "left")
-            .join(locations(logistics, full_text), "job_id", "left")
-            .join(vocab_hits(full_text).drop("full_text"), "job_id", "left"))
-    return rows.select(
-        "job_id", "job_title", company_name(F.col("_company"), default_company).alias("company"),
+    notice, places = notice_fields(F.col("_notice")), place_fields()
+    skills = lambda name: F.transform(name, lambda x: x.dropFields("a", "b")).alias(name)
+    return joined.select(
+        "job_id", clean_title(F.col("_title")).alias("job_title"), company_name(F.col("_company"), default_company).alias("company"),
         F.coalesce("_type", F.lit("Full-time")).alias("employment_type"),
         lo.alias("min_years"), hi.alias("max_years"),
         F.lit(RECOMMENDED_YEARS[0]).alias("recommended_min"), F.lit(RECOMMENDED_YEARS[1]).alias("recommended_max"),
-        work_mode(F.col("_place")).alias("work_mode"), "required_skills", "preferred_skills",
-        "locations", "relocation_open", "visa_sponsorship",
-        "preferred_max", F.coalesce("acceptable_max", F.lit(DEFAULT_NOTICE_MAX)).alias("acceptable_max"),
-        F.coalesce("buyout", F.lit(False)).alias("buyout"), "buyout_max",
+        work_mode(F.col("_place")).alias("work_mode"), skills("required_skills"), skills("preferred_skills"),
+        *[c.alias(n) for n, c in places.items()], *[c.alias(n) for n, c in notice.items()],
         "ai_technologies", "evaluation_metrics", "keywords", "soft_skills")

@@ -16,10 +16,18 @@ PARAS = [
 KEYS = ("things you absolutely need",)
 
 
+SCHEMA = "job_id string, para_no int, style string, text string"
+
+
+@pytest.fixture(scope="module", params=[True, False], ids=["whole", "blocks"])
+def whole(request):
+    return request.param
+
+
 @pytest.fixture(scope="module")
-def routed(spark):
+def routed(spark, whole):
     rows = [("p1", i, s, t) for i, (s, t) in enumerate(PARAS)] + [("p2", 0, "Normal", "just text")]
-    return K.route_sections(spark.createDataFrame(rows, "job_id string, para_no int, style string, text string")).cache()
+    return K.route_sections(spark.createDataFrame(rows, SCHEMA), whole=whole)
 
 
 def test_sections(routed):
@@ -46,6 +54,8 @@ def test_header_title_and_years(routed):
     row = K.header_fields(meta, {"c": "company", "years": "experience required", "place": "location"}).select(
         K.company_name(F.col("c")).alias("c"), lo.alias("lo"), hi.alias("hi"), K.work_mode(F.col("place")).alias("m")).first()
     assert (row.c, row.lo, row.hi, row.m) == ("Acme AI", 5.0, 9.0, "Hybrid")
+    beside = {r.job_id: r.raw for r in K.job_title(routed, fields={"raw": "company"}).collect()}
+    assert beside == {"p1": "Acme AI (Series A)", "p2": None}
     titles = {r.job_id: r.job_title for r in K.job_title(routed).collect()}
     assert titles == {"p1": "Senior AI Engineer", "p2": "Senior AI Engineer"}
 
@@ -57,8 +67,8 @@ def test_years(spark, text, expected):
     assert (row.lo, row.hi) == expected
 
 
-def test_skills(routed):
-    rows = K.skill_lists(K.section_skills(routed, KEYS, K.REQUIRED_HEADS[:1]), "s").collect()
+def test_skills(routed, whole):
+    rows = K.skill_lists(routed, KEYS, K.REQUIRED_HEADS[:1], "s", whole).collect()
     got = {r.job_id: [(x.original, x.canonical, x.category) for x in r.s] for r in rows}
     assert got["p2"] == [("Embeddings-based retrieval", "embeddings-based retrieval", "embedding")]
     assert got["p1"][1:] == [("sentence transformers", "sentence-transformers", "embedding"), ("BGE", "bge", "embedding"),
@@ -75,8 +85,8 @@ def test_logistics(spark, routed):
     assert got["p2"].locations == [] and got["p2"].relocation_open
 
 
-def test_lists(routed):
-    rows = K.section_lists(routed).filter("job_id = 'p1'").orderBy("list", "pos").collect()
+def test_lists(routed, whole):
+    rows = K.section_lists(routed, whole=whole).filter("job_id = 'p1'").orderBy("list", "pos").collect()
     by = {}
     for r in rows:
         by.setdefault(r["list"], []).append(r.text)
@@ -98,8 +108,76 @@ def test_vocabulary_and_checks(spark):
     assert K.profile_checks(jobs).first().problems == ["min_years cannot exceed max_years"]
 
 
-def test_profile(spark, routed):
+def test_profile(spark, routed, whole):
     full = routed.groupBy("job_id").agg(F.lit("ndcg and faiss").alias("full_text"))
-    row = K.job_profiles(routed, full).filter("job_id = 'p1'").first()
+    row = K.job_profiles(routed, full, whole=whole).filter("job_id = 'p1'").first()
     assert (row.company, row.job_title, row.work_mode, row.min_years, row.acceptable_max) == ("Acme AI", "Senior AI Engineer", "Hybrid", 5.0, 90)
     assert len(row.required_skills) == 9 and row.ai_technologies == ["faiss"]
+    assert [x.original for x in row.required_skills][:5] == [n for n, _ in K.REQUIRED_HEADS] + ["sentence transformers"]
+    assert row.locations == ["Noida", "Bengaluru", "India"] and (row.buyout, row.buyout_max) == (True, 30)
+
+
+def test_empty_and_odd_rows(spark, whole):
+    none = spark.createDataFrame([], SCHEMA)
+    assert K.fits_block(none) and not K.fits_block(spark.createDataFrame([("p", K.BLOCK, "Normal", "x")], SCHEMA))
+    texts = spark.createDataFrame([], "job_id string, full_text string")
+    empty = K.route_sections(none, whole=whole)
+    assert K.job_profiles(empty, texts, whole=whole).count() == 0 and K.section_lists(empty, whole=whole).count() == 0
+    odd = spark.createDataFrame([("p", 0, None, "no style"), ("p", 1, "Heading 1", None), ("p", 2, "List Bullet", ""), (None, 0, "Title", "t")], SCHEMA)
+    rows = K.job_profiles(K.route_sections(odd, whole=whole), texts, whole=whole).collect()
+    assert {r.job_id: (r.job_title, r.locations, r.keywords) for r in rows} == {"p": (K.DEFAULT_TITLE, [], None), None: ("t", [], None)}
+
+
+def test_first_section_with_bullets(spark, whole):
+    """The second key counts only in postings that have no bullet under the first."""
+    first, second = K.SECTIONS["disqualifiers"]
+    paras = lambda job, *heads: [(job, 2 * i + j, *row) for i, head in enumerate(heads)
+                                 for j, row in enumerate([("Heading 1", head), ("List Bullet", f"{job}{i}")])]
+    rows = paras("a", "We " + second, first) + paras("b", "We " + second, "Other") + [("c", 0, "Heading 1", first), ("c", 1, "Normal", "n"),
+                                                                                     ("c", 2, "Heading 1", "We " + second), ("c", 3, "List Bullet", "c1")]
+    routed = K.route_sections(spark.createDataFrame(rows, SCHEMA), whole=whole)
+    assert {r.text for r in K.bullets_of(routed, (first, second), whole).collect()} == {"a1", "b0", "c1"}
+    lists = K.section_lists(routed, whole=whole).filter("list = 'disqualifiers'")
+    assert {r.text for r in lists.collect()} == {"a1", "b0", "c1"}
+
+
+def test_long_posting_equals_whole(spark, monkeypatch):
+    """Blocks of four paragraphs give what one window gives, also where a section spans many blocks."""
+    monkeypatch.setattr(K, "BLOCK", 4)
+    paras = spark.createDataFrame([("p1", i, s, t) for i, (s, t) in enumerate(PARAS * 3)], SCHEMA)
+    full = spark.createDataFrame([("p1", "open to relocation, faiss")], "job_id string, full_text string")
+    results = []
+    for short in (True, False):
+        routed = K.route_sections(paras, whole=short)
+        results.append((sorted(map(str, routed.select("para_no", "section").collect())),
+                        sorted(map(str, K.section_lists(routed, whole=short).collect())),
+                        K.job_profiles(routed, full, whole=short).collect()))
+    assert results[0] == results[1]
+
+
+def test_plan_is_one_scan_and_one_exchange(spark, tmp_path):
+    """Each extractor reads the paragraphs once and shuffles them once; profiles add the same for the texts."""
+    path = str(tmp_path / "paras")
+    spark.createDataFrame([("p1", i, s, t) for i, (s, t) in enumerate(PARAS)], SCHEMA).write.parquet(path)
+    paras = spark.read.parquet(path)
+    routed = K.route_sections(paras, whole=True)
+    texts = spark.createDataFrame([("p1", "x")], "job_id string, full_text string")
+    texts.write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    logistics = K.bullets_of(routed, K.SECTIONS["logistics"], True)
+    once = {"lists": K.section_lists(routed, whole=True), "title": K.job_title(routed), "notice": K.notice_terms(logistics),
+            "skills": K.skill_lists(routed, K.SECTIONS["preferred"], K.PREFERRED_HEADS, "s", True), "meta": K.header_metadata(routed)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, df in once.items():
+            assert _counts(df) == (1, 1), name
+        for df in (K.job_profiles(routed, texts, whole=True), K.locations(logistics, texts)):
+            assert _counts(df) == (2, 2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _counts(df):
+    """Scans and shuffles of the planned query."""
+    plan = df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+    return plan[0].count("FileScan"), plan[1].count("Exchange hashpartitioning")

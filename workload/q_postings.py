@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from candela.functions import arrays as A, text as X
 from candela.operators import postings as K
-from candela.sources import sinks
 from workload import tables as T
 from workload.registry import register
 from workload.sql import cte, lst, pick, query, r, s
@@ -24,7 +23,7 @@ def norm(ref: str) -> str:
 
 cte("para_raw", ("doc", "line"), f"""SELECT d, 0 AS no, 'Normal' AS style, 'Company: ' || source || ' (' || lang || ')' AS text FROM doc
     UNION ALL SELECT d, 1, 'Normal', CASE CAST(n % 4 AS INTEGER) WHEN 0 THEN 'Experience Required: open' WHEN 1 THEN 'Experience Required: ' || n % 9 || ' years'
-      ELSE 'Experience Required: ' || n % 9 || '–' || (n % 9 + 3) || ' years' END FROM doc
+      WHEN 2 THEN 'Experience Required: ' || n % 9 || '–' || (n % 9 + 3) || ' years' ELSE 'Experience Required: ' || (n % 9 + 3) || '–' || n % 9 || ' years' END FROM doc
     UNION ALL SELECT d, 2, 'Normal', 'Location:  ' || {pick(T.PLACES, 'n')} || ' - ' || {pick(T.MODES, 'n')} FROM doc
     UNION ALL SELECT d, i + 3, CASE WHEN i = 0 THEN 'Title' WHEN l < {T.SHORT_LINE} THEN 'Heading 1' WHEN l % 5 = 0 THEN 'Normal' ELSE 'List Bullet' END,
       CASE WHEN i = 0 THEN 'Job Description: ' || x WHEN l < {T.SHORT_LINE} THEN {pick(T.HEADINGS, 'l')} ELSE x || {pick(T.PHRASES, 'l')} END FROM line""")
@@ -36,15 +35,15 @@ cte("meta", ("routed",), "SELECT job_id, lower(trim(split_part(text, ':', 1), '
 cte("whole_text", (), f"SELECT 'POST_' || doc_id AS job_id, {norm('text')} AS full_text FROM documents")
 
 
-def _routed(spark, sf) -> DataFrame:
-    return K.route_sections(T.paragraphs(spark, sf))
+def _outline(spark, sf) -> tuple[DataFrame, bool]:
+    """Routed paragraphs, and whether every posting is short enough for one task."""
+    paragraphs = T.paragraphs(spark, sf)
+    whole = K.fits_block(paragraphs)
+    return K.route_sections(paragraphs, whole=whole), whole
 
 
-def _stored(spark, sf) -> DataFrame:
-    """Routed paragraphs, written once for extractors that read them several times."""
-    path = sinks.new_folder(spark, "routed")
-    _routed(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+def _routed(spark, sf) -> DataFrame:
+    return _outline(spark, sf)[0]
 
 
 def md5(name: str):
@@ -82,9 +81,7 @@ def header_meta(spark, sf) -> DataFrame:
 @register("job_title", query("""SELECT job_id, md5(coalesce(min(CASE WHEN style = 'Title' THEN trim(regexp_replace(text, '^job description[:\\s]+', '', 'i'), ' ') END), 'Senior AI Engineer')) AS job_title,
     (SELECT trim(regexp_replace(value, '\\s*\\(.*\\)', ''), ' ') FROM meta m WHERE m.job_id = r.job_id AND key = 'company') AS company FROM routed r GROUP BY job_id""".replace("\\\\", "\\"), "routed", "meta"))
 def job_title(spark, sf) -> DataFrame:
-    routed = _routed(spark, sf)
-    firm = K.header_fields(K.header_metadata(routed), {"raw": "company"})
-    titled = K.job_title(routed).join(firm, "job_id", "left")
+    titled = K.job_title(_routed(spark, sf), fields={"raw": "company"})
     return titled.select("job_id", md5("job_title"), K.company_name(F.col("raw")).alias("company"))
 
 
@@ -172,7 +169,8 @@ cte("req", ("jobs_", "inl"), f"{_HEADS} UNION ALL SELECT job_id, no + 4, k * 100
 @register("job_skills", query(f"""SELECT job_id, string_agg(item || '/' || canonical || '/' || coalesce(given, {_category('canonical')}), '; ' ORDER BY a, b) AS skills FROM (
     SELECT *, {_canon('item')} AS canonical, row_number() OVER (PARTITION BY job_id, {_canon('item')} ORDER BY a, b) AS k FROM req) WHERE k = 1 GROUP BY job_id""", "req"))
 def job_skills(spark, sf) -> DataFrame:
-    lists = K.skill_lists(K.section_skills(_stored(spark, sf), K.SECTIONS["required"], K.REQUIRED_HEADS), "skills")
+    routed, whole = _outline(spark, sf)
+    lists = K.skill_lists(routed, K.SECTIONS["required"], K.REQUIRED_HEADS, "skills", whole)
     named = F.transform("skills", lambda x: F.concat_ws("/", x["original"], x["canonical"], x["category"]))
     return lists.select("job_id", F.array_join(named, "; ").alias("skills"))
 
@@ -214,7 +212,8 @@ cte("listed", ("routed", "bullet", "jobs_"), f"""SELECT job_id, 'responsibilitie
 @register("section_lists", query(f"""SELECT job_id, list, g, p, md5(text) AS text FROM (SELECT *, row_number() OVER (PARTITION BY job_id, list, lower(text) ORDER BY g, p) AS k FROM listed) WHERE k = 1
     UNION ALL SELECT job_id, 'disqualifiers', 0, no, md5({norm("regexp_replace(replace(text, '→', '->'), '[\\x{2000}-\\x{ffff}]', ' ', 'g')")}) FROM bullet WHERE contains(section, 'explicitly do not want')""", "listed", "bullet"))
 def section_lists(spark, sf) -> DataFrame:
-    rows = K.section_lists(_stored(spark, sf))
+    routed, whole = _outline(spark, sf)
+    rows = K.section_lists(routed, whole=whole)
     return rows.select("job_id", "list", F.col("pos.g").cast("bigint").alias("g"), F.col("pos.p").alias("p"), md5("text"))
 
 
@@ -235,12 +234,16 @@ def profile_checks(spark, sf) -> DataFrame:
     return K.profile_checks(made).select("job_id", F.array_join("problems", "; ").alias("problems"))
 
 
-def _heads(heads) -> str:
-    return " UNION ALL ".join(f"SELECT job_id, {s(n)} AS item FROM jobs_" for n, _ in heads)
+def _listed(kind: str, heads, section: str) -> None:
+    """The skills of one section as ``kind``: fixed heads, then listed names, first of each canonical."""
+    fixed = " UNION ALL ".join(f"SELECT job_id, {i} AS a, 0 AS b, {s(n)} AS item, {s(c)} AS given FROM jobs_" for i, (n, c) in enumerate(heads))
+    cte(kind, ("jobs_", "inl"), f"""SELECT job_id, string_agg(item || '/' || canonical || '/' || coalesce(given, {_category('canonical')}), '; ' ORDER BY a, b) AS skills FROM (
+        SELECT *, {_canon('item')} AS canonical, row_number() OVER (PARTITION BY job_id, {_canon('item')} ORDER BY a, b) AS k
+        FROM ({fixed} UNION ALL SELECT job_id, no + {len(heads)}, k * 1000 + j, item, NULL FROM inl WHERE contains(section, {s(section)}))) WHERE k = 1 GROUP BY job_id""")
 
 
-cte("need", ("jobs_", "inl"), f"SELECT job_id, count(DISTINCT {_canon('item')}) AS n FROM ({_heads(K.REQUIRED_HEADS)} UNION ALL SELECT job_id, item FROM inl WHERE contains(section, 'things you absolutely need')) GROUP BY job_id")
-cte("wish", ("jobs_", "inl"), f"SELECT job_id, count(DISTINCT {_canon('item')}) AS n FROM ({_heads(K.PREFERRED_HEADS)} UNION ALL SELECT job_id, item FROM inl WHERE contains(section, 'like you to have')) GROUP BY job_id")
+_listed("need", K.REQUIRED_HEADS, "things you absolutely need")
+_listed("wish", K.PREFERRED_HEADS, "like you to have")
 cte("years_", ("meta",), EXPERIENCE_RANGE_SQL)
 cte("notice_", ("logi",), NOTICE_TERMS_SQL)
 cte("places_", ("logi", "whole_text"), LOCATIONS_SQL)
@@ -248,14 +251,26 @@ cte("places_", ("logi", "whole_text"), LOCATIONS_SQL)
 
 @register("job_profiles", query(f"""SELECT j.job_id, (SELECT trim(regexp_replace(value, '\\s*\\(.*\\)', ''), ' ') FROM meta m WHERE m.job_id = j.job_id AND key = 'company') AS company,
     y.min_years, y.max_years, (SELECT CASE WHEN contains(lower(value), 'remote') AND NOT contains(lower(value), 'hybrid') THEN 'Remote' WHEN contains(lower(value), 'onsite') AND NOT contains(lower(value), 'hybrid') THEN 'Onsite' ELSE 'Hybrid' END
-      FROM meta m WHERE m.job_id = j.job_id AND key = 'location') AS work_mode, need.n AS n_required, wish.n AS n_preferred,
-    CASE WHEN l.locations = '' THEN 0 ELSE len(string_split(l.locations, '; ')) END AS n_locations, l.relocation_open, l.visa_sponsorship, coalesce(t.acceptable_max, 150) AS acceptable_max,
-    len(list_distinct(list_concat({lst(K.BASE_KEYWORDS)}, list_filter({lst(K.TECHNOLOGIES)}, lambda t: contains(lower(w.full_text), t))))) AS n_keywords
+      FROM meta m WHERE m.job_id = j.job_id AND key = 'location') AS work_mode, need.skills AS required, wish.skills AS preferred,
+    l.locations, l.relocation_open, l.visa_sponsorship, coalesce(t.acceptable_max, 150) AS acceptable_max, coalesce(t.buyout, false) AS buyout, coalesce(t.buyout_max, -1) AS buyout_max,
+    array_to_string(list_sort(list_distinct(list_concat({lst(K.BASE_KEYWORDS)}, list_filter({lst(K.TECHNOLOGIES)}, lambda t: contains(lower(w.full_text), t))))), '; ') AS keywords
     FROM jobs_ j JOIN years_ y USING (job_id) JOIN need USING (job_id) JOIN wish USING (job_id) JOIN places_ l USING (job_id) LEFT JOIN notice_ t USING (job_id) JOIN whole_text w USING (job_id)""",
     "jobs_", "meta", "years_", "need", "wish", "places_", "notice_", "whole_text"))
 def job_profiles(spark, sf) -> DataFrame:
-    """One assembled profile per posting."""
-    out = K.job_profiles(_stored(spark, sf), T.posting_text(spark, sf))
-    return out.select("job_id", "company", "min_years", "max_years", "work_mode", F.size("required_skills").cast("bigint").alias("n_required"),
-                      F.size("preferred_skills").cast("bigint").alias("n_preferred"), F.size("locations").cast("bigint").alias("n_locations"),
-                      "relocation_open", "visa_sponsorship", "acceptable_max", F.size("keywords").cast("bigint").alias("n_keywords"))
+    """One assembled profile per posting, with its whole lists."""
+    routed, whole = _outline(spark, sf)
+    out = K.job_profiles(routed, T.posting_text(spark, sf), whole=whole)
+    named = lambda name: F.array_join(F.transform(name, lambda x: F.concat_ws("/", x["original"], x["canonical"], x["category"])), "; ")
+    return out.select("job_id", "company", "min_years", "max_years", "work_mode", named("required_skills").alias("required"),
+                      named("preferred_skills").alias("preferred"), F.array_join("locations", "; ").alias("locations"),
+                      "relocation_open", "visa_sponsorship", "acceptable_max", "buyout", F.coalesce("buyout_max", F.lit(-1)).alias("buyout_max"),
+                      F.array_join(F.array_sort("keywords"), "; ").alias("keywords"))
+
+
+@register("profile_problems", query("""SELECT job_id, CASE WHEN min_years > max_years THEN 'min_years cannot exceed max_years' ELSE '' END AS problems
+    FROM (SELECT DISTINCT job_id FROM routed) JOIN years_ USING (job_id)""", "routed", "years_"))
+def profile_problems(spark, sf) -> DataFrame:
+    """Consistency rules over the assembled profiles; some postings name their years in falling order."""
+    routed, whole = _outline(spark, sf)
+    profiles = K.job_profiles(routed, T.posting_text(spark, sf), whole=whole)
+    return K.profile_checks(profiles).select("job_id", F.array_join("problems", "; ").alias("problems"))

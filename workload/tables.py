@@ -212,7 +212,8 @@ def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     head = ("array(named_struct('style', 'Normal', 'text', concat('Company: ', source, ' (', lang, ')')), "
             "named_struct('style', 'Normal', 'text', CASE WHEN n % 4 = 0 THEN 'Experience Required: open' "
             "WHEN n % 4 = 1 THEN concat('Experience Required: ', n % 9, ' years') "
-            "ELSE concat('Experience Required: ', n % 9, '–', n % 9 + 3, ' years') END), "
+            "WHEN n % 4 = 2 THEN concat('Experience Required: ', n % 9, '–', n % 9 + 3, ' years') "
+            "ELSE concat('Experience Required: ', n % 9 + 3, '–', n % 9, ' years') END), "
             f"named_struct('style', 'Normal', 'text', concat('Location:  ', {_pick(PLACES, 'n')}, ' - ', {_pick(MODES, 'n')})))")
     return documents(spark, sf).selectExpr(
         "concat('POST_', d) AS job_id", f"posexplode(concat({head}, {body})) AS (para_no, p)").select(
