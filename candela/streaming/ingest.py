@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from candela.config import EngineConfig
-from candela.operators.ingest import classify
+from candela.operators.ingest import classify, split_valid_quarantine
 from candela.operators.ranking import top_k_per
+from candela.plans.features import base_features
+from candela.plans.shortlist import score_pairs
 from candela.sources.readers import clean_lines
 from candela.sources.schema import SIGNALS_KEY
 
@@ -23,16 +25,36 @@ def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int | None
 
 
 def write_classified(lines: DataFrame, out: str, checkpoint: str, validate: bool = True,
-                     signals_key: str = SIGNALS_KEY) -> StreamingQuery:
+                     signals_key: str = SIGNALS_KEY, interval: str | None = None) -> StreamingQuery:
     """Classify each new line and append it to ``out/is_valid=...``; stateless.
 
-    The file sink keeps its own log, so a batch repeated after a failure is not written twice.
+    One sink takes valid and quarantined rows and logs a batch as a whole: whoever reads ``out`` (not a folder below
+    it, which the log doesn't cover) sees both parts of a batch or neither, and a batch repeated after a failure
+    once. Without ``interval`` the query ends when it has taken what is there.
     """
     classified = classify(lines, validate, signals_key=signals_key)
     parted = classified.withColumn("is_valid", F.col("error_type").isNull())
     return (parted.writeStream.format("parquet").partitionBy("is_valid")
             .option("path", out).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+            .outputMode("append").trigger(**_trigger(interval)).start())
+
+
+def _trigger(interval: str | None) -> dict:
+    return {"processingTime": interval} if interval else {"availableNow": True}
+
+
+def stop_after(running: StreamingQuery, batches: int) -> None:
+    """Stop a query once it has committed that many micro-batches; the one in flight is given up and repeated on resuming."""
+    while running.isActive and (running.lastProgress is None or running.lastProgress.batchId + 1 < batches):
+        running.awaitTermination(0.2)
+    running.stop()
+
+
+def score_lines(lines: DataFrame, vectors: DataFrame, jobs: DataFrame, as_of: str, config: EngineConfig = EngineConfig(),
+                validate: bool = True) -> DataFrame:
+    """Scored (job, candidate) rows of raw lines: checked, typed, turned into features and paired with every job."""
+    valid, _ = split_valid_quarantine(classify(lines, validate))
+    return score_pairs(base_features(valid, as_of, config), vectors, jobs, config)
 
 
 def stream_shortlist(scored: Callable[[DataFrame], DataFrame], docs: DataFrame, store: str, checkpoint: str,

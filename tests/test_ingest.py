@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from candela.config import EngineConfig
 from candela.operators import ingest as I
 from candela.sources import readers, sinks
 from candela.sources.schema import candidate_ddl
@@ -113,6 +114,46 @@ def test_stream_equals_batch(spark, tmp_path):
     assert streamed.filter("error_type IS NULL").count() == 3
 
 
+def test_stream_resumes_after_a_stop(spark, tmp_path):
+    """Stopped after one micro-batch, resumed, and resumed again without new files: every line once."""
+    source, out, log = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "log")
+    source.mkdir()
+    for i in range(4):
+        (source / f"{i}.jsonl").write_text("\n".join([json.dumps(make(candidate_id=f"CAND_000000{i}")), f"{{bad {i}"]))
+    start = lambda **how: ST.write_classified(ST.stream_lines(spark, str(source), 1), out, log, **how)
+    ST.stop_after(start(interval="2 seconds"), 1)
+    stopped = spark.read.parquet(out)
+    assert 2 <= stopped.count() <= 8 and stopped.filter("error_type IS NULL").count() * 2 == stopped.count()
+    start().awaitTermination()
+    start().awaitTermination()
+    rows = spark.read.parquet(out)
+    assert (rows.count(), rows.select("value").distinct().count()) == (8, 8)
+
+
+def test_batch_that_fails_is_repeated_once(spark, tmp_path):
+    """The scoring of the second batch fails after the first was stored; the resumed run gives the batch result."""
+    source, store, log = tmp_path / "in", str(tmp_path / "best"), str(tmp_path / "log")
+    source.mkdir()
+    for i in range(3):
+        (source / f"{i}.csv").write_text(f"j,{i},{i}.5\nk,{i},{-i}.0\n")
+    schema = "job_id string, candidate_id string, final_score double"
+    feed = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).csv(str(source))
+    seen = []
+
+    def failing(batch):
+        seen.append(1)
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+        return batch
+
+    config = EngineConfig(top_k=2)
+    with pytest.raises(Exception, match="lost"):
+        ST.stream_shortlist(failing, feed(), store, log, config).awaitTermination()
+    ST.stream_shortlist(failing, feed(), store, log, config).awaitTermination()
+    best = {(r.job_id, r["rank"]): r.candidate_id for r in ST.latest_shortlist(spark, store).collect()}
+    assert best == {("j", 1): "2", ("j", 2): "1", ("k", 1): "0", ("k", 2): "1"} and len(seen) == 4
+
+
 def test_filters_do_not_repeat_the_checks(spark):
     plan = I.classify(lines(spark, [make()])).filter("error_type IS NULL")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("try_parse_json") + plan.count("parse_json") <= 2

@@ -189,6 +189,32 @@ def stream_ingest(spark, sf) -> DataFrame:
     return rows.groupBy(F.coalesce("error_type", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("n_rows"))
 
 
+@register("stream_restart", query("SELECT coalesce(error_type, 'valid') AS outcome, count(*) AS n_rows, count(DISTINCT candidate_id) AS n_ids FROM classified GROUP BY 1", "classified"))
+def stream_restart(spark, sf) -> DataFrame:
+    """The lines in several micro-batches, stopped after the first and resumed from the checkpoint; no row is lost or repeated."""
+    source, out = _stored_lines(spark, sf), sinks.new_folder(spark, "restart")
+    start = lambda **how: ST.write_classified(ST.stream_lines(spark, source, 3), f"{out}/rows", f"{out}/log", **how)
+    ST.stop_after(start(interval="0 seconds"), 1)
+    start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.groupBy(F.coalesce("error_type", F.lit("valid")).alias("outcome")).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("candidate_id").alias("n_ids"))
+
+
+@register("stream_rank", query("""SELECT job_id, candidate_id, final AS final_score, CAST(rnk AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final DESC, candidate_id) AS rnk FROM sc
+    WHERE candidate_id NOT IN (SELECT 'CAND_' || lpad(CAST(d AS VARCHAR), 7, '0') FROM line GROUP BY d HAVING count(*) > 10 OR count(*) FILTER (l % 3 = 0) > 5)) WHERE rnk <= 10""", "sc", "line"))
+def stream_rank(spark, sf) -> DataFrame:
+    """Documents arrive as JSON lines; what meets the contract of a micro-batch is scored and merged into the running top-k per job."""
+    out = sinks.new_folder(spark, "ranked")
+    lines = T.candidates(spark, sf).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    lines.repartition(3).write.text(f"{out}/in")
+    vectors, jobs = T.vectors(spark, sf), T.jobs(spark, sf)
+    score = lambda batch: ST.score_lines(batch, vectors, jobs, T.AS_OF).select("job_id", "candidate_id", "final_score")
+    ST.stream_shortlist(score, ST.stream_lines(spark, f"{out}/in", 1), f"{out}/best", f"{out}/log", TOP10).awaitTermination()
+    return ST.latest_shortlist(spark, f"{out}/best")
+
+
 @register("stream_topk", query("SELECT job_id, candidate_id, final AS final_score, CAST(rnk AS INTEGER) AS rank FROM top10", "top10"))
 def stream_topk(spark, sf) -> DataFrame:
     """Scored rows arrive as files; a running top-k per job is kept across micro-batches."""

@@ -8,7 +8,7 @@ from candela.config import EngineConfig
 from candela.functions import vectors as Vec
 from candela.operators import explain as E, profiling as P, ranking as R, semantic as H, serving as SV
 from candela.plans import shortlist as PL
-from candela.sources import sinks
+from candela.sources import sinks, vector_store as VS
 from workload import tables as T
 from workload.registry import register
 from workload.sql import CTES, DOMAINS, cte, lst, pct, query, r, s, scored_cte, top_cte, whole
@@ -81,6 +81,52 @@ def embed_tfidf(spark, sf) -> DataFrame:
     return out.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).filter("weight != 0").withColumn("weight", F.round("weight", 6))
 
 
+LETTERS = "aeiou "
+_LETTERS_SQL = ", ".join(f"CAST(length(t) - length(replace(t, {s(c)}, '')) AS DOUBLE) AS n_{i}" for i, c in enumerate(LETTERS))
+
+
+def _letter_model():
+    """A stand-in for a model: letter counts of a passage, the same in any engine."""
+    def make_predict():
+        import numpy as np
+        letters = "aeiou "
+
+        def predict(texts):
+            return np.array([[t.count(c) for c in letters] for t in texts], dtype=np.float32)
+        return predict
+    return make_predict
+
+
+def _embed_runs(spark, sf) -> tuple[str, list[DataFrame]]:
+    """A store's folder and the inputs of three runs, the last one the same as the second."""
+    docs = T.spread(T.table(spark, sf, "documents")).select("doc_id", "text")
+    return sinks.new_folder(spark, "vectors"), [T.table(spark, sf, "benchmark").select("text"), docs, docs]
+
+
+@register("embed_store", f"SELECT doc_id, {_LETTERS_SQL} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def embed_store(spark, sf) -> DataFrame:
+    """Vectors of a caller's model for every document, read from the store that three runs filled."""
+    path, runs = _embed_runs(spark, sf)
+    for rows in runs:
+        VS.add_to_store(rows, "text", path, "letters", _letter_model())
+    found = VS.with_stored_vectors(runs[-1], "text", path, "letters")
+    return found.select("doc_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"n_{i}") for i in range(len(LETTERS))])
+
+
+@register("embed_store_runs", """SELECT 1 AS run, (SELECT count(DISTINCT coalesce(text, '')) FROM benchmark) AS n_embedded
+    UNION ALL SELECT 2, (SELECT count(DISTINCT coalesce(text, '')) FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM benchmark))
+    UNION ALL SELECT 3, 0""")
+def embed_store_runs(spark, sf) -> DataFrame:
+    """How many passages each run handed to the model: those not stored before, equal ones once, none when all are stored."""
+    path, runs = _embed_runs(spark, sf)
+    counted = []
+    for i, rows in enumerate(runs, start=1):
+        fresh = VS.missing_passages(rows, "text", path, "letters").agg(F.count("*").alias("n_embedded"))
+        counted.append((i, fresh.first().n_embedded))
+        VS.add_to_store(rows, "text", path, "letters", _letter_model())
+    return spark.createDataFrame(counted, "run int, n_embedded long")
+
+
 # --- ranking ---------------------------------------------------------------------
 
 @register("cross_jobs", query(f"SELECT job_id, candidate_id, len(mreq) AS n_matched, {r('ys')} AS years_score FROM dims", "dims"))
