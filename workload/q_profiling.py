@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from candela.operators import evaluation as EV, profiling as P, ranking as R, skills
+from candela.operators import evaluation as EV, profiling as P, ranking as R, sketches as SK, skills
 from candela.sources import sinks
 from workload import tables as T
 from workload.registry import register
@@ -136,3 +136,45 @@ def validate_submission(spark, sf) -> DataFrame:
     R.top_k(_one_job(spark, sf), 100).select("candidate_id", "rank", F.col("final_score").alias("score")).write.parquet(path)
     sub = spark.read.parquet(path)
     return EV.validate_submission(sub, T.base(spark, sf).select("candidate_id", "honeypot_probability"))
+
+
+def _run_profiles(spark, sf) -> DataFrame:
+    """A stored profile per source, as if every source were a run."""
+    path = sinks.new_folder(spark, "profiles")
+    docs = T.table(spark, sf, "documents")
+    SK.profile_runs(docs, F.col("source"), {"text": F.md5(F.encode("text", "UTF-8")), "lang": F.col("lang"), "n_chars": F.col("n_chars")}).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("merged_sketches", """SELECT c AS "column", (SELECT count(*) FROM documents) AS n_rows, n_values, least, greatest, true AS distinct_holds, true AS median_holds FROM (
+    SELECT 'text' AS c, count(text) AS n_values, NULL::DOUBLE AS least, NULL::DOUBLE AS greatest FROM documents
+    UNION ALL SELECT 'lang', count(lang), NULL, NULL FROM documents UNION ALL SELECT 'n_chars', count(n_chars), min(n_chars), max(n_chars) FROM documents)""")
+def merged_sketches(spark, sf) -> DataFrame:
+    """Profiles of all sources merged; distinct counts and medians held against the exact ones within the stated errors."""
+    docs, merged = T.table(spark, sf, "documents"), SK.merge_runs(_run_profiles(spark, sf))
+    got = SK.estimates(merged, (0.5,))
+    exact = docs.agg(F.count_distinct("text").alias("text"), F.count_distinct("lang").alias("lang"), F.count_distinct("n_chars").alias("n_chars"))
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in exact.columns])))
+    median = got.filter(F.col("column") == "n_chars").select("q50")
+    placed = docs.withColumn("m", median.scalar()).agg(F.avg((F.col("n_chars") < F.col("m")).cast("int")).alias("below"),
+                                                       F.avg((F.col("n_chars") <= F.col("m")).cast("int")).alias("upto"))
+    holds = (F.col("below") <= 0.5 + SK.RANK_ERROR) & (F.col("upto") >= 0.5 - SK.RANK_ERROR)
+    median_holds = placed.select(F.coalesce(holds, F.lit(True))).scalar()
+    known = got.join(exact, "column")
+    numeric = F.col("column") == "n_chars"
+    return known.select("column", F.col("rows").alias("n_rows"), F.col("values").alias("n_values"), F.when(numeric, F.col("least")).alias("least"),
+                        F.when(numeric, F.col("greatest")).alias("greatest"),
+                        (F.abs(F.col("n_distinct") - F.col("n")) <= SK.DISTINCT_ERROR * F.col("n")).alias("distinct_holds"),
+                        F.when(numeric, median_holds).otherwise(F.lit(True)).alias("median_holds"))
+
+
+@register("run_overlap", """SELECT min(source) AS first, max(source) AS second, true AS holds FROM documents""")
+def run_overlap(spark, sf) -> DataFrame:
+    """Texts that the first and last source share, estimated from their profiles and held against the exact number."""
+    docs, profiles = T.table(spark, sf, "documents"), _run_profiles(spark, sf)
+    first, last = docs.agg(F.min("source"), F.max("source")).first()
+    texts = lambda run: docs.filter((F.col("source") == run) & F.col("text").isNotNull()).select("text").distinct()
+    exact = texts(first).join(texts(last), "text", "left_semi").agg(F.count("*").alias("n")).scalar()
+    larger = docs.groupBy("source").agg(F.count_distinct("text").alias("n")).filter(F.col("source").isin(first, last)).agg(F.max("n")).scalar()
+    got = SK.run_overlap(profiles, "text", first, last)
+    return got.select("first", "second", (F.abs(F.col("n_shared") - exact) <= SK.OVERLAP_ERROR * larger).alias("holds"))
