@@ -40,8 +40,8 @@ def read_store(spark: SparkSession, path: str, model: str) -> DataFrame:
 def missing_passages(df: DataFrame, text: str, path: str, model: str) -> DataFrame:
     """``digest, passage`` of the passages that have no stored vector, each once."""
     passages = df.select(passage_digest(F.col(text)).alias("digest"), F.coalesce(text, F.lit("")).alias("passage"))
-    stored = read_store(df.sparkSession, path, model).select("digest")
-    return passages.join(stored, "digest", "left_anti").groupBy("digest").agg(F.any_value("passage").alias("passage"))
+    distinct = passages.groupBy("digest").agg(F.any_value("passage").alias("passage"))  # copies merge before the shuffle
+    return distinct.join(read_store(df.sparkSession, path, model).select("digest"), "digest", "left_anti")
 
 
 def add_to_store(df: DataFrame, text: str, path: str, model: str, make_predict: Callable, batch_size: int = 256) -> None:
