@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candela.llm.common import let, stored
 
@@ -38,12 +38,11 @@ CONTEXT = 24                # characters before a span that its features look at
 
 @dataclass(frozen=True)
 class Fit:
-    """``max_rows`` bounds the distinct feature rows (weighted by their counts in the whole corpus) that the trees are
-    fitted on; a fifth of them sets the thresholds."""
+    """The trees are fitted on four fifths of all distinct feature rows, weighted by their counts in the whole corpus; the
+    other fifth sets the thresholds."""
 
     trees: int = 12
     depth: int = 3
-    max_rows: int = 20_000
     precision: float = 0.95
     seed: int = 11
 
@@ -202,8 +201,8 @@ def fit(docs: DataFrame, how: Fit = Fit(), text: str = "text") -> Model:
     seen = let(candidates(t), lambda all_: let(open_to_trees(all_), lambda s: F.concat(s["base"], s["free"])))
     rows = docs.select(F.explode(F.transform(seen, lambda c: F.struct(features(c).alias("x"), label(c).alias("label")))).alias("r")).select("r.*")
     rows = rows.groupBy("x", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    rows = rows.withColumn("h", F.xxhash64("x", F.lit(how.seed))).orderBy("h", "label").limit(how.max_rows)
-    rows = stored(rows.withColumn("held", F.pmod("h", F.lit(5)) == 0).withColumn("features", array_to_vector("x")).coalesce(1), "pii")
+    rows = rows.withColumn("h", F.xxhash64("x", F.lit(how.seed)))
+    rows = stored(rows.withColumn("held", F.pmod("h", F.lit(5)) == 0).withColumn("features", array_to_vector("x")), "pii")
     train = rows.filter("not held")
     if train.select("label").distinct().count() < 2:
         return Model((), {})
@@ -215,15 +214,19 @@ def fit(docs: DataFrame, how: Fit = Fit(), text: str = "text") -> Model:
         return int(n.split().featureIndex()), float(n.split().threshold()), node(n.leftChild()), node(n.rightChild())
 
     model = Model(tuple((float(w), node(t._call_java("rootNode"))) for w, t in zip(made.treeWeights, made.trees)), {})
-    scored = rows.filter("held").select(F.get("x", F.lit(0)).cast("int").alias("kind"), model.probability(F.col("x")).alias("p"), "label", "weight").collect()
-    thresholds = {}
-    for kind in range(len(KINDS)):
-        right = total = 0.0
-        for p, y, w in sorted(((r.p, r.label, r.weight) for r in scored if r.kind == kind), reverse=True):
-            total, right = total + w, right + w * y
-            if right >= how.precision * total and p > 0.5:
-                thresholds[kind] = p
-    return Model(model.trees, thresholds)
+    scored = rows.filter("held").select(F.get("x", F.lit(0)).cast("int").alias("kind"), model.probability(F.col("x")).alias("p"), "label", "weight")
+    return Model(model.trees, thresholds(scored, how.precision))
+
+
+def thresholds(scored: DataFrame, precision: float) -> dict:
+    """Per kind the least probability above one half from which up ``precision`` of the weight is labelled 1.
+
+    Rows ``kind, p, label, weight`` merge by probability first, of which the trees give few.
+    """
+    each = scored.groupBy("kind", "p").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("y"))
+    up = Window.partitionBy("kind").orderBy(F.desc("p"))
+    bar = each.select("kind", "p", (F.sum("y").over(up) >= precision * F.sum("n").over(up)).alias("right"))
+    return {r.kind: r.p for r in bar.filter("right and p > 0.5").groupBy("kind").agg(F.min("p").alias("p")).collect()}
 
 
 def find(docs: DataFrame, model: Model, text: str = "text", name: str = "pii") -> DataFrame:

@@ -126,3 +126,20 @@ def test_redaction_against_a_plain_one(spark):
         rows.append((i, text, [dict(start=a, kind=k, end=b) for a, k, b in spans], "".join(out) + text[end:]))
     df = spark.createDataFrame(rows, "i long, text string, spans array<struct<start: int, kind: int, end: int>>, want string")
     assert df.filter(~pii.redact(F.col("text"), F.col("spans")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_fit_learns_from_every_distinct_row(spark, monkeypatch):
+    seen = []
+    real = pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, label: seen.append(real(df, label)) or seen[-1])
+    rows = spark.range(30_000).selectExpr(     # lengths of digits, letters and separators make each pair of cards its own feature row
+        "id AS doc_id", "concat('card ', repeat('4 ', cast(12 + id % 200 AS int)), 'x ', repeat('9', cast(12 + id div 200 AS int)), ' z ', repeat('ab', cast(16 + id % 211 AS int)),"
+        " repeat('0', cast(id div 211 AS int))) AS text")
+    pii.fit(rows, pii.Fit(trees=1, depth=1))
+    assert seen[0].select("x", "label").distinct().count() == seen[0].count() > 20_000
+
+
+def test_thresholds_count_equal_probabilities_together(spark):
+    scored = spark.createDataFrame([(0, 0.9, 1.0, 8.0), (0, 0.7, 1.0, 1.0), (0, 0.7, 0.0, 1.0), (1, 0.8, 1.0, 2.0), (1, 0.6, 1.0, 2.0), (1, 0.4, 1.0, 9.0), (2, 0.9, 0.0, 1.0)],
+                                   "kind int, p double, label double, weight double")
+    assert pii.thresholds(scored, 0.95) == {0: 0.9, 1: 0.6}
