@@ -71,3 +71,27 @@ def test_three_hundred_megabytes(spark, tmp_path):
     lines = spark.createDataFrame([(d,) for d in docs], "value string").agg(25 * F.count("*"), 25 * F.sum(F.pmod(F.xxhash64("value"), F.lit(1 << 40)))).first()
     assert tuple(whole) == (*lines, 0, 499_999)
     assert spark.read.option("lineSep", "}").text(str(tmp_path / "array")).select(F.spark_partition_id()).distinct().count() >= 4
+
+
+def test_marks_against_a_walk():
+    from candela.sources.json_arrays import marks, tokens
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice('[]{},"\\ax') for _ in range(rng.randrange(40)))
+        for inside in (False, True):
+            want = list(tokens(text, inside))
+            places, adds, ends = marks(text.encode())(inside)
+            assert [(text[p], p) for p in places] == [(t, p) for t, p in want if t != '"'] and ends == any(t == '"' for t, _ in want)
+            assert adds.tolist() == [1 if text[p] in "[{" else -1 if text[p] in "]}" else 0 for p in places]
+
+
+def test_a_range_goes_through_in_few_python_steps(spark):
+    import pyarrow as pa
+    from candela.sources import json_arrays
+    n = 200_000
+    rows = pa.RecordBatch.from_arrays([pa.array(["f"] * n), pa.array([0] * n), pa.array(["[" + '{"a":1' if i == 0 else ',{"a":1' for i in range(n - 1)] + ["]"])], ["file", "start", "value"])
+    import time
+    begin = time.process_time()
+    out, = json_arrays.summarise(iter([rows]))
+    assert time.process_time() - begin < 1
+    assert dict(out.to_pylist()[0]["states"][0]["commas"]) == {1: n - 2}

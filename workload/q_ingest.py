@@ -89,13 +89,12 @@ def _write_arrays(docs: DataFrame, path: str) -> None:
 
     def bracket(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         mark = "["
         for batch in batches:
-            lines = []
-            for value in batch.column(0).to_pylist():
-                lines.append(mark + value)
-                mark = ","
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+            marks = pa.array([mark] * min(batch.num_rows, 1) + [","] * (batch.num_rows - 1), pa.string())
+            mark = "," if batch.num_rows else mark
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, batch.column(0).cast(pa.string()), "")], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"], pa.string())], ["value"])
 
     body.mapInArrow(bracket, "value string").write.text(path)
