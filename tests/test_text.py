@@ -85,3 +85,12 @@ def test_cosine(spark):
 def test_nfkd(spark):
     df = spark.createDataFrame([("plain",), ("caf\u00e9 \ufb01",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(X.nfkd(F.col("t"))).collect()] == ["plain", "cafe\u0301 fi", "", None]
+
+
+def test_dedupe_ordered_sorts_a_long_list_once(spark):
+    import time
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(9_999)), lambda i: F.concat(F.lit("N"), (i % 5_000).cast("string"))).alias("n"))
+    df.select(F.size("n")).first()
+    begin = time.perf_counter()
+    assert df.repartition(1).select(A.dedupe_ordered(F.col("n")).alias("x")).first().x == [f"N{i}" for i in range(5_000)]
+    assert time.perf_counter() - begin < 10
