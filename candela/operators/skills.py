@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from candela.functions.arrays import once
 from candela.functions.scoring import PROFICIENCY_DEPTH, PROFICIENCY_REPEAT
 from candela.functions.text import long_any_sql, short_any_sql, sql_string
 from candela.functions.vocab import DEFAULT_VOCAB, Vocabulary
@@ -127,8 +128,9 @@ def with_present_terms(df: DataFrame, jobs: DataFrame, pool: str = "pool", name:
     terms = job_terms(jobs).filter("term IS NOT NULL")
     few = [r.term for r in terms.limit(plan_terms + 1).collect()]
     if len(few) <= plan_terms:
-        listed = f"cast(array({', '.join(sql_string(t) for t in sorted(few))}) AS array<string>)"
-        return df.withColumn(name, F.expr(f"filter({listed}, _t -> contains({pool}, _t))")).drop(pool)
+        listed = F.expr(f"cast(array({', '.join(sql_string(t) for t in sorted(few))}) AS array<string>)")
+        held = once(F.col(pool), lambda text: F.filter(listed, lambda t: F.contains(text, t)))     # else the pool is built again for every term
+        return df.withColumn(name, held).drop(pool)
     texts = df.select(key, F.md5(pool).alias("_md5"), pool)
     hits = term_hits(texts, [key, "_md5"], pool, terms).groupBy(key, "_md5").agg(F.collect_set("term").alias(name))
     # the empty term is in every pool

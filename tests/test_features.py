@@ -126,3 +126,18 @@ def test_feature_plan_stays_in_the_jvm_and_never_shuffles(spark):
     plan = base_features(typed(spark, [make()]), AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert len(DEFAULT_VOCAB.domains) == 10
+
+
+def test_present_terms_build_the_pool_once(spark):
+    import time
+    from candela.operators import skills
+    names = [f"term{i}" for i in range(400)]
+    jobs = spark.createDataFrame([([(n, n, "other", [n]) for n in names], [])], "required_skills array<struct<original string, canonical string, category string, tokens array<string>>>, "
+                                 "preferred_skills array<struct<original string, canonical string, category string, tokens array<string>>>")
+    df = spark.range(60).repartition(1).withColumn("candidate_id", F.col("id").cast("string"))
+    pooled = df.withColumn("pool", F.lower(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.md5(i.cast("string"))), F.concat(F.lit("TERM"), F.col("id")))))
+    found = skills.with_present_terms(pooled, jobs)
+    begin = time.perf_counter()
+    rows = found.select("id", "present").collect()
+    assert time.perf_counter() - begin < 15
+    assert {r.id: r.present for r in rows}[12] == ["term1", "term12"]
