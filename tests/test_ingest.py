@@ -173,3 +173,10 @@ def test_snapshot_and_submission(spark, tmp_path):
     sinks.write_submission(best, str(out))
     text = next(out.glob("part-*")).read_text().splitlines()
     assert text[0] == "candidate_id,rank,score,reasoning" and text[1].startswith("a,1,0.7500,") and text[2] == 'b,2,0.5000,"x, y"'
+
+
+def test_stream_inputs_keep_their_partitions(spark):
+    from workload import q_ingest
+    wide = q_ingest._in_batches(spark.range(0, 100, 1, 12))
+    assert wide.rdd.getNumPartitions() == 12 and "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert q_ingest._in_batches(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 3

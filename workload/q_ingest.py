@@ -200,6 +200,19 @@ def stream_restart(spark, sf) -> DataFrame:
         F.count("*").alias("n_rows"), F.count_distinct("candidate_id").alias("n_ids"))
 
 
+BATCHES = 3
+
+
+def _in_batches(rows: DataFrame) -> DataFrame:
+    """Rows to be written as enough files for several micro-batches; a larger input keeps its own partitions and is not shuffled."""
+    return rows if rows.rdd.getNumPartitions() >= BATCHES else rows.repartition(BATCHES)
+
+
+def _per_batch(files: DataFrame) -> int:
+    """Files a micro-batch takes, so that the stream has ``BATCHES`` of them, each shared by many tasks."""
+    return max(1, -(-len(files.inputFiles()) // BATCHES))
+
+
 @register("stream_rank", query("""SELECT job_id, candidate_id, final AS final_score, CAST(rnk AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final DESC, candidate_id) AS rnk FROM sc
     WHERE candidate_id NOT IN (SELECT 'CAND_' || lpad(CAST(d AS VARCHAR), 7, '0') FROM line GROUP BY d HAVING count(*) > 10 OR count(*) FILTER (l % 3 = 0) > 5)) WHERE rnk <= 10""", "sc", "line"))
@@ -207,10 +220,11 @@ def stream_rank(spark, sf) -> DataFrame:
     """Documents arrive as JSON lines; what meets the contract of a micro-batch is scored and merged into the running top-k per job."""
     out = sinks.new_folder(spark, "ranked")
     lines = T.candidates(spark, sf).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    lines.repartition(3).write.text(f"{out}/in")
+    _in_batches(lines).write.text(f"{out}/in")
+    each = _per_batch(spark.read.text(f"{out}/in"))
     vectors, jobs = T.vectors(spark, sf), T.jobs(spark, sf)
     score = lambda batch: ST.score_lines(batch, vectors, jobs, T.AS_OF).select("job_id", "candidate_id", "final_score")
-    ST.stream_shortlist(score, ST.stream_lines(spark, f"{out}/in", 1), f"{out}/best", f"{out}/log", TOP10).awaitTermination()
+    ST.stream_shortlist(score, ST.stream_lines(spark, f"{out}/in", each), f"{out}/best", f"{out}/log", TOP10).awaitTermination()
     return ST.latest_shortlist(spark, f"{out}/best")
 
 
@@ -218,9 +232,9 @@ def stream_rank(spark, sf) -> DataFrame:
 def stream_topk(spark, sf) -> DataFrame:
     """Scored rows arrive as files; a running top-k per job is kept across micro-batches."""
     out = sinks.new_folder(spark, "running")
-    T.scored(spark, sf).select("job_id", "candidate_id", "final_score").repartition(3).write.parquet(f"{out}/in")
+    _in_batches(T.scored(spark, sf).select("job_id", "candidate_id", "final_score")).write.parquet(f"{out}/in")
     stored = spark.read.parquet(f"{out}/in")
-    feed = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    feed = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", _per_batch(stored)).parquet(f"{out}/in")
     ST.stream_shortlist(lambda batch: batch, feed, f"{out}/best", f"{out}/log", TOP10).awaitTermination()
     return ST.latest_shortlist(spark, f"{out}/best")
 
