@@ -12,8 +12,10 @@ from pyspark.sql.types import StringType
 from candela.functions.terms import minimal_terms, prefix_pattern
 
 # fixed values: code points replaced during normalisation
-ZERO_WIDTH_PATTERN = "[\\u00a0\\u200b\\u200c\\u200d\\ufeff]"
-DASH_PATTERN = "[\\u2013\\u2014\\u2012]"
+# Runs of white space, zero-width and no-break characters, other than one blank by itself.
+OTHER_BLANKS = r"\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+UNEVEN_BLANKS = rf"[{OTHER_BLANKS}][ {OTHER_BLANKS}]*| [ {OTHER_BLANKS}]+"
+DASHES = "\u2013\u2014\u2012"
 TOKEN_PATTERN = r"[a-z][a-z0-9\-]{2,}"
 
 
@@ -89,10 +91,10 @@ def token_set(col: Column) -> Column:
 
 def normalise_text(col: Column) -> Column:
     """Zero-width and no-break characters to blanks, blanks collapsed, dashes to ``-``."""
-    spaced = F.regexp_replace(col, ZERO_WIDTH_PATTERN, " ")
-    collapsed = F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
-    dashed = F.regexp_replace(collapsed, DASH_PATTERN, "-")
-    return F.trim(F.regexp_replace(dashed, "\\ufffd", ""))
+    text = F.trim(F.regexp_replace(col, UNEVEN_BLANKS, " "))
+    for dash in DASHES:
+        text = F.replace(text, F.lit(dash), F.lit("-"))
+    return F.trim(F.replace(text, F.lit("\ufffd"), F.lit("")))
 
 
 @F.pandas_udf(StringType())

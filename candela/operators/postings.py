@@ -499,7 +499,7 @@ def skill_lists(routed: DataFrame, section_keys: tuple[str, ...], heads: tuple[t
 
 def _hits(text: str, terms: tuple[str, ...]) -> str:
     listed = ", ".join(sql_string(t) for t in terms)
-    return f"filter(array({listed}), _t -> contains({text}, _t))"
+    return f"element_at(transform(array({text}), _x -> filter(array({listed}), _t -> contains(_x, _t))), 1)"     # the text is made once, not once a term
 
 
 def vocab_hits(postings: DataFrame) -> DataFrame:

@@ -181,3 +181,14 @@ def _counts(df):
     """Scans and shuffles of the planned query."""
     plan = df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
     return plan[0].count("FileScan"), plan[1].count("Exchange hashpartitioning")
+
+
+def test_vocabulary_scan_makes_the_text_once(spark):
+    import time
+    from candela.functions.text import normalise_text
+    posts = spark.range(300).repartition(1).select(F.col("id").alias("job_id"), normalise_text(F.concat(F.repeat(F.lit("plain words and  blanks "), 1500), F.lit("RAG"))).alias("full_text"))
+    K.vocab_hits(posts.limit(1)).select("keywords").collect()
+    begin = time.perf_counter()
+    rows = K.vocab_hits(posts).select("job_id", "ai_technologies").collect()
+    assert time.perf_counter() - begin < 10
+    assert all(r.ai_technologies == ["rag"] for r in rows)

@@ -94,3 +94,13 @@ def test_dedupe_ordered_sorts_a_long_list_once(spark):
     begin = time.perf_counter()
     assert df.repartition(1).select(A.dedupe_ordered(F.col("n")).alias("x")).first().x == [f"N{i}" for i in range(5_000)]
     assert time.perf_counter() - begin < 10
+
+
+def test_normalise_text_as_by_four_patterns(spark):
+    import random
+    rng = random.Random(3)
+    marks = " \t\n\x0b\x0c\r\x1c\x85\xa0\u1680\u180e\u2000\u200a\u200b\u200c\u200d\u200e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff\u2012\u2013\u2014\u2015\ufffdab é😀"
+    df = spark.createDataFrame([("".join(rng.choice(marks) for _ in range(rng.randrange(30))),) for _ in range(3000)] + [(None,)], "t string")
+    col = F.trim(F.regexp_replace(F.regexp_replace("t", "[\\u00a0\\u200b\\u200c\\u200d\\ufeff]", " "), r"(?U)\s+", " "))
+    want = F.trim(F.regexp_replace(F.regexp_replace(col, "[\\u2013\\u2014\\u2012]", "-"), "\\ufffd", ""))
+    assert df.filter(~X.normalise_text(F.col("t")).eqNullSafe(want)).count() == 0
