@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from candela.functions import vectors as V
 
@@ -62,10 +63,24 @@ def weighted_field_embedding(df: DataFrame, fields: dict[str, str], name: str =
     return df.withColumn(name, V.weighted_sum(parts))
 
 
-def slots(text: Column, dims: int) -> Column:
-    """Slot number, as text, of every word: the first 32 bits of its MD5 modulo ``dims``, the same in any engine."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(F.encode(w, "UTF-8")), 1, 8), 16, 10).cast("long") % dims).cast("string"))
+def slot_counts(text: Column, dims: int) -> Column:
+    """Words per slot, ``dims`` numbers: a word's slot is the first 32 bits of its MD5 modulo ``dims``, the same in any engine.
+
+    Words come from one pattern; batches of them are hashed by Arrow tasks, each different word of a batch once.
+    """
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def counted(words: pa.Array) -> pa.Array:
+        from hashlib import md5
+        import numpy as np
+        coded = words.flatten().dictionary_encode()
+        slot = np.array([int.from_bytes(md5(w.encode()).digest()[:4], "big") % dims for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+        counts = np.bincount(row * dims + slot[coded.indices.to_numpy()], minlength=len(words) * dims).astype(float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dims, pa.int32()), pa.array(counts))
+
+    return counted(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
 
 
 def embed_tfidf(df: DataFrame, text: str, name: str = "embedding", dims: int = 256, dtype: str = "float32") -> DataFrame:
@@ -75,15 +90,14 @@ def embed_tfidf(df: DataFrame, text: str, name: str = "embedding", dims: int = 2
     numbers, so it never grows with the texts.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], inputCol="_tok", outputCol="_tf")
-    stages = Pipeline(stages=[counts, IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)])
-    words = df.withColumn("_tok", slots(F.col(text), dims))
-    fitted = stages.fit(words.select("_tok"))
-    return (fitted.transform(words).withColumn(name, vector_to_array("_vec", dtype))
-            .drop("_tok", "_tf", "_idf", "_vec"))
+    from pyspark.ml.feature import IDF, Normalizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    stages = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)])
+    counted = df.withColumn("_tf", array_to_vector(slot_counts(F.col(text), dims)))
+    fitted = stages.fit(counted.select("_tf"))
+    return (fitted.transform(counted).withColumn(name, vector_to_array("_vec", dtype))
+            .drop("_tf", "_idf", "_vec"))
 
 
 def embed_with_model(df: DataFrame, text: str, make_predict: Callable, name: str = "embedding",

@@ -164,3 +164,17 @@ def test_whole_run_and_slices(spark, tmp_path):
     PL.write_shortlists(base, vec, jobs, str(tmp_path / "s"), config)
     stored = {(r.job_id, r["rank"], r.candidate_id, r.reasoning) for r in spark.read.parquet(str(tmp_path / "s")).collect()}
     assert stored == {(r.job_id, r["rank"], r.candidate_id, r.reasoning) for r in done}
+
+
+def test_slot_counts_against_a_walk(spark):
+    import hashlib
+    import re
+    from candela.operators import semantic
+    texts = ["Über über x1 x1 X1", None, "", "a_b ß ÀÉ 数 字", "z " * 5000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", semantic.slot_counts(F.col("t"), 7).alias("c"))
+    for r in got.collect():
+        want = [0.0] * 7
+        for w in re.findall(r"[^\W_]+", (texts[r.i] or "").lower()):
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 7] += 1
+        assert r.c == want
+    assert "md5" not in got._jdf.queryExecution().executedPlan().toString()      # no hash per word in the plan
