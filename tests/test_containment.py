@@ -57,3 +57,18 @@ def test_twenty_thousand_jobs_are_paired_in_blocks(spark):
     assert "Broadcast" not in plan and "Cartesian" not in plan and "ShuffledHashJoin" in plan
     found = pairs.withColumn("task", F.spark_partition_id()).agg(F.count("*"), F.count_distinct("candidate_id", "job_id"), F.count_distinct("task")).first()
     assert found[0] == found[1] == 6_000_000 and found[2] > 4
+
+
+def test_terms_with_blanks_line_breaks_and_great_length(spark):
+    long, texts = "x" * 70 + "é", ["", None, "a  b", "ab\ncd ef", f"q {'x' * 75}é", f"{'x' * 64} y", "é e", " "]
+    terms = [" ", "  ", "a  b", "a b", "b\nc", "d e", long, "x" * 64, "x" * 65, "é", "y", "cd ef g"]
+    got = containment.term_hits(spark.createDataFrame([*enumerate(texts)], "id long, text string"), ["id"], "text", spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, t) for i, x in enumerate(texts) if x for t in terms if t in x)
+
+
+def test_texts_are_searched_once_and_not_candidate_by_candidate(spark):
+    """Candidates by trigrams were almost all (text, term) pairs where terms share their trigrams."""
+    texts = spark.createDataFrame([(i, "the then them") for i in range(20)], "id long, text string")
+    hits = containment.term_hits(texts, ["id"], "text", spark.createDataFrame([(t,) for t in ("the", "hem", "thx")], "term string"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.count() == 40 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "ontains" not in plan
