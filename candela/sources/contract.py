@@ -188,20 +188,29 @@ def _keys(ref: str) -> str:
     return f"try_variant_get({ref}, '$', 'map<string,variant>')"
 
 
-def _leaves(ref: str) -> str:
-    """MAP of key to (kind, text): every value is looked into exactly once."""
-    return (f"transform_values({_keys(ref)}, (k, y) -> named_struct("
-            f"'k', substring(schema_of_variant(y), 1, 3), 't', try_variant_get(y, '$', 'string')))")
-
-
 def _get(map_ref: str, key: str) -> str:
     return f"try_element_at({map_ref}, {sql_string(key)})"
 
 
-def _fields(map_ref: str, names) -> str:
-    """STRUCT of the wanted keys of a map, so every rule reads a field instead of searching keys."""
-    pairs = ", ".join(f"{sql_string(n)}, {_get(map_ref, n)}" for n in names)
-    return f"CASE WHEN {map_ref} IS NOT NULL THEN named_struct({pairs}) END"
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _shape(node: Obj | Arr | MapOf | Leaf) -> str:
+    """Type that opens a value down to its leaves, each a VARIANT of its own; what is of another kind comes out as null."""
+    if isinstance(node, Obj):
+        return f"struct<{', '.join(f'{_quoted(n)}: {_shape(c)}' for n, c in node.fields.items())}>"
+    if isinstance(node, Arr):
+        return f"array<{_shape(node.item)}>"
+    return f"map<string,{_shape(node.value)}>" if isinstance(node, MapOf) else "variant"
+
+
+def _held(*keys: str) -> str:
+    """The document's value at these keys as a VARIANT, null when absent, of whatever kind."""
+    ref = "v"
+    for key in keys:
+        ref = _get(_keys(ref), key)
+    return ref
 
 
 class _Checks:
@@ -218,6 +227,22 @@ class _Checks:
         return [f"CASE WHEN {cond} THEN named_struct('path', {path}, 'ord', {ord_}, 'rule', '{rule}', "
                 f"'message', {sql_string(message)}) END"]
 
+    def look(self, ref: str, leaf: Leaf) -> str:
+        """STRUCT (kind, text) of a leaf's VARIANT, null when the key is absent; the text only where a rule reads it."""
+        bounded = leaf.lo is not None or leaf.hi is not None or leaf.enum or leaf.pattern or leaf.kind == "integer"
+        text = f"try_variant_get({ref}, '$', 'string')" if bounded or self.lenient else "cast(null AS string)"
+        return f"CASE WHEN {ref} IS NOT NULL THEN named_struct('k', substring(schema_of_variant({ref}), 1, 3), 't', {text}) END"
+
+    def looks(self, ref: str, node: Obj, keys: tuple[str, ...] = ()) -> str:
+        """STRUCT of an object's looked at leaves, so every value is looked into once however many rules read it.
+
+        A key that leads to an object or a map is true where it is present; ``keys`` lead from the document to this object.
+        """
+        at = {n: f"{ref}.{_quoted(n)}" for n in node.fields}
+        pairs = ", ".join(f"{sql_string(n)}, " + (self.look(at[n], c) if isinstance(c, Leaf) else
+                          f"CASE WHEN {at[n]} IS NOT NULL OR {_held(*keys, n)} IS NOT NULL THEN true END") for n, c in node.fields.items())
+        return f"CASE WHEN {ref} IS NOT NULL THEN named_struct({pairs}) END"
+
     def leaf(self, at: str, path: str, leaf: Leaf) -> list[str]:
         """``at`` is the (kind, text) struct of the value, null when the key is absent."""
         kind, text = f"{at}.k", f"{at}.t"
@@ -263,7 +288,7 @@ class _Checks:
 
     def array(self, value: str, items: str, path: str, node: Arr) -> str:
         """Violations of one list; ``items`` is an array of leaf structs, null when it is no list."""
-        own = self.case(f"{value} IS NOT NULL AND {items} IS NULL", path, 1, "type", "value is not of type array")
+        own = self.case(f"{items} IS NULL AND {value} IS NOT NULL", path, 1, "type", "value is not of type array")
         if node.min_items:
             own += self.case(f"size({items}) BETWEEN 0 AND {node.min_items - 1}", path, 2, "cardinality",
                              f"array has fewer than {node.min_items} items")
@@ -287,69 +312,52 @@ def add_violations(parsed: DataFrame, contract: Obj, lenient: bool = False, rule
                    name: str = "violations") -> DataFrame:
     """Add the unsorted array of violations of the VARIANT column ``v``; null when it is no object.
 
-    The document is opened level by level into helper columns, so each object and each value
-    is unpacked once however many rules look at it.
+    One cast opens the whole document down to its leaves, and helper columns hold each leaf's kind and text, so each
+    value is unpacked once however many rules look at it. The cast does not tell an absent list or object from one of
+    another kind; the document is asked for its keys only where one is missing.
     """
     checks = _Checks(lenient, rules)
     objects = {k: c for k, c in contract.fields.items() if isinstance(c, Obj)}
     lists = {k: c for k, c in contract.fields.items() if isinstance(c, Arr)}
-    plain = [k for k, c in contract.fields.items() if isinstance(c, Leaf)]
-
-    opened = parsed.withColumn("_m", F.expr(_keys("v")))
-    listed = ", ".join(sql_string(k) for k in plain)
-    level1 = {"_leaf": F.expr(f"map_filter(_m, (k, y) -> k IN ({listed}))")} if plain else {}
-    for k in objects:
-        level1[f"_k_{k}"] = F.expr(_keys(_get("_m", k)))
-    for k in lists:
-        level1[f"_a_{k}"] = F.expr(f"transform(transform(try_variant_get({_get('_m', k)}, '$', 'array<variant>'), "
-                                   f"e -> {_leaves('e')}), m -> {_fields('m', lists[k].item.fields)})")
-    opened = opened.withColumns(level1)
-
-    look = "named_struct('k', substring(schema_of_variant(y), 1, 3), 't', try_variant_get(y, '$', 'string'))"
-    level2 = {"_root": F.expr(f"transform_values(_leaf, (k, y) -> {look})")} if plain else {}
-    nested: list[tuple[str, str, object]] = []
-    for k, node in objects.items():
-        level2[f"_o_{k}"] = F.expr(f"transform_values(_k_{k}, (k, y) -> {look})")
-        for sub, grand in node.fields.items():
-            if isinstance(grand, (Obj, MapOf)):
-                column = f"_n_{k}_{sub}"
-                level2[column] = F.expr(_leaves(_get(f"_k_{k}", sub)))
-                nested.append((k, sub, grand))
-    opened = opened.withColumns(level2)
-
-    level3 = {f"_s_{k}": F.expr(_fields(f"_o_{k}", node.fields)) for k, node in objects.items()}
-    if plain:
-        level3["_s"] = F.expr(_fields("_root", plain))
+    plain = Obj({k: c for k, c in contract.fields.items() if isinstance(c, Leaf)})
+    nested = [(k, sub, grand) for k, node in objects.items() for sub, grand in node.fields.items() if isinstance(grand, (Obj, MapOf))]
+
+    opened = parsed.withColumn("_r", F.expr(f"try_variant_get(v, '$', {sql_string(_shape(contract))})"))
+    looked = {f"_s_{k}": F.expr(checks.looks(f"_r.{_quoted(k)}", node, (k,))) for k, node in objects.items()}
+    if plain.fields:
+        looked["_s"] = F.expr(checks.looks("_r", plain))
+    for k, node in lists.items():
+        looked[f"_a_{k}"] = F.expr(f"transform(_r.{_quoted(k)}, e -> {checks.looks('e', node.item)})")
     for k, sub, grand in nested:
-        if isinstance(grand, Obj):
-            level3[f"_s_{k}_{sub}"] = F.expr(_fields(f"_n_{k}_{sub}", grand.fields))
-    opened = opened.withColumns(level3)
+        at = f"_r.{_quoted(k)}.{_quoted(sub)}"
+        looked[f"_n_{k}_{sub}"] = F.expr(checks.looks(at, grand) if isinstance(grand, Obj) else
+                                         f"transform_values({at}, (k, y) -> {checks.look('y', grand.value)})")
+    opened = opened.withColumns(looked)
 
     own: list[str] = []
     for required in contract.required:
-        own += checks.case(f"{_get('_m', required)} IS NULL", "''", 0, "required", f"missing required key {required}")
-    for k in plain:
-        own += checks.leaf(f"_s.{k}", sql_string(k), contract.fields[k])
+        own += checks.case(f"_r.{_quoted(required)} IS NULL AND {_held(required)} IS NULL", "''", 0, "required", f"missing required key {required}")
+    for k, leaf in plain.fields.items():
+        own += checks.leaf(f"_s.{k}", sql_string(k), leaf)
     for k, node in objects.items():
-        own += checks.case(f"{_get('_m', k)} IS NOT NULL AND _k_{k} IS NULL", sql_string(k), 1, "type",
+        own += checks.case(f"_r.{_quoted(k)} IS NULL AND {_held(k)} IS NOT NULL", sql_string(k), 1, "type",
                            "value is not of type object")
         own += checks.flat(f"_s_{k}", sql_string(k), node)
     parts: list[str] = []
     for k, sub, grand in nested:
         path, column = _join(sql_string(k), sub), f"_n_{k}_{sub}"
-        own += checks.case(f"{_get(f'_k_{k}', sub)} IS NOT NULL AND {column} IS NULL", path, 1, "type",
-                           "value is not of type object")
+        own += checks.case(f"{column} IS NULL AND _s_{k}.{sub} IS NOT NULL", path, 1, "type", "value is not of type object")
         if isinstance(grand, Obj):
-            own += checks.flat(f"_s_{k}_{sub}", path, grand)
+            own += checks.flat(column, path, grand)
         else:
             parts.append(checks.map_values(column, path, grand.value))
     for k, node in lists.items():
-        parts.append(checks.array(_get("_m", k), f"_a_{k}", sql_string(k), node))
+        parts.append(checks.array(_held(k), f"_a_{k}", sql_string(k), node))
     if own:
         parts.insert(0, f"array_compact(array({', '.join(own)}))")
     every = f"concat({', '.join(parts)})" if parts else EMPTY
-    result = opened.withColumn(name, F.expr(f"CASE WHEN _m IS NOT NULL THEN {every} END"))
-    return result.drop("_m", *level1, *level2, *level3)
+    result = opened.withColumn(name, F.expr(f"CASE WHEN _r IS NOT NULL THEN {every} END"))
+    return result.drop("_r", *looked)
 
 
 def messages_sql(ref: str, limit: int = MAX_MESSAGES) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from candela.config import EngineConfig
 from candela.operators import ingest as I
 from candela.sources import readers, sinks
+from candela.sources.contract import RULES, TEXT, _Checks, candidate_contract
 from candela.sources.schema import candidate_ddl
 from candela.streaming import ingest as ST
 from tests.conftest import JOB, SCHOOL, SKILL, lines, make
@@ -180,3 +181,21 @@ def test_stream_inputs_keep_their_partitions(spark):
     wide = q_ingest._in_batches(spark.range(0, 100, 1, 12))
     assert wide.rdd.getNumPartitions() == 12 and "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
     assert q_ingest._in_batches(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 3
+
+
+def test_a_document_is_opened_by_one_cast(spark):
+    """Lists were cast to VARIANT elements and these to maps, a copy of every value each time; texts were read for no rule."""
+    checked = I.with_violations(I.parse_json(lines(spark, [make()])), candidate_contract())
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrayType(VariantType" not in plan and "array<variant>" not in plan
+    assert candidate_contract().fields["profile"].fields["summary"] == TEXT and "try_variant_get" not in _Checks(False, RULES).look("y", TEXT)
+
+
+def test_absent_and_wrong_kinds_stay_apart(spark):
+    cases = [(make(**{"signals.skill_assessment_scores": 3}), "[signals.skill_assessment_scores] value is not of type object"),
+             (make(**{"signals.skill_assessment_scores": KeyError}), "[signals] missing required key skill_assessment_scores"),
+             (make(**{"signals.expected_salary_range_inr_lpa": None}), "[signals.expected_salary_range_inr_lpa] value is not of type object"),
+             (make(skills=None), "[skills] value is not of type array"), (make(skills=KeyError), "[root] missing required key skills"),
+             (make(skills=[SKILL, None]), "[skills.1] value is not of type object"),
+             (make(profile=[]), "[profile] value is not of type object"), (make(candidate_id=None), "[candidate_id] value is not of type string")]
+    assert [outcome(spark, doc)[1] for doc, _ in cases] == [[message] for _, message in cases]
