@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -102,9 +102,31 @@ def embed_tfidf(df: DataFrame, text: str, name: str = "embedding", dims: int = 2
 
 def embed_with_model(df: DataFrame, text: str, make_predict: Callable, name: str = "embedding",
                      batch_size: int = 256) -> DataFrame:
-    """Vectors from a caller's model, loaded once per Python worker and fed Arrow batches."""
-    from pyspark.ml.functions import predict_batch_udf
+    """Vectors from a caller's model, loaded once per Python worker.
+
+    Of an Arrow batch only ``batch_size`` texts at a time become Python objects, however many rows the batch has.
+    """
+    from uuid import uuid4
     from pyspark.sql.types import ArrayType, FloatType
 
-    predict = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
-    return df.withColumn(name, predict(F.coalesce(F.col(text), F.lit(""))))
+    key = uuid4()
+
+    @F.arrow_udf(ArrayType(FloatType()))
+    def predicted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+        from pyspark.ml.model_cache import ModelCache
+        predict = ModelCache.get(key)
+        if predict is None:
+            predict = make_predict()
+            ModelCache.add(key, predict)
+        for column in columns:
+            made = [np.empty((0, 0), np.float32)]
+            for start in range(0, len(column), batch_size):
+                texts = np.array(column.slice(start, batch_size).to_pylist(), dtype=object)
+                made.append(np.asarray(predict(texts), dtype=np.float32))
+                if made[-1].ndim != 2 or len(made[-1]) != len(texts):
+                    raise ValueError(f"the model gave {made[-1].shape} for {len(texts)} texts")
+            ends = np.append(0, np.cumsum(np.concatenate([np.full(len(m), m.shape[1]) for m in made])))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([m.ravel() for m in made])))
+
+    return df.withColumn(name, predicted(F.coalesce(F.col(text), F.lit(""))))

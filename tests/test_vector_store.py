@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from candela.operators.semantic import embed_with_model
 from candela.sources import vector_store as VS
 
 
@@ -55,3 +56,18 @@ def test_repeated_parts_and_empty_inputs(spark, tmp_path):
     assert VS.read_store(spark, path, "m").count() == 1
     assert embedded(spark, path, rows) == 1
     assert [r.embedding for r in VS.with_stored_vectors(rows, "text", path, "m").orderBy("id").collect()] == [[3, 0], [3, 0], [250_000, 0]]
+
+
+def test_only_a_slice_of_a_batch_becomes_python_objects(spark):
+    """The model sees how many objects the worker holds: with ten thousand rows in a batch not many more than with ten."""
+    def make_predict():
+        import sys
+        return lambda texts: np.full((len(texts), 2), [sys.getallocatedblocks(), len(texts)], dtype="float32")
+
+    def held(n):
+        rows = spark.range(0, n, 1, 1).selectExpr("concat('passage ', id) AS text")
+        out = embed_with_model(rows, "text", make_predict, batch_size=100).selectExpr("embedding[0] AS blocks", "embedding[1] AS size")
+        return out.agg(F.max("blocks"), F.max("size"), F.count("size")).first()
+
+    few, many = held(10), held(10_000)
+    assert (few[1], few[2], many[1], many[2]) == (10, 10, 100, 10_000) and many[0] - few[0] < 5000
